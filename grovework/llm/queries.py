@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
-from grovework.llm import mixing, neighbours, packing, splitting
+from grovework.llm import handwritten, mixing, neighbours, packing, splitting, subjects
 from grovework.runtime import table
 
 
+def p3_found(spark, d):
+    return handwritten.found(table(spark, d, "source_files"), table(spark, d, "known_libraries"))
+
+
+def p3_reasons(spark, d):
+    return handwritten.classify(table(spark, d, "source_files"), table(spark, d, "known_libraries"))
+
+
 def p5_found(spark, d):
     return splitting.found(table(spark, d, "chunks"), table(spark, d, "chunk_limits"))
 
@@ -39,7 +47,19 @@ def p9_report(spark, d):
     return mixing.report(mixing.sized(table(spark, d, "documents")), table(spark, d, "mix_targets"))
 
 
-QUERIES = {f.__name__: f for f in (p5_found, p5_pieces, p7_found, p8_found, p8_packing, p8_report, p9_mixture, p9_report)}
+def _labelled(spark, d):
+    return table(spark, d, "documents"), table(spark, d, "subject_labels"), table(spark, d, "subjects")
+
+
+def p10_found(spark, d):
+    return subjects.found(*_labelled(spark, d))
+
+
+def p10_composition(spark, d):
+    return subjects.composition(*_labelled(spark, d))
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p3_reasons, p5_found, p5_pieces, p7_found, p8_found, p8_packing, p8_report, p9_mixture, p9_report, p10_found, p10_composition)}
 
 SQL = {
     "p5_found": """
