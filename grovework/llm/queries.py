@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
-from grovework.llm import handwritten, mixing, neighbours, packing, splitting, subjects
+from grovework.llm import docpairs, handwritten, mixing, neighbours, packing, splitting, subjects, syntax
 from grovework.runtime import table
 
 
+def p2_found(spark, d):
+    return docpairs.found(table(spark, d, "code_nodes"), table(spark, d, "source_files"))
+
+
+def p2_pairs(spark, d):
+    return docpairs.pairs(table(spark, d, "code_nodes"), table(spark, d, "source_files"))
+
+
 def p3_found(spark, d):
     return handwritten.found(table(spark, d, "source_files"), table(spark, d, "known_libraries"))
 
@@ -22,6 +30,14 @@ def p5_pieces(spark, d):
     return splitting.split_oversized(table(spark, d, "chunks"), table(spark, d, "chunk_limits"))
 
 
+def p6_found(spark, d):
+    return syntax.found(table(spark, d, "source_files"))
+
+
+def p6_rates(spark, d):
+    return syntax.rates(table(spark, d, "source_files"))
+
+
 def p7_found(spark, d):
     return neighbours.found(table(spark, d, "chunks"), table(spark, d, "code_nodes"))
 
@@ -59,7 +75,7 @@ def p10_composition(spark, d):
     return subjects.composition(*_labelled(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_reasons, p5_found, p5_pieces, p7_found, p8_found, p8_packing, p8_report, p9_mixture, p9_report, p10_found, p10_composition)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_pairs, p3_found, p3_reasons, p5_found, p5_pieces, p6_found, p6_rates, p7_found, p8_found, p8_packing, p8_report, p9_mixture, p9_report, p10_found, p10_composition)}
 
 SQL = {
     "p5_found": """
