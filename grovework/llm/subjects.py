@@ -6,7 +6,7 @@
    by frequency and dealt to groups; every transaction is sent to the groups of its items, cut behind the last of them;
    each group grows a prefix tree whose nodes hold subject counts and mines the rules (up to ``MAX_ITEMS`` items ->
    subject) ending in its items.
-3. Redundant rules are pruned: those no more confident than a rule with a part of their items.
+3. Redundant rules are pruned where they are mined: those that a rule with a part of their items makes needless.
 4. Every document is scored: each match of a rule is evidence for its subject. The evidence and its share among all
    subjects are calibrated to a probability by logistic regression on the labelled documents; a document is about the
    subjects of a probability of at least one half. Evidence of a passing mention has a small share.
@@ -32,7 +32,8 @@ from pyspark.sql import functions as F
 from grovework.runtime import cut, ship
 
 LABELLED_ROWS = 20_000
-MIN_SUPPORT = 3
+MIN_SUPPORT = 3  # documents, and at least MIN_SHARE of the labelled ones
+MIN_SHARE = 0.0005
 MIN_CONFIDENCE = 0.6
 CHI_SQUARE = 10.83  # 0.1 % level, one degree of freedom
 MAX_ITEMS = 2
@@ -149,6 +150,7 @@ def mine_rules(trans: DataFrame, least: int = MIN_SUPPORT, confidence: float = M
     """
     spark = trans.sparkSession
     n_docs = trans.count()
+    least = max(least, round(n_docs * MIN_SHARE))
     totals = {r["s"]: r["n"] for r in trans.select(F.explode("subjects").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not totals:
         return pd.DataFrame({"items": [], "subject": [], "support": [], "confidence": []})
@@ -160,14 +162,17 @@ def mine_rules(trans: DataFrame, least: int = MIN_SUPPORT, confidence: float = M
     gap = k * all_ - n * size
     chi = gap * gap * all_ / F.greatest(n * size * (all_ - n) * (all_ - size), F.lit(1e-9))
     tied = joint.where((gap > 0) & ((chi >= CHI_SQUARE) | (k >= all_ * 0.999)))
-    kept = tied.groupBy("item").agg(F.max("n").alias("n")).toPandas().sort_values(["n", "item"], ascending=[False, True])
+    share = F.max(k / n).alias("share")
+    kept = tied.groupBy("item").agg(F.max("n").alias("n"), share).toPandas().sort_values(["n", "item"], ascending=[False, True])
     order = {x: i for i, x in enumerate(kept["item"])}
     names = sorted(totals)
     place = {s: i for i, s in enumerate(names)}
-    shared = spark.sparkContext.broadcast((order, place))
+    alone = {i for i, c in enumerate(kept["share"]) if c >= confidence}  # items that are rules by themselves
+    sizes = [totals[s] for s in names]
+    shared = spark.sparkContext.broadcast((order, place, alone))
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rank, number = shared.value
+        rank, number, single = shared.value
         for pdf in batches:
             rows = []
             for items, subjects in zip(pdf["items"], pdf["subjects"]):
@@ -178,7 +183,8 @@ def mine_rules(trans: DataFrame, least: int = MIN_SUPPORT, confidence: float = M
                     g = t[j] % GROUPS
                     if g not in met:
                         met.add(g)
-                        rows.append((g, t[: j + 1], s))
+                        # beside the group's own items only those that may take part in a longer rule
+                        rows.append((g, [x for x in t[: j + 1] if x not in single or x % GROUPS == g], s))
             yield pd.DataFrame(rows, columns=["grp", "items", "subjects"])
 
     def mine(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -190,21 +196,22 @@ def mine_rules(trans: DataFrame, least: int = MIN_SUPPORT, confidence: float = M
             own.update(i for i in items if i % GROUPS == g)
         rows = []
         for i in sorted(own):
-            for items, support, by in tree.grow(i, longest, least):
+            for items, support, by in tree.grow(i, 1 if i in alone else longest, least):
                 s, k = min(by.items(), key=lambda x: (-x[1], x[0]), default=(0, 0))
-                if k >= least and k / support >= confidence:
+                if k < least or k / support < confidence or (len(items) > 1 and any(x in alone for x in items)):
+                    continue  # infrequent, unsure, or redundant beside a rule with fewer items
+                off = k * n_docs - support * sizes[s]
+                if len(items) == 1 or (off > 0 and off * off * n_docs >= CHI_SQUARE * support * sizes[s] * (n_docs - support) * (n_docs - sizes[s])):
                     rows.append((sorted(items), s, support, k / support))
         return pd.DataFrame(rows, columns=["items", "subject", "support", "confidence"])
 
     dealt = trans.mapInPandas(deal, "grp int, items array<int>, subjects array<int>")
     mined = dealt.groupBy("grp").applyInPandas(mine, "items array<int>, subject int, support long, confidence double").toPandas()
     words = kept["item"].tolist()
-    best = {tuple(i): (s, c) for i, s, c in zip(map(tuple, mined["items"]), mined["subject"], mined["confidence"])}
-    keep = []
-    for items, s, support, c in zip(map(tuple, mined["items"]), mined["subject"], mined["support"], mined["confidence"]):
-        parts = [best.get((x,)) for x in items] if len(items) > 1 else []
-        if all(p is None or (p[1] < c - 1e-9 and p[0] == s) for p in parts) and (len(items) == 1 or any(p is not None for p in parts) is False):
-            keep.append((tuple(words[x] for x in items), names[s], int(support), float(c)))
+    keep = [
+        (tuple(words[x] for x in items), names[s], int(support), float(c))
+        for items, s, support, c in zip(mined["items"], mined["subject"], mined["support"], mined["confidence"])
+    ]
     return pd.DataFrame(keep, columns=["items", "subject", "support", "confidence"])
 
 
