@@ -64,6 +64,10 @@ def path_allowed(path: Column, include: list[str] | None = None, exclude: list[s
     return F.coalesce(ok & ~matches_any(p, exclude) if exclude else ok, F.lit(False))
 
 
+def _like(rx: str):
+    return lambda x: x.rlike(rx)
+
+
 def scan_match(path: Column, patterns: list[str]) -> Column:
     """Scan pattern: equal, below a folder, a glob on the path, on the base name, or on any component."""
     parts = F.split(path, "/")
@@ -71,7 +75,7 @@ def scan_match(path: Column, patterns: list[str]) -> Column:
     for p in patterns:
         p = p.strip().lstrip("./").rstrip("/")
         rx = glob_regex(p)
-        found = found | (path == p) | path.startswith(p + "/") | path.rlike(rx) | F.exists(parts, lambda x, rx=rx: x.rlike(rx))
+        found = found | (path == p) | path.startswith(p + "/") | path.rlike(rx) | F.exists(parts, _like(rx))
     return found
 
 

@@ -17,6 +17,10 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^a-z0-9_]+"), lambda t: t != "")
 
 
+def _equals(term: str):
+    return lambda x: x == term
+
+
 def bm25(docs: DataFrame, query: str, keys: list[str], text: str, scope: str = "project") -> DataFrame:
     """``keys, score`` of the documents that have a term of the query; statistics per ``scope`` column.
 
@@ -29,7 +33,7 @@ def bm25(docs: DataFrame, query: str, keys: list[str], text: str, scope: str = "
     base = docs.where(F.col(text).isNotNull()).select(*keys, tokens(F.col(text)).alias("_t")).select(
         *keys,
         F.size("_t").alias("_dl"),
-        F.array(*[F.struct(F.lit(t).alias("term"), F.size(F.filter("_t", lambda x, t=t: x == t)).alias("tf")) for t in terms]).alias("_f"),
+        F.array(*[F.struct(F.lit(t).alias("term"), F.size(F.filter("_t", _equals(t))).alias("tf")) for t in terms]).alias("_f"),
     )
     corpus = base.groupBy(scope).agg(F.count(F.lit(1)).alias("_n"), F.avg("_dl").alias("_avg"), *[F.sum(F.when(F.col("_f")[i]["tf"] > 0, 1).otherwise(0)).alias(f"_df{i}") for i in range(len(terms))])
     hit = base.where(F.exists("_f", lambda x: x["tf"] > 0)).join(corpus, scope)

@@ -543,14 +543,14 @@ def cst01_index_cost(spark, d):
 # ---- 2.10 search ----
 
 _BM = """
-tok AS (SELECT {keys}, list_filter(regexp_split_to_array(lower({text}), '[^a-z0-9_]+'), x -> x <> '') AS t FROM {src} WHERE {text} IS NOT NULL),
+tok AS (SELECT {keys}, list_filter(regexp_split_to_array(lower({text}), '[^a-z0-9_]+'), lambda x: x <> '') AS t FROM {src} WHERE {text} IS NOT NULL),
 b AS (SELECT *, len(t) AS dl, [{tfs}] AS tf FROM tok),
 c AS (SELECT {scope}, count(*) AS n, avg(dl) AS av, {dfs} FROM b GROUP BY {scope})"""
 
 
 def _bm(keys: str, text: str, src: str, scope: str, terms: list[str]) -> tuple[str, str]:
     terms = sorted(terms)
-    tfs = ", ".join(f"len(list_filter(t, x -> x = '{x}'))" for x in terms)
+    tfs = ", ".join(f"len(list_filter(t, lambda x: x = '{x}'))" for x in terms)
     dfs = ", ".join(f"count(*) FILTER (tf[{i + 1}] > 0) AS df{i}" for i in range(len(terms)))
     part = " + ".join(
         f"CASE WHEN tf[{i + 1}] > 0 THEN ln(1 + (n - df{i} + 0.5) / (df{i} + 0.5)) * tf[{i + 1}] * 2.2 / (tf[{i + 1}] + 1.2 * (0.25 + 0.75 * dl / av)) ELSE 0 END" for i in range(len(terms))
