@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("structure", "graph")
+MODULES = ("structure", "graph", "pipeline")
 
 
 def all_queries() -> dict:
