@@ -114,7 +114,7 @@ def mix(sizes: DataFrame, mix_targets: DataFrame, budget: float | None = None, s
     """``doc_id, source, n_tokens, use`` of every drawn record, a record used n times being n rows (``use`` 1 to n)."""
     spark = sizes.sparkSession
     targets = _targets(mix_targets)
-    wanted = sizes.where((F.col("n_tokens") > 0) & F.col("source").isin(list(targets)))
+    wanted = sizes.select("doc_id", "source", "n_tokens").where((F.col("n_tokens") > 0) & F.col("source").isin(list(targets)))
     block = lambda use: F.pmod(F.xxhash64("doc_id", F.lit(seed), use), F.lit(blocks))
     total = {r["source"]: int(r["n"]) for r in wanted.groupBy("source").agg(F.sum("n_tokens").alias("n")).collect()}
     weights, size, _ = solve(total, targets, budget)

@@ -186,7 +186,9 @@ def _search(reps: DataFrame, queries, k: int, floor: float, candidates: int) ->
 
     asked = index if queries is None else index.where(queries)
     routed = asked.select("vec_field", "rid", "unit").mapInPandas(route, "vec_field string, c1 int, grp int, rid long, unit binary, cells array<int>")
-    grp = F.floor(F.col("c2") / F.create_map(*[F.lit(z) for f, w in width.items() for z in (f, w)])[F.col("vec_field")]).cast("int")
+    grp = F.lit(0)
+    for f, w in width.items():
+        grp = F.when(F.col("vec_field") == f, F.floor(F.col("c2") / F.lit(w)).cast("int")).otherwise(grp)
     held = index.select("vec_field", "c1", grp.alias("grp"), "c2", "rid", "unit")
 
     def compare(own: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:

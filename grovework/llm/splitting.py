@@ -87,7 +87,7 @@ def split_text(text: str, limit: int, overlap: int) -> list[tuple[int, int, int]
     n = len(atoms)
     start = [0] + [e for e, _ in atoms[:-1]]
     end = [e for e, _ in atoms]
-    left, right, alive = list(range(-1, n - 1)), list(range(1, n + 1)), [True] * n
+    right, last, alive = list(range(1, n + 1)), list(range(n)), [True] * n
     # (strength, size after merging, left segment, right segment): among equals the smallest result first
     heap = [(atoms[i][1], end[i + 1] - start[i], i, i + 1) for i in range(n - 1)]
     heapq.heapify(heap)
@@ -101,9 +101,9 @@ def split_text(text: str, limit: int, overlap: int) -> list[tuple[int, int, int]
         if size > (limit if start[a] == 0 else most):
             continue  # segments only grow: this boundary stays
         end[a], alive[b] = end[b], False
-        right[a] = right[b]
-        if right[b] < n:
-            left[right[b]] = a
+        right[a], last[a] = right[b], last[b]
+        if right[a] < n:  # the boundary on the right now belongs to the merged segment
+            heapq.heappush(heap, (atoms[last[a]][1], end[right[a]] - start[a], a, right[a]))
     return [(max(0, start[i] - overlap) if start[i] else 0, start[i], end[i]) for i in range(n) if alive[i]]
 
 
