@@ -104,7 +104,7 @@ postfix = primary { suffix } ;
 suffix = '.' ( NAME | PRIVATE ) | '?.' ( NAME | PRIVATE | '[' expr ']' | args | template ) | '[' expr ']' | args | template | '++' | '--' | tssuffix ;
 args = '(' [ arg { ',' arg } [ ',' ] ] ')' ;
 arg = [ '...' ] assign ;
-primary = primarynb | object | function | classexpr ;
+primary = primarynb | object | functionexpr | classexpr ;
 primarynb = ID | NUMBER | STRING | template | REGEX | 'this' | 'super' | 'null' | 'true' | 'false' | array | '(' expr ')'
           | 'import' ( '(' assign [ ',' assign ] [ ',' ] ')' | '.' NAME ) | 'new' '.' NAME | PRIVATE ;
 exprstmt = startop { more } [ '?' assign ':' assign ] { ',' assign } | yield { ',' assign } ;
@@ -118,8 +118,9 @@ template = TEMPLATE | THEAD expr { TMIDDLE expr } TTAIL ;
 arrow = [ 'async' ] ( ID | tparams '(' [ params ] ')' ret ) '=>' ( block | assign ) ;
 params = param { ',' param } [ ',' ] ;
 param = { decorator } modifiers [ '...' ] ( binding | tsthis ) opt ann [ '=' assign ] ;
-function = [ 'async' ] 'function' [ '*' ] [ ID ] tparams '(' [ params ] ')' ret fbody ;
-class = { decorator } abstract 'class' [ ID ] tparams heritage '{' { member } '}' ;
+function = [ 'async' ] 'function' [ '*' ] ID tparams '(' [ params ] ')' ret fbody ;
+functionexpr = [ 'async' ] 'function' [ '*' ] [ ID ] tparams '(' [ params ] ')' ret fbody ;
+class = { decorator } abstract 'class' ID tparams heritage '{' { member } '}' ;
 classexpr = { decorator } 'class' [ ID ] tparams heritage '{' { member } '}' ;
 heritage = [ 'extends' postfix targs ] implements ;
 decorator = '@' ( '(' expr ')' | ID { '.' NAME } [ args ] ) ;
@@ -131,8 +132,8 @@ with = [ 'with' object ] ;
 clause = ID [ ',' ( '*' 'as' ID | specs ) ] | '*' 'as' ID | specs ;
 specs = '{' [ spec { ',' spec } [ ',' ] ] '}' ;
 spec = typeonly ( NAME | STRING ) [ 'as' ( NAME | STRING ) ] ;
-export = 'export' ( var eos | function | class | 'default' ( function | class | assign eos | tsdefault ) | '*' [ 'as' ( NAME | STRING ) ] 'from' STRING with eos
-       | typeonly specs [ 'from' STRING with ] eos | tsexport ) | { decorator } 'export' [ 'default' ] class ;
+export = 'export' ( var eos | function | class | 'default' ( functionexpr | abstract classexpr | assign eos | tsdefault ) | '*' [ 'as' ( NAME | STRING ) ] 'from' STRING with eos
+       | typeonly specs [ 'from' STRING with ] eos | tsexport ) | { decorator } 'export' ( class | 'default' abstract classexpr ) ;
 """
 
 JAVASCRIPT = _ECMA + r"""
@@ -157,7 +158,7 @@ abstract = [ 'abstract' ] ;
 typeonly = [ 'type' ] ;
 cmods = { 'static' | 'public' | 'private' | 'protected' | 'readonly' | 'override' | 'abstract' | 'declare' | 'accessor' } ;
 fbody = block | eos ;
-astype = ( 'as' | 'satisfies' ) type ;
+astype = ( 'as' | 'satisfies' ) ( type | 'const' ) ;
 cast = '<' type '>' ;
 tssuffix = '!' | targlist ;
 tsthis = 'this' ;

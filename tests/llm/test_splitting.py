@@ -22,7 +22,7 @@ def test_natural_boundaries():
     text = "def a():\n    x = 1\n    y = 2\n\n\ndef b():\n    z = 3\n    return z\n"
     assert [text[new:hi] for _, new, hi in S.split_text(text, 40, 4)] == ["def a():\n    x = 1\n    y = 2\n\n\n", "def b():\n    z = 3\n    return z\n"]
     text = "One one. Two two. Three."
-    assert [text[new:hi] for _, new, hi in S.split_text(text, 20, 0)] == ["One one. Two two.", " Three."]
+    assert [text[new:hi] for _, new, hi in S.split_text(text, 20, 0)] == ["One one.", " Two two. Three."]
     pieces = S.split_text("\n".join(f"    line {i}" for i in range(100)), 200, 20)
     assert len(pieces) <= 8  # no boundary is lost while merging
 
