@@ -28,11 +28,11 @@ def glob_regex(pattern: str) -> str:
         elif c == "?":
             out.append(".")
         elif c == "[":
-            end = pattern.find("]", i + 1 if pattern[i : i + 1] not in ("!", "]") else i + 2)
+            end = pattern.find("]", i + 1 if pattern[i : i + 1] != "!" else i + 2)
             if end < 0:
                 out.append(r"\[")
             else:
-                body = pattern[i:end].replace("\\", "\\\\")
+                body = pattern[i:end].replace("\\", "\\\\").replace("]", "\\]").replace("[", "\\[")
                 body = "^" + body[1:] if body.startswith("!") else ("\\" + body if body.startswith("^") else body)
                 out.append(f"[{body}]")
                 i = end + 1

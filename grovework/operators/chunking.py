@@ -25,7 +25,7 @@ def body_windows(bodies: DataFrame, size: int = WINDOW_LINES, overlap: int = OVE
     text = F.array_join(F.slice("lines", F.col("_at") + 1, size), "\n")
     end = F.col("line_start") + F.least(F.col("_at") + size, F.size("lines")) - 1
     out = w.select(*rest, "window", text.alias("content"), (F.col("line_start") + F.col("_at")).alias("start_line"), end.alias("end_line"))
-    return out.where(F.trim("content") != "")
+    return out.where(F.col("content").rlike(r"\S"))
 
 
 def node_bodies(nodes: DataFrame, files: DataFrame) -> DataFrame:
@@ -44,7 +44,7 @@ def char_windows(docs: DataFrame, keys: list[str], text: str, size: int, overlap
     n = F.length(F.col(text))
     count = F.greatest(F.ceil((n - F.lit(overlap)) / F.lit(float(step))).cast("int"), F.lit(1))
     w = docs.where(n > 0).select(*keys, F.col(text).alias("_t"), F.explode(F.sequence(F.lit(0), count - 1)).alias("window"))
-    return w.select(*keys, "window", F.substring("_t", F.col("window") * step + 1, F.lit(size)).alias("content")).where(F.trim("content") != "")
+    return w.select(*keys, "window", F.substring("_t", F.col("window") * step + 1, F.lit(size)).alias("content")).where(F.col("content").rlike(r"\S"))
 
 
 def with_ids(chunks: DataFrame) -> DataFrame:

@@ -462,10 +462,28 @@ class Compiler:
                 found = self.filtered(found, c.where)
             new = [x for x in found.columns if x not in shared and x != key]
             return df.withColumn(key, F.sha2(F.to_json(F.struct(*shared)), 256)).join(found.select(key, *new), key, "left").drop(key)
+        if df is not None and not any(t.startswith("struct<project") for _, t in df.dtypes):
+            return self.linked(df, c)
         for p in c.patterns:
             df = self.bind(df, p)
         return df if c.where is None else self.filtered(df, c.where)
 
+    def linked(self, df: DataFrame, c: Clause) -> DataFrame:
+        """Rows of values (from UNWIND) meet a pattern by the equality in WHERE that links them; there is no cross join."""
+        found = None
+        for p in c.patterns:
+            found = self.bind(found, p)
+
+        def conjuncts(e):
+            return conjuncts(e[1]) + conjuncts(e[2]) if e and e[0] == "and" else [e] if e else []
+
+        for e in conjuncts(c.where):
+            for a, b in ((e[1], e[2]), (e[2], e[1])) if e[0] == "=" else ():
+                if a[0] == "prop" and a[1][0] == "var" and a[1][1] in found.columns and b[0] == "var" and b[1] in df.columns:
+                    both = df.join(found, F.col(f"{a[1][1]}.{a[2]}") == F.col(f"`{b[1]}`"))
+                    return self.filtered(both, c.where)
+        raise CypherError("a pattern after UNWIND needs an equality with the unwound value")
+
     def filtered(self, df: DataFrame, e: tuple) -> DataFrame:
         """Conjuncts one by one; pattern predicates become semi and anti joins."""
         if e[0] == "and":

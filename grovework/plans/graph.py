@@ -466,7 +466,7 @@ def sr05_search_entities(spark, d):
 @query(
     """SELECT doc_id, w AS "window", substring(text, w * 400 + 1, 500) AS content FROM (
   SELECT doc_id, text, unnest(range(0, greatest(ceil((length(text) - 100) / 400.0), 1)::BIGINT))::INT AS w FROM documents WHERE length(text) > 0)
-WHERE trim(substring(text, w * 400 + 1, 500)) <> ''"""
+WHERE regexp_matches(substring(text, w * 400 + 1, 500), '\\S')"""
 )
 def chk06_char_windows(spark, d):
     return K.char_windows(table(spark, d, "documents"), ["doc_id"], "text", 500, 100)
@@ -495,7 +495,7 @@ body AS (SELECT l.project, l.id, l.line_start, l.line_end, string_split(replace(
         LIVE, _BODY,
         """win AS (SELECT *, unnest(range(0, greatest(ceil((len(lines) - 5) / 15.0), 1)::BIGINT))::INT AS w FROM body WHERE len(lines) > 0)""",
         body="""SELECT project, id, w AS "window", sha256(array_to_string(lines[w * 15 + 1 : w * 15 + 20], chr(10))) AS hash, line_start + w * 15 AS start_line,
-  (line_start + least(w * 15 + 20, len(lines)) - 1)::INT AS end_line FROM win WHERE trim(array_to_string(lines[w * 15 + 1 : w * 15 + 20], chr(10))) <> ''""",
+  (line_start + least(w * 15 + 20, len(lines)) - 1)::INT AS end_line FROM win WHERE regexp_matches(array_to_string(lines[w * 15 + 1 : w * 15 + 20], chr(10)), '\\S')""",
     )
 )
 def chk02_body_windows(spark, d):

@@ -163,10 +163,11 @@ def brace_file(text: str, path: str, kind: str) -> list[dict]:
 
     def add(d: dict) -> None:
         out.append(d)
-        byid[d["id"]] = d
+        if d["record"] == "node":
+            byid[d["id"]] = d
 
     for i, line in enumerate(clean):
-        head = raw[i].strip().rstrip("{").strip()
+        head, called = raw[i].strip().rstrip("{").strip(), line
         owner = next((s for s in reversed(stack) if s[2] in ("class", "struct", "trait", "enum", "impl", "interface")), None)
         inside = next((s for s in reversed(stack) if s[2] in ("function", "method")), None)
         if kind == "go":
@@ -222,9 +223,9 @@ def brace_file(text: str, path: str, kind: str) -> list[dict]:
                     add(node(own, name, t, path, i + 1, i + 1, head, _comment_before(raw, i), parent))
                     add(edge(parent, "CONTAINS", own))
                     pending = (own, t)
-                    line = line[m.end() :]
+                    called = line[m.end() :]
         source = inside[1] if inside else pending[0] if pending and pending[1] in ("function", "method") and "{" in line else path
-        for c in _CALL.finditer(line):
+        for c in _CALL.finditer(called):
             callee = re.sub(r"\s+", "", c.group(1)).replace("::", ".")
             if callee.split(".")[0] not in _NOT_CALLS and (inside or depth == 0):
                 n += 1
@@ -278,7 +279,7 @@ def parse(files: DataFrame) -> DataFrame:
                     found = parser(text, path)
                 except (SyntaxError, ValueError, RecursionError) as e:
                     found = [{"record": "failure", "id": path, "file_path": path, "facts": str(e)[:200]}]
-                rows += [{"project": project, **r} for r in found]
+                rows += [(project, *[r.get(c) for c in NAMES[1:]]) for r in found]
             out = pd.DataFrame(rows, columns=NAMES)
             for c in ("line_start", "line_end", "ordinal"):
                 out[c] = out[c].astype("Int32")

@@ -8,6 +8,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 LEASE_SECONDS = 120
 
@@ -39,12 +40,15 @@ class GraphStore:
         if not self._fs.rename(tmp, final):
             raise OSError(f"cannot replace {name}")
 
-    def tables(self) -> dict[str, str]:
+    def tables(self) -> dict[str, dict]:
         return self._read("current.json")
 
     def load(self, name: str) -> DataFrame | None:
-        folder = self.tables().get(name)
-        return None if folder is None else self.spark.read.parquet(f"{self.root}/{folder}")
+        at = self.tables().get(name)
+        if at is None:
+            return None
+        schema = StructType.fromJson(at["schema"])  # kept with the pointer, so that empty tables can be read too
+        return self.spark.read.schema(schema).parquet(f"{self.root}/{at['folder']}")
 
     def commit(self, **tables: DataFrame) -> None:
         """Write the given tables as a new version; tables not given stay. Small files per project are avoided by clustering."""
@@ -54,7 +58,7 @@ class GraphStore:
             out = df.repartition("project") if "project" in df.columns else df
             w = out.write.partitionBy("project") if "project" in df.columns else out.write
             w.parquet(f"{self.root}/{folder}")
-            now[name] = folder
+            now[name] = {"folder": folder, "schema": json.loads(df.schema.json())}
         self._write("current.json", now)
 
     def drop_project(self, project: str) -> None:
