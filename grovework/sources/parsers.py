@@ -132,6 +132,8 @@ _BLANK = re.compile(r"//[^\n]*|/\*[\s\S]*?\*/|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n
 _CALL = re.compile(r"(?<![\w.$])((?:[A-Za-z_$][\w$]*\s*(?:\.|::)\s*)*[A-Za-z_$][\w$]*)\s*(?:::<[^>]*>)?\(")
 _NOT_CALLS = set("if for while switch catch return function func fn match loop new typeof await go defer select case else do throw in of and or not super constructor".split())
 
+_CONTROL = {"if", "for", "while", "switch", "catch", "return", "function", "with", "do", "else"}
+
 
 def _strip(text: str) -> str:
     """Comments and strings replaced by blanks, line breaks kept."""
@@ -212,7 +214,7 @@ def brace_file(text: str, path: str, kind: str) -> list[dict]:
                 method = bool(m)
             if m and not inside:
                 name = m.group("name") or m.groupdict().get("arrow")
-                if name and name not in _NOT_CALLS | {"constructor"} or name == "constructor":
+                if name and not (method and name in _CONTROL):
                     if kind == "go" and m.group("type"):
                         own, parent, t = f"{path}::{m.group('type')}.{name}", path, "method"
                         receivers[own] = m.group("recv") or ""
