@@ -38,16 +38,26 @@ SUFFIXES = {".py": "python", ".pyi": "python", ".js": "javascript", ".mjs": "jav
 
 #: Folders that hold third-party copies.
 VENDOR_FOLDERS = {"vendor", "vendored", "_vendor", "node_modules", "bower_components", "third_party", "third-party", "thirdparty", "site-packages", "dist-packages", "extern", "externals", "godeps", "jspm_packages"}
+#: Folders that generators write to.
+GENERATED_FOLDERS = {"__generated__", "_generated", "autogen", "__autogen__"}
 _RELEASE_FOLDER = re.compile(r"(^|/)(deps|packages|pods)/[^/]*[a-z][^/]*-v?\d+(\.\d+)+[^/]*/", re.I)
 
 #: Names that code generators give to files.
 GENERATED_NAMES = re.compile(r"(_pb2|_pb2_grpc)\.pyi?$|\.pb(\.gw)?\.go$|_grpc\.pb\.\w+$|_pb\.(d\.)?[jt]s$|\.(generated|g|gen|designer)\.\w+$|(^|/)zz_generated[._]\w+\.go$|_(generated|string)\.go$|\.min\.(js|mjs|cjs)$|\.bundle\.(js|mjs|cjs)$", re.I)
 
+#: What headers of machine-made files say, in four languages.
 _HEADER = re.compile(
-    r"code generated\b.*\bdo not (edit|modify)|@generated\b|<auto-?generated|\bdo not (edit|modify)\b\s*([:.!,;]|by hand|manually|this file|$)|^\W*(this (file|code) (is|was|has been) )?((auto(matically)?)[- ]?)?generated (from|by|with|using)\b",
+    r"code generated\b.*\bdo not (edit|modify)|@generated\b|<auto-?generated|\bmachine[- ](made|generated|written|produced)\b"
+    r"|\b(do not|don't|never) (edit|modify|change|touch)\b\s*([:.!,;]|by hand|manually|this file|directly|$)|\b(edit|change|modify) the (source|schema|template|grammar|generator|input)\b.{0,20}\binstead\b"
+    r"|\b(changes|edits|modifications)\b.{0,30}\b(lost|overwritten|discarded|reverted)\b"
+    r"|\b(file|code|module|source)\b.{0,20}\b(automatically|machine|auto)[- ]?(generated|created|made|produced|written|built)\b"
+    r"|^\W*(this (file|code|module) (is|was|has been) )?((auto(matically)?)[- ]?)?(generated|created|produced|built|compiled|emitted) (automatically )?(from|by|with|using)\b"
+    r"|\bautomatisch (erzeugt|generiert|erstellt)\b|\bnicht (bearbeiten|ändern|editieren|verändern)\b"
+    r"|\b(généré|créé|produit)e? automatiquement|\bautomatiquement (généré|créé)|\bne pas (modifier|éditer|changer)\b"
+    r"|\b(generad|cread)[oa] automáticamente|\bautomáticamente (generad|cread)[oa]|\b(genera|generó|creó) automáticamente|\bno (editar|modificar|edite|modifique)\b",
     re.I,
 )
-_BY_HAND = re.compile(r"\b(maintained|edited|written|changed) by hand\b|\bnot generated\b|\bhand-?(written|edited)\b", re.I)
+_BY_HAND = re.compile(r"\bby hand since\b|\b(maintained|edited|written|changed) by hand\b|\bnot generated\b|\bhand-?(written|edited)\b", re.I)
 
 
 @dataclass(frozen=True)
@@ -58,12 +68,14 @@ class Limits:
     long_share: float = 0.5  # share of all characters in long lines
     mean: float = 110.0
     white: float = 0.12  # minified text has less white space
+    wrapped_mean: float = 60.0  # the same for minified text that is wrapped at some width
+    wrapped_white: float = 0.065
     data_share: float = 0.55  # share of literals among what is no white space
     data_chars: int = 300
     numbers: float = 0.4  # numeric literals among all words
 
 
-LIMITS = {"python": Limits(white=0.1), "go": Limits(), "rust": Limits(), "javascript": Limits(), "typescript": Limits(), "": Limits()}
+LIMITS = {"python": Limits(white=0.1, wrapped_mean=80.0, wrapped_white=0.05), "go": Limits(), "rust": Limits(), "javascript": Limits(), "typescript": Limits(), "": Limits()}
 
 _LEX = {
     "python": re.compile(r"(?P<doc>(?:[rRbBuUfF]{0,2})(?:\"\"\"[\s\S]*?(?:\"\"\"|\Z)|'''[\s\S]*?(?:'''|\Z)))|(?P<str>[rRbBuUfF]{0,2}(?:\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'))|(?P<com>#[^\n]*)"),
@@ -97,7 +109,7 @@ def header_of(text: str, language: str) -> list[str]:
 
 
 def is_generated(path: str, text: str, language: str) -> bool:
-    if GENERATED_NAMES.search(path):
+    if GENERATED_NAMES.search(path) or GENERATED_FOLDERS & set(path.split("/")[:-1]):
         return True
     lines = [x.strip().strip("#/*\"'!- \t\r").strip() for x in header_of(text, language)[:40]]
     return any(_HEADER.search(x) for x in lines) and not any(_BY_HAND.search(x) for x in lines)
@@ -154,8 +166,11 @@ def layout(text: str, language: str) -> dict[str, float]:
 
 
 def is_minified(s: dict[str, float], limits: Limits) -> bool:
+    if not s["defines"]:
+        return False
     long = s["longest"] > limits.longest and s["long_chars"] >= limits.long_share
-    return s["white"] < limits.white and s["defines"] > 0 and (long or s["mean"] > limits.mean)
+    wrapped = s["mean"] > limits.wrapped_mean and s["white"] < limits.wrapped_white
+    return wrapped or (s["white"] < limits.white and (long or s["mean"] > limits.mean))
 
 
 def is_data(s: dict[str, float], limits: Limits) -> bool:

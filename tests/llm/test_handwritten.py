@@ -47,11 +47,22 @@ def test_generated():
     assert why("a.go", "// Licence: see LICENSE\n//\n// Code generated by x 3.1. DO NOT EDIT.\n\npackage a\n") == "generated"
     assert why("a.py", '"""Generated from grammar.g4 by tool 4.2"""\n\nx = 1\n') == "generated"
     assert why("a.js", "/*\n * <auto-generated />\n */\nlet a = 1\n") == "generated"
+    for line in ("built by `make stubs`; hand edits get overwritten", "Machine-made from api.yaml on 2023-05-02, edit the source instead", "This file was automatically created by x; changes will be lost.", "Diese Datei wurde automatisch erzeugt. Nicht bearbeiten.", "AUTOGENERATED FILE - do not modify by hand", "Fichier généré automatiquement", "Este archivo se generó automáticamente"):
+        assert why("a.rs", f"// {line}\n\nfn f() {{}}\n") == "generated", line
+    assert why("a/__generated__/b.ts", "let a = 1\n") == "generated"
+    for line in ("Notes on files the stub compiler writes.", "Scaffolded once with the tool and maintained by hand since then.", "Licence: see the LICENSE file in the repository root."):
+        assert why("a.rs", f"// {line}\n\nfn f() {{}}\n") is None, line
     assert why("a/b_pb2.py", BY_HAND) == "generated" and why("zz_generated_x.go", "package a\n") == "generated"
 
 
 def test_minified_and_data():
     assert why("a.js", MINIFIED) == "minified"
+    wrapped, line = "", ""
+    for part in MINIFIED.split(";"):
+        line += part + ";"
+        if len(line) > 70:
+            wrapped, line = wrapped + line + "\n", ""
+    assert why("a.js", "/*! widget */\n" + wrapped + line) == "minified"
     assert why("t.go", "package p\n\nvar blob = []byte{\n" + "\t0xdd, 0x80, 0x89, 0xc3,\n" * 100 + "}\n") == "data"
     assert why("t.ts", "export const rows = [\n" + '  { id: 1, name: "x", qty: 843, lat: 37.74388 },\n' * 60 + "];\n") == "data"
     assert why("t.py", 'CSV = """id;name\n' + "1;cache;243\n" * 60 + '"""\n') == "data"
