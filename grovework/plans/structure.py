@@ -73,7 +73,23 @@ WITH RECURSIVE cur AS (
   SELECT project, id FROM up WHERE anc = id GROUP BY ALL
 ), seen AS (SELECT DISTINCT project, id, anc FROM up)
 """
+_WALK = _TREE.rstrip() + """,
+cyc AS (SELECT s.project, s.id, min(s.anc) AS cycle_id FROM seen s JOIN rings r ON s.project = r.project AND s.anc = r.id GROUP BY s.project, s.id),
+nodes AS (SELECT l.*, c.cycle_id, r.id IS NOT NULL AS on_cycle, l.parent_id IS NULL OR (c.cycle_id IS NOT NULL AND c.cycle_id = l.id) AS top
+  FROM links l LEFT JOIN cyc c USING (project, id) LEFT JOIN rings r USING (project, id)),
+walk AS (
+  SELECT project, id, id AS pos, 0 AS steps FROM nodes
+  UNION ALL
+  SELECT w.project, w.id, n.parent_id, w.steps + 1 FROM walk w JOIN nodes n ON n.project = w.project AND n.id = w.pos WHERE NOT n.top
+)
+"""
 SQL = {
+    "p4_hierarchy": _WALK
+    + """
+SELECT n.project, n.id, CASE WHEN n.cycle_id IS NULL THEN p.root END AS root, p.path, p.depth, coalesce(d.k, 0) AS n_descendants, n.cycle_id, n.on_cycle
+FROM nodes n JOIN (SELECT project, id, string_agg(pos, ' > ' ORDER BY steps DESC) AS path, max(steps) AS depth, arg_max(pos, steps) AS root FROM walk GROUP BY ALL) p USING (project, id)
+LEFT JOIN (SELECT project, pos AS id, count(*) AS k FROM walk WHERE steps > 0 GROUP BY ALL) d USING (project, id)""",
+    "p4_descendants": _WALK + "SELECT project, pos AS ancestor, id AS descendant, steps AS distance FROM walk WHERE steps > 0",
     "p1_found": _RESOLVED + "SELECT project, source, edge_type, target, side, reason FROM resolved WHERE reason IS NOT NULL",
     "p1_report": _RESOLVED
     + """
