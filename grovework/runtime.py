@@ -53,7 +53,7 @@ def shared_dir(spark: SparkSession) -> str:
     folder = spark.conf.get(CHECKPOINT_KEY, None)
     if folder:
         return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
+    if spark.sparkContext.master.split("[")[0] != "local":
         raise RuntimeError(f"{CHECKPOINT_KEY} must name a folder that all executors share")
     made = _own_folder()
     spark.conf.set(CHECKPOINT_KEY, made)
