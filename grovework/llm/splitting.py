@@ -88,22 +88,19 @@ def split_text(text: str, limit: int, overlap: int) -> list[tuple[int, int, int]
     start = [0] + [e for e, _ in atoms[:-1]]
     end = [e for e, _ in atoms]
     right, last, alive = list(range(1, n + 1)), list(range(n)), [True] * n
-    # (strength, size after merging, left segment, right segment): among equals the smallest result first
-    heap = [(atoms[i][1], end[i + 1] - start[i], i, i + 1) for i in range(n - 1)]
+    # (strength, left segment, right segment): among equal boundaries the leftmost first, so that pieces fill up
+    heap = [(atoms[i][1], i, i + 1) for i in range(n - 1)]
     heapq.heapify(heap)
     while heap:
-        strength, size, a, b = heapq.heappop(heap)
+        _, a, b = heapq.heappop(heap)
         if not (alive[a] and alive[b]) or right[a] != b:
             continue
-        if end[b] - start[a] != size:
-            heapq.heappush(heap, (strength, end[b] - start[a], a, b))
-            continue
-        if size > (limit if start[a] == 0 else most):
+        if end[b] - start[a] > (limit if start[a] == 0 else most):
             continue  # segments only grow: this boundary stays
         end[a], alive[b] = end[b], False
         right[a], last[a] = right[b], last[b]
         if right[a] < n:  # the boundary on the right now belongs to the merged segment
-            heapq.heappush(heap, (atoms[last[a]][1], end[right[a]] - start[a], a, right[a]))
+            heapq.heappush(heap, (atoms[last[a]][1], a, right[a]))
     return [(max(0, start[i] - overlap) if start[i] else 0, start[i], end[i]) for i in range(n) if alive[i]]
 
 
