@@ -309,7 +309,7 @@ _GUARDED = [
     ("MATCH (n {project: $project}) RETURN n LIMIT 5", False),
     ("MATCH (n) RETURN n", False),
     ("MATCH (n {project: $project}), (m) RETURN n, m", False),
-    ("CALL mg.load_all()", False),
+    ("CALL x.load_all()", False),
     ("MATCH (n {project: $project}) WHERE n.call = 'x' RETURN n.set", True),
     ("MATCH (n {project: $project}) WHERE n.name = 'DELETE ME' RETURN n.id", True),
     ("MATCH (n {project: $project}) RETURN n.id; MATCH (m {project: $project}) RETURN m", False),
