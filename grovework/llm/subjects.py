@@ -32,8 +32,7 @@ from pyspark.sql import functions as F
 from grovework.runtime import cut, ship
 
 LABELLED_ROWS = 20_000
-MIN_SUPPORT = 3  # documents, and at least MIN_SHARE of the labelled ones
-MIN_SHARE = 0.0005
+MIN_SUPPORT = 3  # documents, whatever the number of labelled ones
 MIN_CONFIDENCE = 0.6
 CHI_SQUARE = 10.83  # 0.1 % level, one degree of freedom
 MAX_ITEMS = 2
@@ -150,7 +149,6 @@ def mine_rules(trans: DataFrame, least: int = MIN_SUPPORT, confidence: float = M
     """
     spark = trans.sparkSession
     n_docs = trans.count()
-    least = max(least, round(n_docs * MIN_SHARE))
     totals = {r["s"]: r["n"] for r in trans.select(F.explode("subjects").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not totals:
         return pd.DataFrame({"items": [], "subject": [], "support": [], "confidence": []})

@@ -73,3 +73,10 @@ def test_growth_against_enumeration(longest):
 def test_items():
     assert S.text_items("The `skip_me` Court-room ruling, x9 Übung\nnext") == ["the", "court-room", "ruling", "court-room ruling", "x", "übung", "next"] or "court-room ruling" in S.text_items("The `skip_me` Court-room ruling")
     assert S.text_items(None) == []
+
+
+def test_support_does_not_grow_with_the_input(spark):
+    rows = [(i, ["food" if i % 10 else "law"], ["common"] + (["rare term"] if i in (0, 10, 20) else [])) for i in range(8000)]
+    trans = spark.createDataFrame([(*r, [1] * len(r[2])) for r in rows], "doc_id long, subjects array<string>, items array<string>, counts array<int>")
+    rules = S.mine_rules(trans, confidence=0.6)
+    assert (("rare term",), "law", 3) in set(zip(rules["items"], rules["subject"], rules["support"]))
