@@ -110,6 +110,13 @@ def _targets(mix_targets: DataFrame) -> dict[str, tuple[float, int]]:
     return {r["source"]: (r["t"], r["m"]) for r in rows}
 
 
+def whole_budget(sizes: DataFrame, mix_targets: DataFrame) -> int:
+    """As many tokens as the sources that can be drawn hold, so that the exponent is bisected instead of the size."""
+    able = [k for k, (share, most) in _targets(mix_targets).items() if share > 0 and most >= 1]
+    there = sizes.where((F.col("n_tokens") > 0) & F.col("source").isin(able))
+    return there.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("n")).first()["n"]
+
+
 def mix(sizes: DataFrame, mix_targets: DataFrame, budget: float | None = None, seed: int = 7, blocks: int = BLOCKS) -> DataFrame:
     """``doc_id, source, n_tokens, use`` of every drawn record, a record used n times being n rows (``use`` 1 to n)."""
     spark = sizes.sparkSession

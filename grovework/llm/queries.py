@@ -63,6 +63,11 @@ def p9_report(spark, d):
     return mixing.report(mixing.sized(table(spark, d, "documents")), table(spark, d, "mix_targets"))
 
 
+def p9_tempered(spark, d):
+    sizes, targets = mixing.sized(table(spark, d, "documents")), table(spark, d, "mix_targets")
+    return mixing.mix(sizes, targets, mixing.whole_budget(sizes, targets))
+
+
 def _labelled(spark, d):
     return table(spark, d, "documents"), table(spark, d, "subject_labels"), table(spark, d, "subjects")
 
@@ -75,7 +80,7 @@ def p10_composition(spark, d):
     return subjects.composition(*_labelled(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_pairs, p3_found, p3_reasons, p5_found, p5_pieces, p6_found, p6_rates, p7_found, p8_found, p8_packing, p8_report, p9_mixture, p9_report, p10_found, p10_composition)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_pairs, p3_found, p3_reasons, p5_found, p5_pieces, p6_found, p6_rates, p7_found, p8_found, p8_packing, p8_report, p9_mixture, p9_report, p9_tempered, p10_found, p10_composition)}
 
 SQL = {
     "p5_found": """

@@ -59,3 +59,21 @@ def test_empty(spark):
     assert drawn.count() == 0 and report.count() == 1
     drawn, _ = run(spark, [(1, "a", 5)], [])
     assert drawn.count() == 0
+
+
+def test_tempered_query_bisects(spark, sf):
+    from grovework.llm.queries import QUERIES
+    from grovework.runtime import table
+
+    sizes, targets = M.sized(table(spark, sf, "documents")), table(spark, sf, "mix_targets")
+    there = {r["source"]: r["n"] for r in sizes.where("source is not null").groupBy("source").agg({"n_tokens": "sum"}).withColumnRenamed("sum(n_tokens)", "n").collect()}
+    longest = {r["source"]: r["m"] for r in sizes.groupBy("source").agg({"n_tokens": "max"}).withColumnRenamed("max(n_tokens)", "m").collect()}
+    limits = {r["source"]: (r["target_share"], r["max_repeats"]) for r in targets.collect()}
+    budget = M.whole_budget(sizes, targets)
+    assert budget == sum(there.get(k, 0) for k in limits)
+    weights, size, a = M.solve(there, limits, budget)
+    assert size == budget and 0 < a < 1
+    drawn = QUERIES["p9_tempered"](spark, sf).collect()
+    total = sum(r["n_tokens"] for r in drawn)
+    assert budget - sum(longest[k] for k in weights) < total <= budget
+    assert all(r["use"] <= limits[r["source"]][1] for r in drawn)
