@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from grovework.operators.hierarchy import hierarchy
 from grovework.operators.model import CodeGraph
 from grovework.runtime import cut, release
 
@@ -137,6 +138,20 @@ def breadcrumbs(g: CodeGraph, depth: int = 25) -> DataFrame:
     return done.unionByName(state.select("project", "id", "path"))
 
 
+def all_breadcrumbs(g: CodeGraph) -> DataFrame:
+    """``project, id, path, depth, cycle_id`` of every live node, at any depth (``path``: names from the top down).
+
+    A parent that is not live ends the path. On or below a loop, ``cycle_id`` is the loop's smallest id and the path
+    starts there.
+    """
+    h = hierarchy(g.nodes.select("project", "id", "parent_id", F.lit(None).cast("timestamp").alias("indexed_at")))
+    steps = h.select("project", "id", "depth", "cycle_id", F.posexplode("path").alias("_k", "_at"))
+    names = g.nodes.select("project", F.col("id").alias("_at"), F.coalesce("name", F.lit("")).alias("_name"))
+    ordered = F.array_sort(F.collect_list(F.struct("_k", "_name")))
+    joined = steps.join(names, ["project", "_at"]).groupBy("project", "id", "depth", "cycle_id")
+    return joined.agg(F.transform(ordered, lambda x: x["_name"]).alias("path"))
+
+
 def module_edges(g: CodeGraph) -> DataFrame:
     """Weighted edges between modules of different files: each end is mapped to its file's module."""
     module = g.nodes.where(F.col("node_type").isin("module", "document")).groupBy("project", "file_path").agg(F.min("id").alias("module"))

@@ -227,6 +227,12 @@ def jn12_breadcrumbs(spark, d):
     return b.where(F.size("path") <= 25).select("project", "id", F.array_join(F.transform("path", lambda x: F.coalesce(x, F.lit(""))), " / ").alias("crumbs"))
 
 
+@query()
+def jn12_all_breadcrumbs(spark, d):
+    b = T.all_breadcrumbs(g(spark, d, "name", "parent_id"))
+    return b.select("project", "id", F.array_join("path", " / ").alias("crumbs"), "depth", "cycle_id")
+
+
 _HOP = "SELECT DISTINCT r.project, r.other AS id FROM rel r JOIN {a} a ON r.project = a.project AND r.id = a.id WHERE EXISTS (SELECT 1 FROM live l WHERE l.project = r.project AND l.id = r.other)"
 
 

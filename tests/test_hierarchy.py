@@ -73,3 +73,26 @@ def test_nulls_and_empty(spark):
 def test_descendants(spark):
     rows = H.descendants(H.hierarchy(frame(spark, [("p", "a", None), ("p", "b", "a"), ("p", "c", "b")]))).collect()
     assert sorted((r["ancestor"], r["descendant"], r["distance"]) for r in rows) == [("a", "b", 1), ("a", "c", 2), ("b", "c", 1)]
+
+
+def test_breadcrumbs_of_any_depth(spark):
+    from types import SimpleNamespace
+
+    from grovework.operators import traverse as T
+
+    links = [("p", f"n{i:03d}", f"n{i - 1:03d}" if i else None) for i in range(40)]
+    links += [("p", "b", "c"), ("p", "c", "b"), ("p", "d", "c"), ("p", "self", "self"), ("p", "alone", "nowhere")]
+    nodes = spark.createDataFrame([(p, i, q, None if i == "n000" else i.upper()) for p, i, q in links], "project string, id string, parent_id string, name string")
+    got = {(r["project"], r["id"]): (tuple(r["path"]), r["depth"], r["cycle_id"]) for r in T.all_breadcrumbs(SimpleNamespace(nodes=nodes)).collect()}
+    want = {k: (tuple("" if x == "n000" else x.upper() for x in path), len(path) - 1, cycle) for k, (_, path, _, cycle, _) in brute(links).items()}
+    assert got == want and got["p", "n025"][1] == 25 and len(got["p", "n039"][0]) == 40
+
+
+def test_breadcrumbs_query_leaves_no_node_out(spark, sf):
+    from grovework.operators import model as M
+    from grovework.plans import all_queries
+    from grovework.runtime import table
+
+    got = {(r["project"], r["id"]): r["crumbs"] for r in all_queries()["jn12_all_breadcrumbs"](spark, sf).collect()}
+    short = {(r["project"], r["id"]): r["crumbs"] for r in all_queries()["jn12_breadcrumbs"](spark, sf).collect()}
+    assert short.items() <= got.items() and len(got) == M.live_nodes(table(spark, sf, "code_nodes"), ["name"]).count()
