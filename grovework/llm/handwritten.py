@@ -111,7 +111,7 @@ def header_of(text: str, language: str) -> list[str]:
 def is_generated(path: str, text: str, language: str) -> bool:
     if GENERATED_NAMES.search(path) or GENERATED_FOLDERS & set(path.split("/")[:-1]):
         return True
-    lines = [x.strip().strip("#/*\"'!- \t\r").strip() for x in header_of(text, language)[:40]]
+    lines = [x.strip().strip("#/*\"'!- \t\r").strip() for x in header_of(text, language)]
     return any(_HEADER.search(x) for x in lines) and not any(_BY_HAND.search(x) for x in lines)
 
 

@@ -94,3 +94,11 @@ def test_frame(spark):
     assert sorted(tuple(r) for r in H.found(f, known).collect()) == [("p", "a.js"), ("p", "c.py")]
     assert H.classify(f, known).count() == 5
     assert H.found(spark.createDataFrame([], FILES), spark.createDataFrame([], "content string, reason string")).count() == 0
+
+
+def test_notice_below_a_long_licence():
+    licence = "".join(f"// Licence clause {i}: see the annex.\n" for i in range(60))
+    notice = "// Code generated by x 3.1. DO NOT EDIT.\n"
+    assert why("a.go", licence + notice + "\npackage a\n") == "generated"
+    assert why("a.go", licence + notice + "// Maintained by hand since then.\n" + "\npackage a\n") is None
+    assert why("a.go", licence + "\npackage a\n\n" + notice) is None
