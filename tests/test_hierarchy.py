@@ -96,3 +96,11 @@ def test_breadcrumbs_query_leaves_no_node_out(spark, sf):
     got = {(r["project"], r["id"]): r["crumbs"] for r in all_queries()["jn12_all_breadcrumbs"](spark, sf).collect()}
     short = {(r["project"], r["id"]): r["crumbs"] for r in all_queries()["jn12_breadcrumbs"](spark, sf).collect()}
     assert short.items() <= got.items() and len(got) == M.live_nodes(table(spark, sf, "code_nodes"), ["name"]).count()
+
+
+@pytest.mark.parametrize("bound", [1000, 2])
+def test_loop_of_over_200_nodes(spark, bound):
+    links = [("p", f"r{i:03d}", f"r{(i + 1) % 260:03d}") for i in range(260)]
+    links += [("p", f"t{i:03d}", f"t{i - 1:03d}" if i else "r100") for i in range(230)]
+    got = result(H.loops(frame(spark, links), bound))
+    assert got == brute(links) and {v[3] for v in got.values()} == {"r000"}
