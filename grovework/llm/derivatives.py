@@ -6,6 +6,10 @@ same number), derivatives are memoised per expression and token, and whole state
 looks like code seen before costs one look-up per token. An empty derivative marks the token at which the input fails; a
 state in which no expression is nullable, at the end of the input, means that the input was cut off.
 
+Readings that begin with the same expression share it: ``a b | a c`` is kept as ``a (b | c)``, so the continuations form
+a graph instead of a list of whole stacks. A state then holds at most one entry for each expression of the grammar,
+however deeply the text is nested and however many readings there are.
+
 Grammars are written as text: ``name = alternatives ;`` with 'literal' tokens, UPPER-case token classes, lower-case
 rules, ``( )`` groups, ``[ ]`` optional, ``{ }`` repeated parts. Rules must not be left-recursive.
 """
@@ -142,7 +146,7 @@ class Grammar:
             elif k[0] == "rule":
                 v = self.nullable(self.rules[k[1]])
             else:
-                v = k[0] in ("eps", "star") or (k[0] == "alt" and any(self.nullable(x) for x in k[1:]))
+                v = k[0] in ("eps", "star") or (k[0] in ("alt", "any") and any(self.nullable(x) for x in k[1:]))
             self._nullable[n] = v
         return v
 
@@ -163,9 +167,9 @@ class Grammar:
             found = [self.seq(x, rest) for x in self.derive(k[1], t)]
             if self.nullable(k[1]):
                 found += self.derive(rest, t)
-            out = tuple(dict.fromkeys(found))
-        elif op == "alt":
-            out = tuple(dict.fromkeys(x for a in k[1:] for x in self.derive(a, t)))
+            out = self.shared(found)
+        elif op in ("alt", "any"):
+            out = self.shared([x for a in k[1:] for x in self.derive(a, t)])
         elif op == "star":
             out = tuple(self.seq(x, n) for x in self.derive(k[1], t))
         else:
@@ -173,8 +177,29 @@ class Grammar:
         self._memo[key] = out
         return out
 
+    def shared(self, found: list[int]) -> tuple[int, ...]:
+        """The same language with one expression for each beginning: continuations after equal beginnings are united."""
+        if len(found) < 2:
+            return tuple(found)
+        rests: dict[int, set[int]] = {}
+        for n in found:
+            k = self.kind[n]
+            first, rest = (k[1], k[2]) if k[0] == "seq" else (n, 0)
+            rests.setdefault(first, set()).add(rest)
+        return tuple(self.seq(first, self._united(rest)) for first, rest in rests.items())
+
+    def _united(self, rests: set[int]) -> int:
+        if len(rests) == 1:
+            return next(iter(rests))
+        flat: set[int] = set()
+        for n in rests:
+            k = self.kind[n]
+            flat.update(k[1:] if k[0] == "any" else (n,))
+        ways = self.shared(sorted(flat))  # the beginnings of the continuations are shared as well
+        return ways[0] if len(ways) == 1 else self._node(("any", *sorted(ways)))
+
     def begin(self) -> frozenset:
-        if len(self._memo) > MEMO_LIMIT or len(self._state_memo) > MEMO_LIMIT:
+        if len(self._memo) > MEMO_LIMIT or len(self._state_memo) > MEMO_LIMIT or len(self.kind) > MEMO_LIMIT:
             self._reset()
         return frozenset((self.start,))
 
@@ -183,7 +208,11 @@ class Grammar:
         key = (state, classes)
         out = self._state_memo.get(key)
         if out is None:
-            out = self._state_memo[key] = frozenset(x for n in state for t in classes for x in self.derive(n, t))
+            if len(self._memo) > MEMO_LIMIT or len(self._state_memo) > MEMO_LIMIT:  # within a file: expressions stay valid
+                self._memo.clear()
+                self._state_memo.clear()
+            out = frozenset(self.shared([x for n in state for t in classes for x in self.derive(n, t)]))
+            self._state_memo[key] = out
         return out
 
     def complete(self, state: frozenset) -> bool:

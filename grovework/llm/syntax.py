@@ -82,10 +82,10 @@ def parse(text: str, language: str) -> Verdict:
                     more = step(ended, classes)
                     after = after | more if after else more
             if not after:
-                return Verdict("error", where(at), s[:40])
+                return Verdict("error", where(at), s)
             state = after
     except lexers.Broken as e:
-        return Verdict("truncated" if e.cut else "error", where(e.at), e.what[:40])
+        return Verdict("truncated" if e.cut else "error", where(e.at), e.what)
     if g.complete(step(state, ("END",))) or (ecma and g.complete(step(step(state, asi), ("END",)))):
         return VALID
     return Verdict("truncated", where(len(text)))

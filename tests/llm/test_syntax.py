@@ -108,6 +108,52 @@ def test_memo_limit_changes_nothing():
         g._reset()
 
 
+def _nested(n):
+    rust = lambda inside: "fn a() {" + inside + "}"
+    yield "rust", "fn a() " + "{" * n + "}" * n
+    yield "rust", rust("if x { " * n + "1" + "} else { 2 }" * n)
+    yield "rust", rust("match x { A => " * n + "1" + ", _ => 2 }" * n)
+    yield "rust", rust("match x { A => {" * n + "1" + "} _ => { 2 } }" * n)
+    yield "rust", rust("x = " + "(" * n + "1" + ")" * n + ";")
+    yield "go", "package a\nfunc a() " + "{" * n + "}" * n + "\n"
+    for language in ("javascript", "typescript"):
+        yield language, "function a() " + "{" * n + "}" * n
+        yield language, "x = " + "[{a:" * n + "1" + "}]" * n + ";"
+        yield language, "x = " + "(a) => (" * n + "1" + ")" * n + ";"
+
+
+@pytest.mark.parametrize("depth", [8, 50, 2000])
+def test_deep_nesting_keeps_small_states(depth):
+    import time
+
+    for language, text in _nested(depth):
+        g = S.grammar(language)
+        g._reset()
+        began = time.process_time()
+        assert S.parse(text, language).status == "valid", (language, text[:40])
+        assert S.parse(text.rstrip(";\n")[:-1], language).status != "valid"
+        assert time.process_time() - began < 2
+        assert max(len(s) for s in g._state_memo.values()) <= 12
+        assert len(g.kind) - g._fixed < 200 * (depth + 20)  # linear in the depth
+
+
+def test_long_rust_file():
+    import time
+
+    one = "fn f%d(x: &str) -> Result<u32, E> {\n let mut v = Vec::new();\n for i in 0..10 {\n if i > 3 {\n v.push(i * 2);\n } else {\n match x {\n \"a\" => { v.clear(); }\n _ => v.push(1), } } }\n Ok(v.len() as u32)\n}\n"
+    text = "".join(one % i for i in range(1000))
+    began = time.process_time()
+    assert S.parse(text, "rust").status == "valid" and text.count("\n") > 10_000
+    assert time.process_time() - began < 2
+    assert S.parse(text + "fn g() { let = 1; }\n", "rust") == S.Verdict("error", 11001, "=")
+
+
+def test_whole_failing_token():
+    name = "x" * 90
+    assert S.parse("a = 1\n) " + name + "\n", "python").line == 2
+    assert S.parse("a = b " + name + "\n", "python").token == name
+
+
 FILES = "project string, file_path string, content string, indexed_at timestamp, language string, status string"
 
 
