@@ -5,15 +5,18 @@
    every representative is indexed by its pair of centroids (its cell).
 3. For each query a heap walks centroid pairs by summed distance; it stops once the cells met hold ``candidates``
    vectors. Queries travel to the partitions of those cells and are compared there block by block with all vectors of
-   the cell (reranking by exact cosine).
-4. The best k of all partitions are kept and expanded from representatives to the rows of their groups.
+   the cell (reranking by exact cosine). A cell that holds too many rows for one task is split into blocks, as are the
+   queries that travel to it; every block of queries meets every block of the cell.
+4. The best k of all partitions are kept and expanded from representatives to the rows of their groups. Row numbers
+   follow the order of keys, so that equal cosines are settled by key in every step and k places are enough throughout.
 
 What is broadcast: the codebooks and the cell counts, at most ``MAX_CENTROIDS`` squared numbers.
 
 Defined results
 * only vectors of 64 (``dim``) finite values that are not all zero take part; null vectors and null elements do not;
 * rows of the same field, project and id count once (the greatest vector, should they differ);
-* among equal cosines the smaller key (project, id) is the nearer one; a row is no neighbour of itself;
+* among equal cosines (to six decimals) the smaller key (project, id) is the nearer one, however many are equal; a row
+  is no neighbour of itself; neighbours are of the same field, also where both fields hold equal vectors;
 * a key with a null project or id does not take part; no rows give no pairs; extra columns are ignored.
 """
 
@@ -34,7 +37,8 @@ SAMPLE = 20_000  # rows of each field the codebooks are fitted on
 CELL_ROWS = 256  # wanted mean occupancy of a cell
 MAX_CENTROIDS = 1024  # of each half
 CANDIDATES = 1500  # vectors a query meets at least
-GROUP_ROWS = 20_000  # wanted rows of a partition of cells
+GROUP_ROWS = 20_000  # rows of a partition of cells; a cell of more is split into blocks
+QUERY_ROWS = 200_000  # queries that meet one block of a cell in one task
 
 
 def usable(v: str, dim: int = 64):
@@ -45,12 +49,12 @@ def usable(v: str, dim: int = 64):
 
 def vectors_of(chunks: DataFrame, nodes: DataFrame, dim: int = 64) -> DataFrame:
     """``vec_field, project, id, vec``: usable vectors, one row per key; of nodes the current rows."""
-    a = (
-        chunks.where(F.col("project").isNotNull() & F.col("id").isNotNull() & usable("embedding", dim))
-        .groupBy("project", "id")
-        .agg(F.max("embedding").alias("vec"))
-    )
-    b = current_rows(nodes, ["project", "id"], ["summary_embedding"]).where(usable("summary_embedding", dim))
+    # ranges of keys, so that rows can be numbered in the order of their keys without another shuffle
+    by_key = lambda df: df.repartitionByRange("project", "id")
+    keyed = F.col("project").isNotNull() & F.col("id").isNotNull()
+    a = by_key(chunks.where(keyed & usable("embedding", dim)).select("project", "id", "embedding")).groupBy("project", "id").agg(F.max("embedding").alias("vec"))
+    b = current_rows(by_key(nodes.where(keyed).select("project", "id", "indexed_at", "summary_embedding")), ["project", "id"], ["summary_embedding"])
+    b = b.where(usable("summary_embedding", dim))
     return a.select(F.lit("embedding").alias("vec_field"), "project", "id", "vec").unionByName(
         b.select(F.lit("summary_embedding").alias("vec_field"), "project", "id", F.col("summary_embedding").alias("vec"))
     )
@@ -119,23 +123,29 @@ def walk(d1: np.ndarray, d2: np.ndarray, counts: np.ndarray, enough: int) -> lis
     return cells
 
 
-def _best(qv: np.ndarray, xv: np.ndarray, qid: np.ndarray, xid: np.ndarray, k: int, floor: float, block: int = 1024):
-    """Per query the k nearest of ``xv`` with cosine >= floor: arrays of query, neighbour, cosine."""
-    out = []
+def _best(qv: np.ndarray, xv: np.ndarray, qid: np.ndarray, xid: np.ndarray, k: int, floor: float, cells: int = 4_000_000):
+    """Per query the k nearest of ``xv`` (in ascending ``xid``) with cosine >= floor: arrays of query, neighbour, cosine.
+
+    Among cosines that are equal to six decimals the smaller ``xid`` comes first.
+    """
+    out, n = [], len(xv)
+    xv, back = xv.astype("f8").T, np.arange(n - 1, -1, -1)
+    block = max(1, cells // max(1, n))
     for i in range(0, len(qv), block):
-        s = qv[i : i + block] @ xv.T
+        s = qv[i : i + block].astype("f8") @ xv
         s[qid[i : i + block, None] == xid[None, :]] = -2
-        if s.shape[1] > k + 8:  # a few spare places, for ties are settled later
-            top = np.argpartition(-s, k + 7, axis=1)[:, : k + 8]
+        if n > k:
+            order = np.rint(s * 1e6).astype("i8") * n + back
+            top = np.argpartition(order, n - k, axis=1)[:, n - k :]
             val = np.take_along_axis(s, top, axis=1)
         else:
-            top, val = np.broadcast_to(np.arange(s.shape[1]), s.shape), s
-        r, c = np.nonzero(val >= floor)
+            top, val = np.broadcast_to(np.arange(n), s.shape), s
+        r, c = np.nonzero(val >= max(floor, -1.5))
         out.append((qid[i : i + block][r], xid[top[r, c]], val[r, c]))
-    return tuple(np.concatenate(z) for z in zip(*out)) if out else (np.zeros(0, "i8"), np.zeros(0, "i8"), np.zeros(0, "f4"))
+    return tuple(np.concatenate(z) for z in zip(*out)) if out else (np.zeros(0, "i8"), np.zeros(0, "i8"), np.zeros(0, "f8"))
 
 
-def _search(reps: DataFrame, queries, k: int, floor: float, candidates: int) -> DataFrame:
+def _search(reps: DataFrame, queries, k: int, floor: float, candidates: int, group_rows: int, query_rows: int) -> DataFrame:
     """``qid, nid, cos`` among representatives (vec_field, rid, unit); ``queries`` is a condition on them or None."""
     spark = reps.sparkSession
     sizes = {r["vec_field"]: r["n"] for r in reps.groupBy("vec_field").agg(F.count(F.lit(1)).alias("n")).collect()}  # two fields
@@ -167,34 +177,55 @@ def _search(reps: DataFrame, queries, k: int, floor: float, candidates: int) ->
     width = {}
     for f, (a, b) in books.items():
         per = sizes[f] / max(1, len(a))
-        width[f] = max(1, math.ceil(len(b) / max(1, math.ceil(per / GROUP_ROWS))))
-    shared_counts = spark.sparkContext.broadcast((counts, width))
+        width[f] = max(1, math.ceil(len(b) / max(1, math.ceil(per / group_rows))))
+    # (blocks of held rows, blocks of queries) of the groups of cells with too many rows for one task
+    split: dict[tuple[str, int, int], tuple[int, int]] = {}
+    for f, n in counts.items():
+        wide, near = width[f], max(1.0, candidates * (n > 0).sum() / max(1, n.sum()))  # cells a query meets about
+        for i, row in enumerate(n):
+            for g, size in enumerate(np.add.reduceat(row, np.arange(0, len(row), wide)).tolist()):
+                blocks = math.ceil(size / group_rows), math.ceil(size * near / query_rows)
+                if max(blocks) > 1:
+                    split[f, i, g] = blocks
+    shared_counts = spark.sparkContext.broadcast((counts, width, split))
 
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for f, part in pdf.groupby("vec_field"):
                 x, (a, b) = _stack(part["unit"]), shared.value[f]
-                half, (cells, wide) = a.shape[1], (shared_counts.value[0][f], shared_counts.value[1][f])
+                half, (cells, wide), hot = a.shape[1], (shared_counts.value[0][f], shared_counts.value[1][f]), shared_counts.value[2]
                 d1, d2 = _half_distances(x[:, :half], a), _half_distances(x[:, half:], b)
                 rows = []
                 for rid, unit, p, q in zip(part["rid"], part["unit"], d1, d2):
                     places: dict[tuple[int, int], list[int]] = {}
                     for i, j in walk(p, q, cells, candidates):
                         places.setdefault((i, j // wide), []).append(j)
-                    rows += [(f, i, g, rid, unit, js) for (i, g), js in places.items()]
-                yield pd.DataFrame(rows, columns=["vec_field", "c1", "grp", "rid", "unit", "cells"])
+                    for (i, g), js in places.items():
+                        held, asking = hot.get((f, i, g), (1, 1))
+                        rows += [(f, i, g, h, rid % asking, rid, unit, js) for h in range(held)]
+                yield pd.DataFrame(rows, columns=["vec_field", "c1", "grp", "hb", "qb", "rid", "unit", "cells"])
 
     asked = index if queries is None else index.where(queries)
-    routed = asked.select("vec_field", "rid", "unit").mapInPandas(route, "vec_field string, c1 int, grp int, rid long, unit binary, cells array<int>")
+    routed = asked.select("vec_field", "rid", "unit").mapInPandas(route, "vec_field string, c1 int, grp int, hb int, qb int, rid long, unit binary, cells array<int>")
     grp = F.lit(0)
     for f, w in width.items():
         grp = F.when(F.col("vec_field") == f, F.floor(F.col("c2") / F.lit(w)).cast("int")).otherwise(grp)
     held = index.select("vec_field", "c1", grp.alias("grp"), "c2", "rid", "unit")
+    one = F.lit(0)
+    if split:  # at most one row for each group_rows vectors, and no more than there are cells
+        hot = spark.createDataFrame([(*key, *blocks) for key, blocks in split.items()], "vec_field string, c1 int, grp int, _hb int, _qb int")
+        held = held.join(F.broadcast(hot), ["vec_field", "c1", "grp"], "left")
+        each = F.explode(F.sequence(F.lit(0), F.coalesce("_qb", F.lit(1)) - 1)).alias("qb")
+        held = held.select("vec_field", "c1", "grp", F.pmod("rid", F.coalesce("_hb", F.lit(1))).cast("int").alias("hb"), each, "c2", "rid", "unit")
+    else:
+        held = held.withColumn("hb", one).withColumn("qb", one)
 
     def compare(own: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         found = []
         if len(own) and len(asked):
-            xv, qv = _stack(own["unit"]), _stack(asked["unit"])
+            qv = _stack(asked["unit"])
+            own = own.sort_values("rid")
+            xv = _stack(own["unit"])
             xid, qid, c2 = own["rid"].to_numpy(), asked["rid"].to_numpy(), own["c2"].to_numpy()
             lists = asked["cells"].tolist()
             at = np.repeat(np.arange(len(lists)), [len(z) for z in lists])
@@ -203,21 +234,26 @@ def _search(reps: DataFrame, queries, k: int, floor: float, candidates: int) ->
                 mine, theirs = at[cell == c], np.flatnonzero(c2 == c)
                 if len(theirs):
                     found.append(_best(qv[mine], xv[theirs], qid[mine], xid[theirs], k, floor))
-        q, n, s = (np.concatenate(z) for z in zip(*found)) if found else (np.zeros(0, "i8"), np.zeros(0, "i8"), np.zeros(0, "f4"))
-        return pd.DataFrame({"qid": q, "nid": n, "cos": s.astype("f8")})
+        q, n, s = (np.concatenate(z) for z in zip(*found)) if found else (np.zeros(0, "i8"), np.zeros(0, "i8"), np.zeros(0, "f8"))
+        return pd.DataFrame({"qid": q, "nid": n, "cos": s})
 
-    by = ["vec_field", "c1", "grp"]
+    by = ["vec_field", "c1", "grp", "hb", "qb"]
     return held.groupBy(*by).cogroup(routed.groupBy(*by)).applyInPandas(compare, "qid long, nid long, cos double")
 
 
-def nearest(vectors: DataFrame, k: int = 5, floor: float = -1.0, candidates: int = CANDIDATES, queries=None) -> DataFrame:
+def nearest(
+    vectors: DataFrame, k: int = 5, floor: float = -1.0, candidates: int = CANDIDATES, queries=None, group_rows: int = GROUP_ROWS, query_rows: int = QUERY_ROWS, in_order: bool = False
+) -> DataFrame:
     """``vec_field, project, id, n_project, n_id, cos, rank``: of each row its k most similar with cosine >= floor.
 
+    ``vectors`` hold one row per key; ``in_order`` says that their partitions follow the order of keys within each field,
+    as those of ``vectors_of`` do.
     ``queries`` limits the rows asked for to those of a condition on vec_field, project and id (all are searched).
     """
     ship(vectors.sparkSession)
-    unit = vectors.mapInPandas(_normalise, "vec_field string, project string, id string, unit binary, digest binary")
-    # stable numbers: they are read from the written table from here on
+    ordered = (vectors if in_order else vectors.repartitionByRange("vec_field", "project", "id")).sortWithinPartitions("vec_field", "project", "id")
+    unit = ordered.mapInPandas(_normalise, "vec_field string, project string, id string, unit binary, digest binary")
+    # numbers in the order of keys; they are read from the written table from here on
     rows = cut(unit.withColumn("rid", F.monotonically_increasing_id()), "vectors")
     same = Window.partitionBy("vec_field", "digest").orderBy("project", "id")
     # of a group of equal vectors only its k + 1 smallest keys can be anybody's neighbours
@@ -231,21 +267,21 @@ def nearest(vectors: DataFrame, k: int = 5, floor: float = -1.0, candidates: int
         wanted = rows.where(queries).select("vec_field", "digest").distinct().join(rep, ["vec_field", "digest"])
         reps = reps.join(wanted.select(F.col("rep").alias("rid"), F.lit(True).alias("asked")), "rid", "left")
         asked = F.col("asked")
-    hits = _search(reps, asked, k, floor, candidates)
-    best = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("cos"), "nid"))
-    hits = cut(hits.withColumn("_place", best).where(F.col("_place") <= k + 8).drop("_place"), "hits")
+    hits = _search(reps, asked, k, floor, candidates, group_rows, query_rows)
+    # a row among the k nearest belongs to one of the k nearest groups, since a group is placed by its smallest key
+    best = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc(F.round("cos", 6)), "nid"))
+    hits = cut(hits.withColumn("_place", best).where(F.col("_place") <= k).drop("_place"), "hits")
     # groups of equal vectors: their members are each other's neighbours of cosine 1
     own = members.select("digest", "vec_field", F.col("project").alias("n_project"), F.col("id").alias("n_id"))
     many = members.where("place = 2").select("vec_field", "digest")
     keys = rows.select("vec_field", "project", "id", "digest") if queries is None else rows.where(queries).select("vec_field", "project", "id", "digest")
     twins = keys.join(many, ["vec_field", "digest"], "left_semi").join(own, ["vec_field", "digest"]).withColumn("cos", F.lit(1.0))
-    digest_of = rep.select("rep", "digest")
     pairs = (
-        hits.join(digest_of.select(F.col("rep").alias("qid"), F.col("digest")), "qid")
-        .join(digest_of.select(F.col("rep").alias("nid"), F.col("digest").alias("n_digest")), "nid")
-        .select("digest", "n_digest", "cos")
+        hits.join(rep.select(F.col("rep").alias("qid"), "vec_field", "digest"), "qid")
+        .join(rep.select(F.col("rep").alias("nid"), F.col("digest").alias("n_digest")), "nid")
+        .select("vec_field", "digest", "n_digest", "cos")
     )
-    others = keys.join(pairs, "digest").join(own.withColumnRenamed("digest", "n_digest"), ["vec_field", "n_digest"])
+    others = keys.join(pairs, ["vec_field", "digest"]).join(own.withColumnRenamed("digest", "n_digest"), ["vec_field", "n_digest"])
     cols = ["vec_field", "project", "id", "n_project", "n_id", "cos"]
     allp = twins.select(cols).unionByName(others.select(cols)).where((F.col("project") != F.col("n_project")) | (F.col("id") != F.col("n_id")))
     rank = F.row_number().over(Window.partitionBy("vec_field", "project", "id").orderBy(F.desc(F.round("cos", 6)), "n_project", "n_id"))
@@ -266,4 +302,4 @@ def similar_pairs(near: DataFrame) -> DataFrame:
 
 
 def found(chunks: DataFrame, nodes: DataFrame, k: int = 5, floor: float = 0.95) -> DataFrame:
-    return similar_pairs(nearest(vectors_of(chunks, nodes), k, floor))
+    return similar_pairs(nearest(vectors_of(chunks, nodes), k, floor, in_order=True))

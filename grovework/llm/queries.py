@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from grovework.llm import docpairs, handwritten, mixing, neighbours, packing, splitting, subjects, syntax
 from grovework.runtime import table
 
@@ -42,6 +44,11 @@ def p7_found(spark, d):
     return neighbours.found(table(spark, d, "chunks"), table(spark, d, "code_nodes"))
 
 
+def p7_nearest(spark, d):
+    near = neighbours.nearest(neighbours.vectors_of(table(spark, d, "chunks"), table(spark, d, "code_nodes")), in_order=True)
+    return near.withColumn("cos", F.round("cos", 6))
+
+
 def p8_found(spark, d):
     return packing.found(table(spark, d, "documents"), table(spark, d, "pack_sizes"))
 
@@ -80,7 +87,7 @@ def p10_composition(spark, d):
     return subjects.composition(*_labelled(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_pairs, p3_found, p3_reasons, p5_found, p5_pieces, p6_found, p6_rates, p7_found, p8_found, p8_packing, p8_report, p9_mixture, p9_report, p9_tempered, p10_found, p10_composition)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_pairs, p3_found, p3_reasons, p5_found, p5_pieces, p6_found, p6_rates, p7_found, p7_nearest, p8_found, p8_packing, p8_report, p9_mixture, p9_report, p9_tempered, p10_found, p10_composition)}
 
 SQL = {
     "p5_found": """

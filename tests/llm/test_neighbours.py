@@ -64,6 +64,49 @@ def test_walk_is_in_order_of_distance():
     assert sums == sorted(sums) and len(cells) == int((counts > 0).sum())
 
 
+def full(rows, k):
+    """Every row's k nearest by cosine to six decimals, then by key."""
+    out = {}
+    for f in {r[0] for r in rows}:
+        own = sorted((p, i, np.array(v, dtype="f8")) for g, p, i, v in rows if g == f)
+        for p, i, v in own:
+            near = sorted((-round(float(v @ w / np.linalg.norm(v) / np.linalg.norm(w)), 6), q, j) for q, j, w in own if (q, j) != (p, i))
+            out[f, p, i] = [(q, j) for _, q, j in near[:k]]
+    return out
+
+
+def collected(df):
+    out = {}
+    for r in sorted(df.collect(), key=lambda r: r["rank"]):
+        out.setdefault((r["vec_field"], r["project"], r["id"]), []).append((r["n_project"], r["n_id"]))
+    return out
+
+
+def test_ties_are_settled_by_key_in_every_order_of_rows(spark):
+    unit = np.eye(64, dtype="f4")
+    rows = [("embedding", "p", f"x{i:02d}", (unit[0] + unit[1 + i % 40]).tolist()) for i in range(60)]  # all pairs of cosine 0.5 or 1
+    rows = [rows[i] for i in np.random.default_rng(2).permutation(60)]
+    assert collected(N.nearest(spark.createDataFrame(rows, SCHEMA).repartition(3), 5)) == full(rows, 5)
+
+
+def test_equal_vectors_in_both_fields(spark):
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=(12, 64)).astype("f4").tolist()
+    rows = [(f, "p", f"x{i:02d}", v) for f in ("embedding", "summary_embedding") for i, v in enumerate(base)]
+    got = collected(N.nearest(spark.createDataFrame(rows, SCHEMA), 5))
+    assert got == full(rows, 5) and all(len(set(v)) == 5 for v in got.values())
+
+
+def test_hot_cells_are_split(spark):
+    rng = np.random.default_rng(6)
+    centre = rng.normal(size=64)
+    rows = [("embedding", "p", f"h{i:03d}", (centre + rng.normal(scale=0.01, size=64)).astype("f4").tolist()) for i in range(200)]
+    rows += [("embedding", "q", f"o{i:03d}", rng.normal(size=64).astype("f4").tolist()) for i in range(100)]
+    got = N.nearest(spark.createDataFrame(rows, SCHEMA), 4, candidates=1000, group_rows=30, query_rows=40)
+    got, want = collected(got), full(rows, 4)
+    assert got.keys() == want.keys() and all(set(got[x]) == set(want[x]) for x in want)
+
+
 def test_empty(spark):
     assert N.nearest(spark.createDataFrame([], SCHEMA)).count() == 0
 
