@@ -1,24 +1,24 @@
 """Problem 2: functions paired with their documentation.
 
-Every source file is parsed into its function nodes with exact source ranges (Python by the standard syntax tree, the
-others by the lexers of ``lexers`` and a scan of the bracket tree; a file that does not parse is scanned line by line
-from where it fails). A function node takes its documentation from the current row of the graph or, if that has none,
+Every source file that holds a function of the graph is parsed into a syntax tree (``trees``), whose function nodes give
+the exact source of each function. It takes its documentation from the current row of the graph or, if that has none,
 from the comment that ends directly above the definition (or above its decorators or attributes), or from its
 documentation attribute. Pairs whose documentation is empty, trivial or only repeats names are dropped.
 
-Files are joined with the list of those of their functions that lack a docstring, so nothing is gathered beyond a file.
+Files are joined with lists of their functions; a file that very many functions name gets several lists.
 
 Defined results
 * only functions and methods whose current row has no ``deleted_at``; null keys are left out; older and repeated rows do
   not matter; a null name is taken from the id;
 * a docstring of white space counts as none; a comment divided from the definition by a blank line is not its own;
-* without its file, or without a definition of that name in it, a function has only its docstring;
+* without its file, or without a definition of that name in it, a function has only its docstring and no code;
+* of several definitions of a name in a file the one next to ``line_start`` counts, of two as near the upper one;
 * whole files and texts are read; no nodes: no rows; no files: docstrings only; extra columns are ignored.
 """
 
 from __future__ import annotations
 
-import ast
+import bisect
 import re
 from collections.abc import Iterator
 
@@ -26,156 +26,88 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from grovework.llm import lexers
+from grovework.llm import trees
 from grovework.runtime import current_rows, ship
 
 LANGUAGES = {"py": "python", "js": "javascript", "jsx": "javascript", "mjs": "javascript", "ts": "typescript", "tsx": "typescript", "go": "go", "rs": "rust"}
 
-_LINE_DEFS = {
-    "python": re.compile(r"^\s*(?:async\s+)?def\s+(\w+)"),
-    "go": re.compile(r"^\s*func\s*(?:\([^)]*\)\s*)?(\w+)\s*[\[(]"),
-    "rust": re.compile(r"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:(?:const|async|unsafe|extern(?:\s+\"[^\"]*\")?)\s+)*fn\s+(\w+)"),
-    "": re.compile(
-        r"^\s*(?:(?:export|default|declare|public|private|protected|static|abstract|override|readonly|async|get|set)\s+)*(?:function\b\s*\*?\s*|\*\s*)?(?:(?:const|let|var)\s+)?([\w$#]+)"
-        r"\s*(?:<[^()]*>)?\s*(?:\(|=\s*(?:async\s*)?(?:function\b|\(|[\w$]+\s*=>)|:\s*(?:async\s*)?function\b)"
-    ),
-}
-_CONTROL = {"if", "for", "while", "switch", "catch", "return", "function", "with", "await", "typeof", "new", "super", "throw", "else", "do", "match", "loop"}
-_DECORATOR = {"python": re.compile(r"^\s*@"), "rust": re.compile(r"^\s*#\["), "": re.compile(r"^\s*@[\w$]")}
 _DOC_ATTRIBUTE = re.compile(r"#\[\s*doc\s*=\s*r?#*\"((?:[^\"\\]|\\.)*)\"#*\s*\]")
 
 
-class Function:
-    """A function node: name, line of its definition, first line with decorators, last line, own docstring."""
-
-    __slots__ = ("name", "line", "top", "end", "doc")
-
-    def __init__(self, name: str, line: int, top: int, end: int, doc: str | None = None) -> None:
-        self.name, self.line, self.top, self.end, self.doc = name, line, top, end, doc
-
-
-def _python_functions(text: str) -> list[Function]:
-    out = []
-    for n in ast.walk(ast.parse(text)):
-        if isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef)):
-            top = min([n.lineno, *(d.lineno for d in n.decorator_list)])
-            out.append(Function(n.name, n.lineno, top, n.end_lineno or n.lineno, ast.get_docstring(n)))
-    return out
-
-
-def _bracket_functions(text: str, language: str) -> list[Function]:
-    """Function nodes of a brace language: a name before a parameter list whose body or end follows."""
-    ecma = language in ("javascript", "typescript")
-    previous: list = [None]
-
-    def accepts(_: tuple) -> bool:
-        return previous[0] in (")", "]", "}", "word", "value")
-
-    stream = lexers.ecma_tokens(text, accepts) if ecma else lexers.go_tokens(text) if language == "go" else lexers.rust_tokens(text)
-    starts = [0, *(m.end() for m in re.finditer("\n", text))]
-    import bisect
-
-    line = lambda at: bisect.bisect_right(starts, at)
-    lines = text.split("\n")
-    pattern = _LINE_DEFS[language if language in _LINE_DEFS else ""]
-    out: list[Function] = []
-    open_: list[tuple[int, Function | None]] = []
-    depth, pending, parens = 0, None, 0
-    seen_line = 0
-    for classes, _, at, s in stream:
-        previous[0] = "word" if "ID" in classes or classes[0] in ("this", "super") else "value" if classes[0] in ("NUMBER", "STRING", "TEMPLATE", "TTAIL", "REGEX") else s
-        here = line(at)
-        if here != seen_line:
-            seen_line = here
-            m = pattern.match(lines[here - 1])
-            if m and m.group(1) not in _CONTROL and at == starts[here - 1] + len(lines[here - 1]) - len(lines[here - 1].lstrip()):
-                pending, parens = Function(m.group(1), here, here, here), 0
-                out.append(pending)
-        if s in ("(", ")"):
-            parens += 1 if s == "(" else -1
-        if s == "{" and classes[0] == "{":
-            open_.append((depth, pending if not parens else None))  # not the braces of a default value
-            pending = None if not parens else pending
-            depth += 1
-        elif s == "}" and classes[0] == "}" and open_:
-            depth -= 1
-            owner = open_.pop()[1]
-            if owner is not None:
-                owner.end = here
-    return out
-
-
-def functions_of(text: str, language: str) -> list[Function]:
-    """All function nodes of a file; a damaged file gives those a scan of its lines finds."""
-    found: list[Function] | None = None
-    try:
-        found = _python_functions(text) if language == "python" else _bracket_functions(text, language)
-    except (SyntaxError, ValueError, RecursionError, lexers.Broken):
-        pass
-    if found is None:
-        pattern, found = _LINE_DEFS[language if language in _LINE_DEFS else ""], []
-        for i, x in enumerate(text.split("\n"), 1):
-            m = pattern.match(x)
-            if m and m.group(1) not in _CONTROL:
-                found.append(Function(m.group(1), i, i, i))
-    if language != "python":
-        lines = text.split("\n")
-        mark = _DECORATOR.get(language, _DECORATOR[""])
-        for f in found:
-            while f.top > 1 and language != "go" and mark.match(lines[f.top - 2]):
-                f.top -= 1
-    else:
-        lines = text.split("\n")
-        for f in found:
-            while f.top > 1 and f.top == f.line and lines[f.top - 2].lstrip().startswith("@"):
-                f.top -= 1
-    return found
-
-
-def comment_above(lines: list[str], top: int, language: str) -> str | None:
-    """The comment that ends on the line before line ``top`` (from 1)."""
-    i = top - 2
-    if i < 0:
+def comment_before(text: str, at: int, language: str) -> str | None:
+    """The comment that ends directly before offset ``at``: on the line above, or before it on its own line."""
+    begun = text.rfind("\n", 0, at) + 1
+    before = text[begun:at].strip()
+    if before:  # other code, or a comment, stands before it on its line
+        open_ = before.rfind("/*") if language != "python" and before.endswith("*/") else -1
+        return before[open_:] if open_ >= 0 and "*/" not in before[open_:-2] else None
+    if not begun:
         return None
-    last = lines[i].strip()
+    end = begun - 1
+    line = text.rfind("\n", 0, end) + 1
+    last = text[line:end].strip()
     mark = "#" if language == "python" else "//"
     if last.startswith(mark) and not last.startswith("#!"):
-        j = i
-        while j >= 0 and lines[j].strip().startswith(mark):
-            j -= 1
-        return "\n".join(lines[j + 1 : i + 1])
+        first = line
+        while first:
+            above = text.rfind("\n", 0, first - 1) + 1
+            if not text[above : first - 1].strip().startswith(mark):
+                break
+            first = above
+        return text[first:end]
     if language != "python" and last.endswith("*/"):
-        j = i
-        while j >= 0 and "/*" not in lines[j]:
-            j -= 1
-        if j >= 0 and lines[j].strip().startswith("/*"):
-            return "\n".join(lines[j : i + 1])
+        open_ = text.rfind("/*", 0, end)
+        line = text.rfind("\n", 0, open_) + 1
+        if open_ >= 0 and not text[line:open_].strip():
+            return text[line:end]
     return None
 
 
-def documentation_in(text: str, language: str, name: str, near: int | None) -> str | None:
-    """Documentation the file has for the function ``name`` defined at about line ``near``."""
-    return _documentation(functions_of(text, language), text.split("\n"), language, name, near)
-
-
-def _documentation(functions: list[Function], lines: list[str], language: str, name: str, near: int | None) -> str | None:
-    own = [f for f in functions if f.name == name]
-    if not own:
-        return None
-    f = min(own, key=lambda f: (abs(f.line - (near or f.line)), f.line))
-    above = comment_above(lines, f.top, language)
+def documentation_of(f: trees.Function, text: str, language: str) -> str | None:
+    """Documentation the file has for a function node."""
+    above = comment_before(text, f.start, language)
     if above:
         return above
     if language == "rust":
-        doc = _DOC_ATTRIBUTE.findall("\n".join(lines[f.top - 1 : f.line]))
+        doc = _DOC_ATTRIBUTE.findall(text[f.start : f.head])
         if doc:
             return "\n".join(x.replace('\\"', '"').replace("\\n", "\n") for x in doc)
-        # attributes may stand above the comment, or between comment and definition
-        for k in range(f.line, f.top, -1):
-            above = comment_above(lines, k, language)
-            if above:
-                return above
-    return f.doc if language == "python" else None
+    # attributes may stand above the comment, or between comment and definition
+    at = f.head
+    while at > f.start:
+        above = comment_before(text, at, language)
+        if above:
+            return above
+        at = text.rfind("\n", 0, at)
+        while at > f.start and text[at].isspace():
+            at -= 1
+        at = text.rfind("\n", 0, at) + 1
+    return f.doc
+
+
+class Definitions:
+    """The function nodes of one file, found by name."""
+
+    def __init__(self, text: str, language: str) -> None:
+        self.by_name: dict[str, list[trees.Function]] = {}
+        for f in trees.functions_of(text, language):
+            self.by_name.setdefault(f.name, []).append(f)
+
+    def nearest(self, name: str, line: int | None) -> trees.Function | None:
+        """The definition of ``name`` at or next to ``line`` (the first one without a line)."""
+        own = self.by_name.get(name)
+        if not own:
+            return None
+        if line is None or line != line or len(own) == 1:
+            return own[0]
+        i = bisect.bisect_left(own, line, key=lambda f: f.line)
+        return min(own[max(0, i - 1) : i + 1], key=lambda f: (abs(f.line - line), f.line))
+
+
+def documentation_in(text: str, language: str, name: str, near: int | None) -> str | None:
+    """Documentation the file has for the function ``name`` defined at about line ``near``."""
+    f = Definitions(text, language).nearest(name, near)
+    return documentation_of(f, text, language) if f else None
 
 
 # ---- what a documentation says ----
@@ -193,6 +125,10 @@ _EMPTY_WORDS = set(
     "used use uses up out "
     "raises yields example examples note notes throws errors panics safety der die das ein eine el la los las un una le les des de".split()
 )
+#: Words for what functions work on; beside a word that is new they say what is done to what.
+_THINGS = set("data value values result results input output list string number array object section type types class function method property".split())
+#: Scripts written without spaces between words: their words are counted by pairs of characters.
+_UNSPACED = re.compile(r"[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff]+")
 _TOOL = re.compile(
     r"^\W*(?:noqa\b|nosec\b|pragma\b|pylint\s*:|type\s*:\s*ignore|mypy\s*:|pyright\s*:|flake8\s*:|ruff\s*:|fmt\s*:|yapf\s*:|isort\s*:|coding\s*[:=]|-\*-|vim?\s*:|eslint\b|tslint\b|jshint\b|jslint\b|prettier-ignore|"
     r"istanbul\b|c8\b\s+ignore|v8\b\s+ignore|@ts-|ts-ignore|nolint\b|go:[a-z]|\+build\b|lint:|clippy::|rustfmt|region\b|endregion\b|sourcemappingurl|codecov|nocover|no\s*cover\b|stylelint|biome-ignore|deno-)",
@@ -253,11 +189,17 @@ def says_something(text: str | None, name: str, signature: str | None = None) ->
         inside = signature[signature.find("(") :] if "(" in signature else signature
         known |= {_stem(w) for x in re.findall(r"\w+", inside) for w in split_name(x)}
     news: set[str] = set()
+    things: set[str] = set()
+    listed = False
     for raw in clean(text):
         x = raw.strip()
         if not x or not any(ch.isalpha() for ch in x):
             continue
-        if _SECTION.match(x) or _TOOL.match(x) or _LEGAL.match(x):
+        own: set[str] = set()
+        if _SECTION.match(x):
+            listed = True
+            continue
+        if _TOOL.match(x) or _LEGAL.match(x):
             continue
         if re.match(r"^([-=~#*_+.<>])\1{2,}.*", x) and re.search(r"([-=~#*_+.<>])\1{2,}\s*$", x):
             continue  # a divider with a title
@@ -272,8 +214,9 @@ def says_something(text: str | None, name: str, signature: str | None = None) ->
                 continue
         else:
             m = _ITEM.match(x)
-            if m and (m.group("rest") is not None) and len(m.group("name")) < 40 and " " not in m.group("name") and _stem(m.group("name")) in known:
+            if m and (m.group("rest") is not None) and len(m.group("name")) < 40 and (_stem(m.group("name")) in known or listed):
                 x = m.group("rest") or ""
+                own = {_stem(w) for w in split_name(m.group("name"))}  # an item of a list of parameters may repeat its name
         for part in re.split(r"(?<=[.!?;])\s+", x):
             if _TOOL.match(part) or _LEGAL.match(part):
                 continue
@@ -282,51 +225,52 @@ def says_something(text: str | None, name: str, signature: str | None = None) ->
                 continue
             if _POINTER.match(part) or _CODE.search(part):
                 continue
-            words = [w for w in _WORD.findall(part)]
-            for w in words:
+            for run in _UNSPACED.findall(part):
+                news.update(a + b for a, b in zip(run, run[1:]) if a + b not in known)
+            for w in _WORD.findall(_UNSPACED.sub(" ", part)):
                 low = w.lower()
+                if low in _THINGS and _stem(low) not in known:
+                    things.add(low)
                 if low in _EMPTY_WORDS or low.isdigit() or len(low) < 2:
                     continue
-                if _stem(low) in known or all(_stem(p) in known for p in split_name(w) if p != low) and len(split_name(w)) > 1:
+                if _stem(low) in known or _stem(low) in own or all(_stem(p) in known for p in split_name(w) if p != low) and len(split_name(w)) > 1:
                     continue
                 news.add(low)
-    return len(news) >= 2
+    return len(news) >= 2 or (len(news) == 1 and len(things) > 0)
 
 
 _COLS = ["project", "id", "name", "node_type", "file_path", "line_start", "line_end", "signature", "docstring"]
-_PAIR = "project string, id string, name string, language string, file_path string, signature string, description string, origin string"
+_PAIR = (
+    "project string, id string, name string, language string, file_path string, signature string, description string, origin string, "
+    "code string, line_start int, line_end int"
+)
 _NAMES = [x.split()[0] for x in _PAIR.split(", ")]
 
+FILE_FUNCTIONS = 5_000  # functions of a file that one row carries; a file named by more gets several rows
+
 
 def _language(path: str | None) -> str | None:
     return LANGUAGES.get(path.rsplit(".", 1)[-1].lower()) if path and "." in path else None
 
 
-def _described(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        rows = []
-        for r in pdf.itertuples(index=False):
-            name = r.name or r.id.split("::")[-1].split(".")[-1]
-            if says_something(r.docstring, name, r.signature):
-                rows.append((r.project, r.id, name, _language(r.file_path), r.file_path, r.signature, "\n".join(clean(r.docstring)).strip(), "docstring"))
-        yield pd.DataFrame(rows, columns=_NAMES)
-
-
-def _from_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _paired(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         rows = []
         for project, path, functions, content in zip(pdf["project"], pdf["file_path"], pdf["functions"], pdf["content"]):
             language = _language(path)
-            if not language or content is None:
-                continue
-            text = content.replace("\r\n", "\n").replace("\r", "\n")
-            parsed, lines = functions_of(text, language), text.split("\n")
+            text = content.replace("\r\n", "\n").replace("\r", "\n") if language and content is not None else None
+            known = Definitions(text, language) if text is not None else None
             for r in functions:
                 name = r["name"] or r["id"].split("::")[-1].split(".")[-1]
-                doc = _documentation(parsed, lines, language, name, r["line_start"])
+                f = known.nearest(name, r["line_start"]) if known else None
+                doc, origin = r["docstring"], "docstring"
+                if (doc is None or not doc.strip()) and f:
+                    doc, origin = documentation_of(f, text, language), "file"
                 if says_something(doc, name, r["signature"]):
-                    rows.append((project, r["id"], name, language, path, r["signature"], "\n".join(clean(doc)).strip(), "file"))
-        yield pd.DataFrame(rows, columns=_NAMES)
+                    source = (text[f.start : f.end], f.top, f.last) if f else (None, None, None)
+                    rows.append((project, r["id"], name, language, path, r["signature"], "\n".join(clean(doc)).strip(), origin, *source))
+        out = pd.DataFrame(rows, columns=_NAMES)
+        yield out.astype({"line_start": "Int32", "line_end": "Int32"})
 
 
 def current_functions(nodes: DataFrame) -> DataFrame:
@@ -335,21 +279,26 @@ def current_functions(nodes: DataFrame) -> DataFrame:
     return now.where(F.col("deleted_at").isNull()).select(*_COLS)
 
 
-def pairs(nodes: DataFrame, files: DataFrame) -> DataFrame:
-    """``project, id, name, language, file_path, signature, description, origin`` of every documented function."""
+def pairs(nodes: DataFrame, files: DataFrame, file_functions: int = FILE_FUNCTIONS) -> DataFrame:
+    """``project, id, name, language, file_path, signature, description, origin, code, line_start, line_end`` of every
+    documented function. ``code`` is its exact source with decorators, ``line_start`` and ``line_end`` the lines of that.
+    """
     ship(nodes.sparkSession)
-    functions = current_functions(nodes)
-    path = F.coalesce("file_path", F.split("id", "::").getItem(0))
-    functions = functions.withColumn("file_path", path)
-    lacking = F.coalesce(F.trim(F.regexp_replace("docstring", r"\s+", " ")), F.lit("")) == ""
-    wanted = functions.where(lacking).groupBy("project", "file_path").agg(F.collect_list(F.struct("id", "name", "signature", "line_start")).alias("functions"))
-    texts = (
+    by = ["project", "file_path"]
+    functions = current_functions(nodes).withColumn("file_path", F.coalesce("file_path", F.split("id", "::").getItem(0)))
+    crowded = functions.groupBy(*by).agg(F.ceil(F.count(F.lit(1)) / F.lit(file_functions)).alias("_rows")).where("_rows > 1")
+    part = F.pmod(F.xxhash64("id"), F.coalesce("_rows", F.lit(1))).alias("_part")
+    listed = (
+        functions.join(crowded, by, "left")
+        .groupBy(*by, part)
+        .agg(F.collect_list(F.struct("id", "name", "signature", "line_start", "docstring")).alias("functions"))
+    )
+    newest = (
         files.where(F.col("project").isNotNull() & F.col("file_path").isNotNull())
-        .groupBy("project", "file_path")
+        .groupBy(*by)
         .agg(F.max(F.struct("indexed_at", "content")).getField("content").alias("content"))
     )
-    from_files = wanted.join(texts, ["project", "file_path"]).mapInPandas(_from_files, _PAIR)
-    return functions.where(~lacking).mapInPandas(_described, _PAIR).unionByName(from_files)
+    return listed.join(newest, by, "left").select(*by, "functions", "content").mapInPandas(_paired, _PAIR)
 
 
 def found(nodes: DataFrame, files: DataFrame) -> DataFrame:

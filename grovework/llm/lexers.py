@@ -93,9 +93,9 @@ _ES_ASSIGN = {"+=", "-=", "*=", "**=", "/=", "%=", "<<=", "&=", "|=", "^=", "&&=
 _ES_BINARY = {"%", "**", "<<", "<=", "==", "===", "!=", "!==", "&&", "||", "??", "^"}
 
 
-def ecma_tokens(text: str, accepts: Callable[[tuple], bool]) -> Iterator[Token]:
+def ecma_tokens(text: str, accepts: Callable[[tuple], bool], start: int = 0) -> Iterator[Token]:
     """``accepts`` tells whether the parser, as it stands, takes a token class: it settles division against regex."""
-    at = text.index("\n") if text.startswith("#!") and "\n" in text else 0
+    at = text.index("\n") if text.startswith("#!") and "\n" in text and not start else start
     n, depth, templates = len(text), 0, []
     while True:
         fresh = False
@@ -178,8 +178,8 @@ _GO_BINARY = {"/", "%", "<<", ">>", "&^", "&&", "||", "==", "!=", "<", "<=", ">"
 _GO_ENDS = {"break", "continue", "fallthrough", "return", "++", "--", ")", "]", "}"}
 
 
-def go_tokens(text: str) -> Iterator[Token]:
-    at, n, ends = (1 if text.startswith("﻿") else 0), len(text), False
+def go_tokens(text: str, start: int = 0) -> Iterator[Token]:
+    at, n, ends = max(start, 1 if text.startswith("﻿") else 0), len(text), False
     while True:
         fresh = False
         m = _GO_SPACE.match(text, at)
@@ -218,9 +218,9 @@ _RUST_TOKEN = re.compile(
 _RUST_BINARY = {"/", "%", "^", "<<", "==", "!=", "<=", "+=", "-=", "*=", "/=", "%=", "^=", "&=", "|=", "<<="}
 
 
-def rust_tokens(text: str) -> Iterator[Token]:
-    at, n = (1 if text.startswith("﻿") else 0), len(text)
-    if text.startswith("#!") and not text.startswith("#!["):
+def rust_tokens(text: str, start: int = 0) -> Iterator[Token]:
+    at, n = max(start, 1 if text.startswith("﻿") else 0), len(text)
+    if text.startswith("#!") and not text.startswith("#![") and not start:
         at = text.index("\n") if "\n" in text else n
     while True:
         while at < n:
