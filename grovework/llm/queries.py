@@ -32,6 +32,10 @@ def p5_pieces(spark, d):
     return splitting.split_oversized(table(spark, d, "chunks"), table(spark, d, "chunk_limits"))
 
 
+def p5_round_trip(spark, d):
+    return splitting.round_trip(table(spark, d, "chunks"), table(spark, d, "chunk_limits"))
+
+
 def p6_found(spark, d):
     return syntax.found(table(spark, d, "source_files"))
 
@@ -87,10 +91,35 @@ def p10_composition(spark, d):
     return subjects.composition(*_labelled(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_pairs, p3_found, p3_reasons, p5_found, p5_pieces, p6_found, p6_rates, p7_found, p7_nearest, p8_found, p8_packing, p8_report, p9_mixture, p9_report, p9_tempered, p10_found, p10_composition)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_pairs, p3_found, p3_reasons, p5_found, p5_pieces, p5_round_trip, p6_found, p6_rates, p7_found, p7_nearest, p8_found, p8_packing, p8_report, p9_mixture, p9_report, p9_tempered, p10_found, p10_composition)}
+
+_VECTORS = """
+WITH v AS (
+  SELECT vec_field, project, id, vec FROM (
+    SELECT 'embedding' AS vec_field, project, id, max(embedding) AS vec FROM chunks WHERE len(embedding) = 64 GROUP BY ALL
+    UNION ALL
+    SELECT 'summary_embedding', project, id, r.vec FROM (
+      SELECT project, id, max(struct_pack(at := coalesce(indexed_at, TIMESTAMP '0001-01-01'), vec := summary_embedding)) AS r FROM code_nodes GROUP BY ALL)
+  ) WHERE project IS NOT NULL AND id IS NOT NULL AND len(vec) = 64
+      AND len(list_filter(vec, lambda x: isfinite(x))) = 64 AND len(list_filter(vec, lambda x: x <> 0)) > 0
+), near AS (
+  SELECT a.vec_field, a.project, a.id, b.project AS np, b.id AS ni, list_cosine_similarity(a.vec::DOUBLE[], b.vec::DOUBLE[]) AS c
+  FROM v a JOIN v b ON a.vec_field = b.vec_field AND (a.project, a.id) <> (b.project, b.id)
+  WHERE list_cosine_similarity(a.vec::DOUBLE[], b.vec::DOUBLE[]) >= 0.95
+)"""
 
 SQL = {
     "p5_found": """
 SELECT DISTINCT c.id FROM chunks c JOIN chunk_limits l ON coalesce(c.chunk_kind, 'fallback_text') = l.chunk_kind
 WHERE length(c.content) > l.max_chars""",
+    "p5_round_trip": """
+SELECT project, id, length(r.content)::BIGINT AS n_chars, md5(r.content) AS text_md5, true AS within_limit FROM (
+  SELECT c.project, c.id, max(struct_pack(over := coalesce(length(c.content) > l.max_chars, false), at := coalesce(c.indexed_at, TIMESTAMP '0001-01-01'), content := c.content)) AS r
+  FROM chunks c LEFT JOIN chunk_limits l ON coalesce(c.chunk_kind, 'fallback_text') = l.chunk_kind GROUP BY ALL)""",
+    "p7_found": _VECTORS
+    + """
+SELECT DISTINCT vec_field, CASE WHEN first THEN project ELSE np END AS project_a, CASE WHEN first THEN id ELSE ni END AS id_a,
+       CASE WHEN first THEN np ELSE project END AS project_b, CASE WHEN first THEN ni ELSE id END AS id_b
+FROM (SELECT *, (project, id) < (np, ni) AS first, row_number() OVER (PARTITION BY vec_field, project, id ORDER BY round(c, 6) DESC, np, ni) AS place FROM near)
+WHERE place <= 5""",
 }
