@@ -3,16 +3,20 @@
 1. Components. Every node has at most one parent, so a component is a tree with one root or a loop with trees on it.
    Pointer jumping (each round a join of the unfinished nodes with the pointers) finds every node's root in
    log2(depth) rounds. The nodes left over when a round finishes nobody have no root: they lie on or below a loop.
+   The rounds also sum up depths.
 2. Co-location. Rows are grouped by component; an iterative depth-first traversal with node colouring gives paths,
-   depths, descendants and the back edges that close loops.
-3. A component of more than ``max_component_rows`` rows is not gathered in one task: its paths are composed by pointer
-   doubling over relations, with the same result.
+   depths, descendants and the back edges that close loops. What a task gathers is bounded by the rows and the path
+   elements of a component, not by rows alone.
+3. The paths of a component beyond ``max_component_cells`` rows and path elements are composed by pointer doubling over
+   relations instead, in log2(depth) rounds; descendants are summed up along the same pointers. Every column has the
+   same values either way.
 
 Defined results
 * a null parent, or a parent that names no row, makes the node a root;
 * a node that is its own parent is a loop of one;
 * exact duplicates and older rows of a node do not matter (current rows only), rows with a null key are dropped;
 * for nodes on or below a loop: ``root`` is null, ``path`` starts at the loop's smallest id, and ``depth`` counts from it;
+* a loop is entered at its smallest id, so ``back_edge`` marks that node: its parent link leads back into the traversal;
 * an empty table gives an empty result; extra columns are ignored.
 """
 
@@ -25,7 +29,7 @@ from pyspark.sql import types as T
 
 from grovework.runtime import current_rows, cut, release
 
-MAX_COMPONENT_ROWS = 200_000
+MAX_COMPONENT_CELLS = 4_000_000  # rows and path elements of a component that one task gathers
 
 RESULT = T.StructType(
     [
@@ -53,20 +57,19 @@ def parent_links(nodes: DataFrame) -> DataFrame:
 
 
 def _jump_to_roots(links: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-    """(``project, id, root`` of nodes in trees, links of the nodes on or below loops or None)."""
+    """(``project, id, root, depth`` of nodes in trees, links of the nodes on or below loops or None)."""
+    top = F.col("parent_id").isNull()
     state = cut(
-        links.select(
-            "project", "id", F.coalesce("parent_id", "id").alias("anc"), F.col("parent_id").isNull().alias("done")
-        ),
+        links.select("project", "id", F.coalesce("parent_id", "id").alias("anc"), F.when(top, 0).otherwise(1).cast("long").alias("depth"), top.alias("done")),
         "jump",
     )
     left = state.where(~F.col("done")).count()
     while left:
-        ptr = state.select("project", F.col("id").alias("anc"), F.col("anc").alias("_next"), F.col("done").alias("_done"))
+        ptr = state.select("project", F.col("id").alias("anc"), F.col("anc").alias("_next"), F.col("depth").alias("_depth"), F.col("done").alias("_done"))
         moved = (
             state.where(~F.col("done"))
             .join(ptr, ["project", "anc"])
-            .select("project", "id", F.col("_next").alias("anc"), F.col("_done").alias("done"))
+            .select("project", "id", F.col("_next").alias("anc"), (F.col("depth") + F.col("_depth")).alias("depth"), F.col("_done").alias("done"))
         )
         new = cut(state.where("done").unionByName(moved), "jump")
         release(state)
@@ -74,7 +77,7 @@ def _jump_to_roots(links: DataFrame) -> tuple[DataFrame, DataFrame | None]:
         left = state.where(~F.col("done")).count()
         if left == before:
             break
-    roots = state.where("done").select("project", "id", F.col("anc").alias("root"))
+    roots = state.where("done").select("project", "id", F.col("anc").alias("root"), "depth")
     if not left:
         return roots, None
     looped = cut(links.join(state.where(~F.col("done")).select("project", "id"), ["project", "id"], "left_semi"), "loops")
@@ -126,7 +129,7 @@ def traverse(pdf: pd.DataFrame) -> pd.DataFrame:
     colour = dict.fromkeys(ids, 0)
     loop: dict[str, str] = {}
     back: set[str] = set()
-    for start in ids:
+    for start in sorted(ids):
         trail, at = [], start
         while at is not None and colour[at] == 0:
             colour[at] = 1
@@ -136,7 +139,7 @@ def traverse(pdf: pd.DataFrame) -> pd.DataFrame:
             ring = trail[trail.index(at) :]
             low = min(ring)
             loop.update(dict.fromkeys(ring, low))
-            back.add(ring[-1])
+            back.add(low)
         for node in trail:
             colour[node] = 2
     children: dict[str, list[str]] = {}
@@ -183,49 +186,54 @@ def traverse(pdf: pd.DataFrame) -> pd.DataFrame:
 def _doubled(links: DataFrame, members: DataFrame) -> DataFrame:
     """The result of ``traverse`` for components too large to gather: paths composed by pointer doubling.
 
-    ``members``: project, id, root, cycle_id, on_cycle. The loop's smallest node is taken for its component's top.
+    ``members``: project, id, root, cycle_id, on_cycle. The loop's smallest node is taken for its component's top. After
+    k rounds ``up`` is 2^k steps up and ``n`` counts the nodes less than 2^k steps below (and the node itself), so a
+    round adds to each node the counts of those exactly 2^k steps below it.
     """
     base = links.join(members, ["project", "id"])
     top = F.col("parent_id").isNull() | (F.col("on_cycle") & (F.col("cycle_id") == F.col("id")))
     state = cut(
-        base.select("*", F.when(~top, F.col("parent_id")).alias("up"), F.array("id").alias("path")), "double"
+        base.select("*", F.when(~top, F.col("parent_id")).alias("up"), F.array("id").alias("path"), F.lit(1).cast("long").alias("n")), "double"
     )
     while not state.where(F.col("up").isNotNull()).isEmpty():
         ptr = state.select("project", F.col("id").alias("up"), F.col("up").alias("_up"), F.col("path").alias("_path"))
-        moved = state.join(ptr, ["project", "up"], "left")
+        below = state.where(F.col("up").isNotNull()).groupBy("project", F.col("up").alias("id")).agg(F.sum("n").alias("_n"))
+        moved = state.join(ptr, ["project", "up"], "left").join(below, ["project", "id"], "left")
         new = cut(
             moved.select(
-                *[c for c in state.columns if c not in ("up", "path")],
+                *[c for c in state.columns if c not in ("up", "path", "n")],
                 F.col("_up").alias("up"),
                 F.when(F.col("_path").isNull(), F.col("path")).otherwise(F.concat("_path", "path")).alias("path"),
+                (F.col("n") + F.coalesce("_n", F.lit(0))).alias("n"),
             ).select(*state.columns),
             "double",
         )
         release(state)
         state = new
-    below = (
-        state.select("project", F.explode(F.slice("path", 1, F.greatest(F.size("path") - 1, F.lit(0)))).alias("id"))
-        .groupBy("project", "id")
-        .agg(F.count(F.lit(1)).alias("n_descendants"))
-    )
-    return state.join(below, ["project", "id"], "left").select(
+    return state.select(
         "project",
         "id",
         "parent_id",
         "root",
         "path",
         (F.size("path") - 1).alias("depth"),
-        F.coalesce("n_descendants", F.lit(0)).cast("long").alias("n_descendants"),
+        (F.col("n") - 1).alias("n_descendants"),
         "cycle_id",
         "on_cycle",
         (F.col("on_cycle") & (F.col("cycle_id") == F.col("id"))).alias("back_edge"),
     )
 
 
-def _resolve(links: DataFrame, members: DataFrame, max_component_rows: int) -> DataFrame:
-    """``members``: project, id, comp, root, cycle_id, on_cycle. Splits components by size and resolves both kinds."""
-    sizes = members.groupBy("project", "comp").agg(F.count(F.lit(1)).alias("_n"))
-    large = cut(sizes.where(F.col("_n") > max_component_rows).select("project", "comp"), "large")
+def _resolve(links: DataFrame, members: DataFrame, max_component_cells: int) -> DataFrame:
+    """``members``: project, id, comp, root, depth, cycle_id, on_cycle. Splits components by size and resolves both kinds.
+
+    A node of unknown depth (on or below a loop) is taken to be as deep as its component has nodes.
+    """
+    known = F.sum(F.coalesce(F.col("depth") + 2, F.lit(2)))
+    unknown = F.sum(F.when(F.col("depth").isNull(), 1).otherwise(0))
+    sizes = members.groupBy("project", "comp").agg((known + unknown * unknown).alias("_n"))
+    members = members.drop("depth")
+    large = cut(sizes.where(F.col("_n") > max_component_cells).select("project", "comp"), "large")
     if large.isEmpty():
         small, big = members, None
     else:
@@ -238,7 +246,7 @@ def _resolve(links: DataFrame, members: DataFrame, max_component_rows: int) -> D
     return out
 
 
-def hierarchy(nodes: DataFrame, max_component_rows: int = MAX_COMPONENT_ROWS) -> DataFrame:
+def hierarchy(nodes: DataFrame, max_component_cells: int = MAX_COMPONENT_CELLS) -> DataFrame:
     """Of each node: parent, root, path (ids from the top), depth, number of descendants, loop (``RESULT``).
 
     ``back_edge`` marks one node of each loop, the one whose parent link closes it.
@@ -246,24 +254,24 @@ def hierarchy(nodes: DataFrame, max_component_rows: int = MAX_COMPONENT_ROWS) ->
     links = cut(parent_links(nodes), "links")
     roots, looped = _jump_to_roots(links)
     none = F.lit(None).cast("string")
-    members = roots.select("project", "id", F.col("root").alias("comp"), "root", none.alias("cycle_id"), F.lit(False).alias("on_cycle"))
+    members = roots.select("project", "id", F.col("root").alias("comp"), "root", "depth", none.alias("cycle_id"), F.lit(False).alias("on_cycle"))
     if looped is not None:
         loops = _loop_ids(looped)
         members = members.unionByName(
-            loops.select("project", "id", F.col("cycle_id").alias("comp"), none.alias("root"), "cycle_id", "on_cycle")
+            loops.select("project", "id", F.col("cycle_id").alias("comp"), none.alias("root"), F.lit(None).cast("long").alias("depth"), "cycle_id", "on_cycle")
         )
-    return _resolve(links, members, max_component_rows)
+    return _resolve(links, members, max_component_cells)
 
 
-def loops(nodes: DataFrame, max_component_rows: int = MAX_COMPONENT_ROWS) -> DataFrame:
+def loops(nodes: DataFrame, max_component_cells: int = MAX_COMPONENT_CELLS) -> DataFrame:
     """``hierarchy`` of the components that have a loop only (nodes on and below it)."""
     links = cut(parent_links(nodes), "links")
     _, looped = _jump_to_roots(links)
     if looped is None:
         return nodes.sparkSession.createDataFrame([], RESULT)
     found = _loop_ids(looped)
-    members = found.select("project", "id", F.col("cycle_id").alias("comp"), F.lit(None).cast("string").alias("root"), "cycle_id", "on_cycle")
-    return _resolve(looped, members, max_component_rows)
+    members = found.select("project", "id", F.col("cycle_id").alias("comp"), F.lit(None).cast("string").alias("root"), F.lit(None).cast("long").alias("depth"), "cycle_id", "on_cycle")
+    return _resolve(looped, members, max_component_cells)
 
 
 def descendants(resolved: DataFrame) -> DataFrame:

@@ -27,7 +27,7 @@ def p4_found(spark, d):
 
 def p4_hierarchy(spark, d):
     h = H.hierarchy(table(spark, d, "code_nodes"))
-    return h.withColumn("path", F.array_join("path", " > ")).drop("back_edge", "parent_id")
+    return h.withColumn("path", F.array_join("path", " > ")).drop("parent_id")
 
 
 def p4_descendants(spark, d):
@@ -64,11 +64,9 @@ WITH RECURSIVE cur AS (
 ), links AS (
   SELECT c.project, c.id, p.id AS parent_id FROM cur c LEFT JOIN cur p ON c.project = p.project AND c.parent_id = p.id
 ), up AS (
-  SELECT project, id, parent_id AS anc, 1 AS steps FROM links WHERE parent_id IS NOT NULL
+  SELECT project, id, parent_id AS anc FROM links WHERE parent_id IS NOT NULL
   UNION
-  SELECT u.project, u.id, l.parent_id, u.steps + 1
-  FROM up u JOIN links l ON u.project = l.project AND u.anc = l.id
-  WHERE l.parent_id IS NOT NULL AND u.steps < 200
+  SELECT u.project, u.id, l.parent_id FROM up u JOIN links l ON u.project = l.project AND u.anc = l.id WHERE l.parent_id IS NOT NULL
 ), rings AS (
   SELECT project, id FROM up WHERE anc = id GROUP BY ALL
 ), seen AS (SELECT DISTINCT project, id, anc FROM up)
@@ -86,7 +84,7 @@ walk AS (
 SQL = {
     "p4_hierarchy": _WALK
     + """
-SELECT n.project, n.id, CASE WHEN n.cycle_id IS NULL THEN p.root END AS root, p.path, p.depth, coalesce(d.k, 0) AS n_descendants, n.cycle_id, n.on_cycle
+SELECT n.project, n.id, CASE WHEN n.cycle_id IS NULL THEN p.root END AS root, p.path, p.depth, coalesce(d.k, 0) AS n_descendants, n.cycle_id, n.on_cycle, coalesce(n.cycle_id = n.id, false) AS back_edge
 FROM nodes n JOIN (SELECT project, id, string_agg(pos, ' > ' ORDER BY steps DESC) AS path, max(steps) AS depth, arg_max(pos, steps) AS root FROM walk GROUP BY ALL) p USING (project, id)
 LEFT JOIN (SELECT project, pos AS id, count(*) AS k FROM walk WHERE steps > 0 GROUP BY ALL) d USING (project, id)""",
     "p4_descendants": _WALK + "SELECT project, pos AS ancestor, id AS descendant, steps AS distance FROM walk WHERE steps > 0",

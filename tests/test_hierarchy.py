@@ -26,16 +26,16 @@ def brute(links):
         ring = seen[seen.index(at) :] if at is not None else []
         cycle = min(ring) if ring else None
         up = seen if not ring else seen[: seen.index(cycle) + 1] if cycle in seen else seen
-        out[k] = (seen[-1] if not ring else None, tuple(reversed(up)), cycle, k[1] in ring)
+        out[k] = (seen[-1] if not ring else None, tuple(reversed(up)), cycle, k[1] in ring, cycle == k[1])
     below = dict.fromkeys(parent, 0)
-    for k, (_, path, _, _) in out.items():
+    for k, (_, path, *_) in out.items():
         for a in path[:-1]:
             below[k[0], a] += 1
     return {k: (*v[:2], below[k], *v[2:]) for k, v in out.items()}
 
 
 def result(df):
-    return {(r["project"], r["id"]): (r["root"], tuple(r["path"]), r["n_descendants"], r["cycle_id"], r["on_cycle"]) for r in df.collect()}
+    return {(r["project"], r["id"]): (r["root"], tuple(r["path"]), r["n_descendants"], r["cycle_id"], r["on_cycle"], r["back_edge"]) for r in df.collect()}
 
 
 @pytest.mark.parametrize("bound", [1000, 2])
@@ -61,7 +61,23 @@ def test_long_chain_and_repeats(spark):
 def test_one_back_edge_per_loop(spark):
     links = [("p", "a", "b"), ("p", "b", "c"), ("p", "c", "a"), ("p", "d", "a")]
     rows = H.hierarchy(frame(spark, links)).collect()
-    assert sum(r["back_edge"] for r in rows) == 1 and {r["cycle_id"] for r in rows} == {"a"}
+    assert [r["id"] for r in rows if r["back_edge"]] == ["a"] and {r["cycle_id"] for r in rows} == {"a"}
+
+
+def test_back_edge_does_not_depend_on_the_order_of_rows():
+    import itertools
+
+    import pandas as pd
+
+    for rows in itertools.permutations([("p", "a", "b"), ("p", "b", "c"), ("p", "c", "a")]):
+        got = H.traverse(pd.DataFrame(rows, columns=["project", "id", "parent_id"]))
+        assert got[got["back_edge"]]["id"].tolist() == ["a"]
+
+
+def test_deep_component_is_not_gathered(spark):
+    links = [("p", f"n{i:04d}", f"n{i - 1:04d}" if i else None) for i in range(300)] + [("q", f"m{i}", "m0" if i else None) for i in range(300)]
+    got = result(H.hierarchy(frame(spark, links), 10_000))  # the chain has 300 rows but over 45,000 path elements
+    assert got == brute(links)
 
 
 def test_nulls_and_empty(spark):
@@ -84,7 +100,7 @@ def test_breadcrumbs_of_any_depth(spark):
     links += [("p", "b", "c"), ("p", "c", "b"), ("p", "d", "c"), ("p", "self", "self"), ("p", "alone", "nowhere")]
     nodes = spark.createDataFrame([(p, i, q, None if i == "n000" else i.upper()) for p, i, q in links], "project string, id string, parent_id string, name string")
     got = {(r["project"], r["id"]): (tuple(r["path"]), r["depth"], r["cycle_id"]) for r in T.all_breadcrumbs(SimpleNamespace(nodes=nodes)).collect()}
-    want = {k: (tuple("" if x == "n000" else x.upper() for x in path), len(path) - 1, cycle) for k, (_, path, _, cycle, _) in brute(links).items()}
+    want = {k: (tuple("" if x == "n000" else x.upper() for x in path), len(path) - 1, cycle) for k, (_, path, _, cycle, *_) in brute(links).items()}
     assert got == want and got["p", "n025"][1] == 25 and len(got["p", "n039"][0]) == 40
 
 
