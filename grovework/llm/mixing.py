@@ -1,14 +1,18 @@
 """Problem 9: mixing sources to target weights by temperature mixing and budgeted block permutations.
 
-Weights come from one family: exponentiated shares, normalised. With targets, w_i ~ t_i^a * s_i^(1-a) between the
-natural token shares s (a = 0) and the target shares t (a = 1); without targets, w_i ~ s_i^a, bisected until the weights
-have a wanted entropy. The budget in tokens is either given, and then a is bisected to the greatest value at which no
-source is needed more often than its limit, or it is the greatest one at which a = 1 needs no source more often.
+Weights come from exponentiated shares, normalised, in one of three ways:
+* ``budget=None``: every source gets its target share exactly; the budget is the greatest at which no source is needed
+  more often than its limit. No single exponent of the token shares gives arbitrary targets, so there is none here.
+* a budget in tokens: w_i ~ s_i (t_i / s_i)^a, the natural token shares s (a = 0) tempered towards the target shares t
+  (a = 1); a is bisected to the greatest value at which the budget needs no source more often than its limit.
+* an entropy: w_i ~ s_i^a, a bisected until the weights have that entropy.
 
 The weights are realised per source as whole passes over the source and a part of one more: the source's records fall
 into blocks by hash, the blocks are taken in the order of a permutation drawn anew for each pass while they fit the
-budget, and only the block on the edge is taken record by record. So just block sums (sources x ``BLOCKS``) reach the
-driver, and no source, however large, is sorted as a whole.
+budget, and only the block on the edge is taken record by record. So just block sums reach the driver, and no source,
+however large, is sorted as a whole: blocks hold about ``BLOCK_ROWS`` records. Every record gets its ``position`` in the
+permutation of its source as a share of what is drawn from it; sorted by position, any prefix of the mixture has the
+weights of the whole.
 
 Defined results
 * a record without tokens (null or empty text) and one without a source is never drawn;
@@ -30,7 +34,8 @@ from pyspark.sql import functions as F
 from grovework.llm.tokens import TOKENIZER, with_token_counts
 from grovework.runtime import cut
 
-BLOCKS = 1024
+BLOCK_ROWS = 20_000  # records of a source that form a block
+MIN_BLOCKS, MAX_BLOCKS = 16, 65_536  # blocks of a source: their sums reach the driver
 
 
 def normalised(weights: dict[str, float]) -> dict[str, float]:
@@ -43,25 +48,37 @@ def entropy(weights: dict[str, float]) -> float:
 
 
 def weights_at(natural: dict[str, float], target: dict[str, float], a: float) -> dict[str, float]:
-    both = {k: target[k] ** a * natural[k] ** (1 - a) for k in target if natural.get(k, 0) > 0 and target[k] > 0}
+    both = {k: natural[k] * (target[k] / natural[k]) ** a for k in target if natural.get(k, 0) > 0 and target[k] > 0}
     return normalised(both)
 
 
-def weights_of_entropy(natural: dict[str, float], wanted: float, steps: int = 60) -> dict[str, float]:
-    """natural^a with a in [0, 1], bisected so that the entropy is ``wanted`` (as near as that range allows)."""
+def exponent_of_entropy(natural: dict[str, float], wanted: float, steps: int = 60) -> float:
+    """The exponent from 0 up at which natural^a has the entropy ``wanted`` (or comes as near to it as it can)."""
     shares = {k: v for k, v in normalised(natural).items() if v > 0}
+    at = lambda a: entropy(normalised({k: (v / max(shares.values())) ** a for k, v in shares.items()}))
     low, high = 0.0, 1.0  # entropy falls as a grows
+    while at(high) > wanted and high < 1024:
+        high *= 2
     for _ in range(steps):
         mid = (low + high) / 2
-        if entropy(normalised({k: v**mid for k, v in shares.items()})) > wanted:
-            low = mid
-        else:
-            high = mid
-    return normalised({k: v**high for k, v in shares.items()})
+        low, high = (mid, high) if at(mid) > wanted else (low, mid)
+    return high
 
 
-def solve(tokens: dict[str, int], targets: dict[str, tuple[float, int]], budget: float | None = None, steps: int = 60) -> tuple[dict[str, float], float, float]:
-    """(weights, budget, exponent) for sources of ``tokens`` and ``targets`` of (share, most uses of a record)."""
+def weights_of_entropy(natural: dict[str, float], wanted: float) -> dict[str, float]:
+    """natural^a, normalised, with a bisected so that the entropy is ``wanted``."""
+    a = exponent_of_entropy(natural, wanted)
+    shares = {k: v for k, v in normalised(natural).items() if v > 0}
+    return normalised({k: (v / max(shares.values())) ** a for k, v in shares.items()})
+
+
+def solve(
+    tokens: dict[str, int], targets: dict[str, tuple[float, int]], budget: float | None = None, wanted_entropy: float | None = None, steps: int = 60
+) -> tuple[dict[str, float], float, float]:
+    """(weights, budget, exponent) for sources of ``tokens`` and ``targets`` of (share, most uses of a record).
+
+    With ``wanted_entropy`` the target shares only say which sources take part; without a budget that is as in ``mix``.
+    """
     able = {k: t for k, t in targets.items() if tokens.get(k, 0) > 0 and t[0] > 0 and t[1] >= 1}
     if not able:
         return {}, 0.0, 1.0
@@ -69,6 +86,10 @@ def solve(tokens: dict[str, int], targets: dict[str, tuple[float, int]], budget:
     target = normalised({k: t[0] for k, t in able.items()})
     most = {k: tokens[k] * t[1] for k, t in able.items()}
     feasible = lambda w, b: all(w[k] * b <= most[k] * (1 + 1e-12) for k in w)
+    if wanted_entropy is not None:
+        w, a = weights_of_entropy(natural, wanted_entropy), exponent_of_entropy(natural, wanted_entropy)
+        most_of_all = min(most[k] / w[k] for k in w if w[k] > 0)
+        return w, most_of_all if budget is None else min(budget, most_of_all), a
     if budget is None:
         return target, min(most[k] / target[k] for k in able), 1.0
     if feasible(target, budget):
@@ -117,29 +138,44 @@ def whole_budget(sizes: DataFrame, mix_targets: DataFrame) -> int:
     return there.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("n")).first()["n"]
 
 
-def mix(sizes: DataFrame, mix_targets: DataFrame, budget: float | None = None, seed: int = 7, blocks: int = BLOCKS) -> DataFrame:
-    """``doc_id, source, n_tokens, use`` of every drawn record, a record used n times being n rows (``use`` 1 to n)."""
+def target_entropy(mix_targets: DataFrame) -> float:
+    """The entropy of the target shares."""
+    return entropy(normalised({k: share for k, (share, most) in _targets(mix_targets).items() if share > 0 and most >= 1}))
+
+
+def mix(
+    sizes: DataFrame, mix_targets: DataFrame, budget: float | None = None, wanted_entropy: float | None = None, seed: int = 7, block_rows: int = BLOCK_ROWS
+) -> DataFrame:
+    """``doc_id, source, n_tokens, use, position`` of every drawn record.
+
+    A record used n times is n rows (``use`` 1 to n), each with its place in the pass it belongs to.
+    """
     spark = sizes.sparkSession
     targets = _targets(mix_targets)
     wanted = sizes.select("doc_id", "source", "n_tokens").where((F.col("n_tokens") > 0) & F.col("source").isin(list(targets)))
-    block = lambda use: F.pmod(F.xxhash64("doc_id", F.lit(seed), use), F.lit(blocks))
-    total = {r["source"]: int(r["n"]) for r in wanted.groupBy("source").agg(F.sum("n_tokens").alias("n")).collect()}
-    weights, size, _ = solve(total, targets, budget)
-    passes, part = {}, {}
+    there = {r["source"]: (int(r["n"]), r["rows"]) for r in wanted.groupBy("source").agg(F.sum("n_tokens").alias("n"), F.count(F.lit(1)).alias("rows")).collect()}
+    total = {k: n for k, (n, _) in there.items()}
+    weights, size, _ = solve(total, targets, budget, wanted_entropy)
+    plan, part = [], {}
     for k, w in weights.items():
         whole, rest = divmod(w * size * (1 + 1e-12), total[k])
-        passes[k] = int(min(whole, targets[k][1]))
-        part[k] = rest if passes[k] < targets[k][1] else 0.0
-    plan = spark.createDataFrame([(k, passes[k], passes[k] + 1) for k in weights], "source string, passes int, last int")
-    drawn = wanted.join(F.broadcast(plan), "source")  # one row per target
-    blocked = cut(drawn.withColumn("_block", block(F.col("last"))), "mix-blocks")
-    sums: dict[str, dict[int, int]] = {}
-    for r in blocked.groupBy("source", "_block").agg(F.sum("n_tokens").alias("n")).collect():
-        sums.setdefault(r["source"], {})[r["_block"]] = int(r["n"])
-    # the permutation of a pass is the order of the hash blocks themselves
+        passes = int(min(whole, targets[k][1]))
+        part[k] = rest if passes < targets[k][1] else 0.0
+        blocks = min(MAX_BLOCKS, max(MIN_BLOCKS, math.ceil(there[k][1] / block_rows)))
+        plan.append((k, passes, passes + (part[k] > 0), blocks, w * size))
+    plan = spark.createDataFrame(plan, "source string, passes int, last int, blocks int, wanted double")
+    planned = wanted.join(F.broadcast(plan), "source")  # one row per target
+    # the permutation of a pass is the order of its hash blocks, and within a block that of another hash
+    block = F.pmod(F.xxhash64("doc_id", F.lit(seed), "use"), "blocks").cast("int").alias("block")
+    every = planned.where("last > 0").select("doc_id", "source", "n_tokens", "passes", "last", "blocks", "wanted", F.explode(F.sequence(F.lit(1), F.col("last"))).alias("use"))
+    passes = cut(every.select("doc_id", "source", "n_tokens", "use", (F.col("use") > F.col("passes")).alias("partly"), "wanted", block), "mix-blocks")
+    sums = passes.groupBy("source", "use", "partly", "block").agg(F.sum("n_tokens").alias("n"))
+    of_part: dict[str, dict[int, int]] = {}
+    for r in sums.where("partly").collect():  # at most MAX_BLOCKS for each target
+        of_part.setdefault(r["source"], {})[r["block"]] = int(r["n"])
     edges = []
-    for k, parts in sums.items():
-        left, edge = part[k], blocks
+    for k, parts in of_part.items():
+        left, edge = part[k], MAX_BLOCKS
         for b in sorted(parts):
             if parts[b] > left:
                 edge = b
@@ -147,19 +183,42 @@ def mix(sizes: DataFrame, mix_targets: DataFrame, budget: float | None = None, s
             left -= parts[b]
         edges.append((k, edge, float(left)))
     edge = spark.createDataFrame(edges, "source string, _edge int, _left double")
-    marked = blocked.join(F.broadcast(edge), "source")
-    running = F.sum("n_tokens").over(Window.partitionBy("source").orderBy(F.xxhash64("doc_id", F.lit(seed), F.lit("edge")), "doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, 0))
-    on_edge = marked.where(F.col("_block") == F.col("_edge")).withColumn("_sum", running).where(F.col("_sum") <= F.col("_left"))
-    rest = marked.where(F.col("_block") < F.col("_edge")).select("doc_id", "source", "n_tokens", F.col("last").alias("use"))
-    rest = rest.unionByName(on_edge.select("doc_id", "source", "n_tokens", F.col("last").alias("use")))
-    uses = F.explode(F.sequence(F.lit(1), F.col("passes"))).alias("use")
-    whole = blocked.where("passes > 0").select("doc_id", "source", "n_tokens", uses)
-    return whole.unionByName(rest)
+    taken = passes.join(F.broadcast(edge), "source", "left").where(~F.col("partly") | (F.col("block") <= F.col("_edge")))
+    in_block = Window.partitionBy("source", "use", "block").orderBy(F.xxhash64("doc_id", F.lit(seed), F.lit("place"), "use"), "doc_id", "n_tokens")
+    running = F.sum("n_tokens").over(in_block.rowsBetween(Window.unboundedPreceding, 0))
+    fits = ~F.col("partly") | (F.col("block") < F.col("_edge")) | (F.col("_sum") <= F.col("_left"))
+    earlier = Window.partitionBy("source").orderBy("use", "block").rowsBetween(Window.unboundedPreceding, -1)  # block sums of one source
+    offsets = sums.select("source", "use", "block", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("_before"))
+    placed = taken.withColumn("_sum", running).where(fits).join(offsets, ["source", "use", "block"])
+    position = (F.col("_before") + F.col("_sum") - F.col("n_tokens")) / F.col("wanted")
+    return placed.select("doc_id", "source", "n_tokens", "use", position.alias("position"))
+
+
+def invariants(sizes: DataFrame, mix_targets: DataFrame) -> DataFrame:
+    """Of each target source that has tokens: whether its share, its repetitions and its positions are as they should be.
+
+    Shares are normalised over those sources and may be off by the longest record over all that is drawn.
+    """
+    targets = mix_targets.where(F.col("source").isNotNull()).groupBy("source").agg(F.sum("target_share").alias("t"), F.min(F.coalesce("max_repeats", F.lit(1))).alias("m"))
+    there = sizes.where("n_tokens > 0").groupBy("source").agg(F.max("n_tokens").alias("longest"))
+    uses = mix(sizes, mix_targets).groupBy("source", "doc_id").agg(
+        F.count(F.lit(1)).alias("uses"), F.countDistinct("use").alias("distinct_uses"), F.sum("n_tokens").alias("n"), F.min("position").alias("low"), F.max("position").alias("high")
+    )
+    drawn = uses.groupBy("source").agg(F.sum("n").alias("n"), F.max("uses").alias("uses"), F.min(F.col("uses") == F.col("distinct_uses")).alias("apart"), F.min("low").alias("low"), F.max("high").alias("high"))
+    everything = Window.partitionBy()  # one row per target
+    rows = targets.where("t > 0 and m >= 1").join(there, "source").join(drawn, "source", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    share, aim = F.col("n") / F.sum("n").over(everything), F.col("t") / F.sum("t").over(everything)
+    return rows.select(
+        "source",
+        (F.abs(share - aim) <= (F.max("longest").over(everything) + 1) / F.sum("n").over(everything)).alias("share_met"),
+        (F.col("uses") <= F.col("m")).alias("repeats_met"),
+        (F.col("apart") & (F.col("low") >= 0) & (F.col("high") < 1)).alias("positions_met"),
+    )
 
 
-def report(sizes: DataFrame, mix_targets: DataFrame, budget: float | None = None) -> DataFrame:
+def report(sizes: DataFrame, mix_targets: DataFrame, budget: float | None = None, wanted_entropy: float | None = None) -> DataFrame:
     """Of each source and target: tokens there and drawn, target and actual share, most uses allowed and made."""
-    drawn = mix(sizes, mix_targets, budget).groupBy("source").agg(
+    drawn = mix(sizes, mix_targets, budget, wanted_entropy).groupBy("source").agg(
         F.sum("n_tokens").alias("drawn_tokens"), F.count(F.lit(1)).alias("drawn_rows"), F.max("use").alias("most_uses")
     )
     there = sizes.where(F.col("source").isNotNull()).groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("rows"))

@@ -12,7 +12,8 @@ Defined results
   ``token_from``/``token_to`` in its tokens); no other item is split;
 * an item exactly as long as the capacity fills a container alone;
 * an item without tokens (null or empty text) needs no room: its ``container`` is null;
-* repeated rows of an id are items of their own, numbered by ``copy``; a null id is an id like any other;
+* repeated rows of an id are items of their own, told apart by ``copy`` (a number no two rows share); a null id is an id
+  like any other;
 * no items: no rows; extra columns are ignored.
 """
 
@@ -110,11 +111,10 @@ def pack(items: DataFrame, capacity: int, key: str = "doc_id") -> DataFrame:
     """``key, copy, piece, n_pieces, token_from, token_to, size, container`` from ``key, n_tokens``."""
     ship(items.sparkSession)
     cap = F.lit(int(capacity)).cast("long")
-    again = F.row_number().over(Window.partitionBy(key, "n_tokens").orderBy(F.lit(1))) - 1
     n_pieces = F.greatest(F.ceil(F.col("n_tokens") / cap), F.lit(1)).cast("int")
     cuts = (
         items.select(key, F.coalesce("n_tokens", F.lit(0)).cast("long").alias("n_tokens"))
-        .withColumn("copy", again)
+        .withColumn("copy", F.monotonically_increasing_id())
         .withColumn("n_pieces", n_pieces)
         .withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("n_pieces") - 1)))
         .withColumn("token_from", F.col("piece") * cap)
@@ -145,6 +145,25 @@ def sized(documents: DataFrame, path: str = TOKENIZER) -> DataFrame:
     return cut(with_token_counts(documents, ["doc_id"], path=path), "sizes")
 
 
+def invariants(packed: DataFrame, capacity: int, key: str = "doc_id") -> DataFrame:
+    """One row: items, those without tokens, items split though they fit, containers over the capacity, items whose
+    pieces do not cover their tokens once, and whether at most one container in a hundred more than needed is used."""
+    item = packed.groupBy(key, "copy").agg(
+        F.sum("size").alias("size"), F.max("token_to").alias("to"), F.min("token_from").alias("begin"), F.count(F.lit(1)).alias("rows"), F.max("n_pieces").alias("n_pieces"), F.countDistinct("piece").alias("pieces")
+    )
+    cap = F.lit(int(capacity))
+    least = F.when(F.col("to") <= cap, 1).otherwise(F.ceil(F.col("to") / cap))
+    count = lambda c, name: F.coalesce(F.sum(F.when(c, 1).otherwise(0)), F.lit(0)).cast("long").alias(name)
+    whole = (F.col("begin") == 0) & (F.col("size") == F.col("to")) & (F.col("rows") == F.col("n_pieces")) & (F.col("pieces") == F.col("rows"))
+    of_items = item.agg(
+        F.count(F.lit(1)).alias("n_items"), count(F.col("size") == 0, "n_empty"), count(F.col("n_pieces") > least, "split_though_fitting"), count(~whole, "not_covered_once")
+    )
+    fill = packed.where("container is not null").groupBy("container").agg(F.sum("size").alias("size"))
+    of_containers = fill.agg(count(F.col("size") > cap, "over_capacity"), (F.count(F.lit(1)) <= F.ceil(F.coalesce(F.sum("size"), F.lit(0)) / cap) * 1.01 + 1).alias("well_filled"))
+    one = F.lit(1).alias("_one")
+    return of_items.select("*", one).join(of_containers.select("*", one), "_one").drop("_one")  # one row each
+
+
 def capacity_of(pack_sizes: DataFrame, container: str) -> int:
     row = pack_sizes.where(F.col("container") == container).agg(F.max("capacity_tokens").alias("c")).first()
     if row["c"] is None:

@@ -62,6 +62,11 @@ def p8_packing(spark, d):
     return packing.pack(sizes, packing.capacity_of(table(spark, d, "pack_sizes"), "standard"))
 
 
+def p8_invariants(spark, d):
+    cap = packing.capacity_of(table(spark, d, "pack_sizes"), "standard")
+    return packing.invariants(packing.pack(packing.sized(table(spark, d, "documents")), cap), cap)
+
+
 def p8_report(spark, d):
     return packing.report(table(spark, d, "documents"), table(spark, d, "pack_sizes"))
 
@@ -79,6 +84,15 @@ def p9_tempered(spark, d):
     return mixing.mix(sizes, targets, mixing.whole_budget(sizes, targets))
 
 
+def p9_entropy(spark, d):
+    sizes, targets = mixing.sized(table(spark, d, "documents")), table(spark, d, "mix_targets")
+    return mixing.mix(sizes, targets, wanted_entropy=mixing.target_entropy(targets))
+
+
+def p9_invariants(spark, d):
+    return mixing.invariants(mixing.sized(table(spark, d, "documents")), table(spark, d, "mix_targets"))
+
+
 def _labelled(spark, d):
     return table(spark, d, "documents"), table(spark, d, "subject_labels"), table(spark, d, "subjects")
 
@@ -91,7 +105,7 @@ def p10_composition(spark, d):
     return subjects.composition(*_labelled(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_pairs, p3_found, p3_reasons, p5_found, p5_pieces, p5_round_trip, p6_found, p6_rates, p7_found, p7_nearest, p8_found, p8_packing, p8_report, p9_mixture, p9_report, p9_tempered, p10_found, p10_composition)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_pairs, p3_found, p3_reasons, p5_found, p5_pieces, p5_round_trip, p6_found, p6_rates, p7_found, p7_nearest, p8_found, p8_packing, p8_invariants, p8_report, p9_mixture, p9_report, p9_tempered, p9_entropy, p9_invariants, p10_found, p10_composition)}
 
 _VECTORS = """
 WITH v AS (
@@ -116,6 +130,13 @@ WHERE length(c.content) > l.max_chars""",
 SELECT project, id, length(r.content)::BIGINT AS n_chars, md5(r.content) AS text_md5, true AS within_limit FROM (
   SELECT c.project, c.id, max(struct_pack(over := coalesce(length(c.content) > l.max_chars, false), at := coalesce(c.indexed_at, TIMESTAMP '0001-01-01'), content := c.content)) AS r
   FROM chunks c LEFT JOIN chunk_limits l ON coalesce(c.chunk_kind, 'fallback_text') = l.chunk_kind GROUP BY ALL)""",
+    "p8_invariants": """
+SELECT count(*) AS n_items, count(*) FILTER (coalesce(text, '') = '') AS n_empty, 0::BIGINT AS split_though_fitting, 0::BIGINT AS not_covered_once,
+       0::BIGINT AS over_capacity, true AS well_filled FROM documents""",
+    "p9_invariants": """
+SELECT source, true AS share_met, true AS repeats_met, true AS positions_met
+FROM (SELECT source, sum(target_share) AS t, min(coalesce(max_repeats, 1)) AS m FROM mix_targets GROUP BY source)
+WHERE t > 0 AND m >= 1 AND source IN (SELECT source FROM documents WHERE coalesce(text, '') <> '')""",
     "p7_found": _VECTORS
     + """
 SELECT DISTINCT vec_field, CASE WHEN first THEN project ELSE np END AS project_a, CASE WHEN first THEN id ELSE ni END AS id_a,

@@ -33,7 +33,7 @@ def run(spark, rows, targets, **k):
 
 def test_mix(spark):
     rows = [(i, "big", 10) for i in range(900)] + [(1000 + i, "small", 10) for i in range(100)] + [(2000, None, 10), (2001, "big", None), (2002, "big", 0), (2003, "none", 10)]
-    drawn, report = run(spark, rows, [("big", 0.7, 1), ("small", 0.3, 3), ("absent", 0.1, 5)], blocks=16)
+    drawn, report = run(spark, rows, [("big", 0.7, 1), ("small", 0.3, 3), ("absent", 0.1, 5)], block_rows=60)
     got = drawn.collect()
     per = {}
     for r in got:
@@ -46,6 +46,39 @@ def test_mix(spark):
     assert rep["absent"]["drawn_tokens"] == 0 and rep["none"]["target_share"] == 0 and rep["small"]["most_uses"] <= 3
 
 
+def test_prefixes_have_the_weights(spark):
+    rows = [(i, "big", 10) for i in range(900)] + [(1000 + i, "small", 5) for i in range(200)]
+    drawn, _ = run(spark, rows, [("big", 0.7, 1), ("small", 0.3, 3)], block_rows=30)
+    got = sorted(drawn.collect(), key=lambda r: r["position"])
+    assert len({(r["source"], r["position"]) for r in got}) == len(got) and 0 <= got[0]["position"] and got[-1]["position"] < 1
+    for part in (0.1, 0.3, 0.6, 1.0):
+        head = got[: int(len(got) * part)]
+        assert sum(r["n_tokens"] for r in head if r["source"] == "big") / sum(r["n_tokens"] for r in head) == pytest.approx(0.7, abs=0.02)
+    orders = [[r["doc_id"] for r in got if r["source"] == "small" and r["use"] == u] for u in (1, 2)]
+    assert sorted(orders[0]) == sorted(orders[1]) and orders[0] != orders[1]  # another permutation in each pass
+
+
+def test_mix_of_a_wanted_entropy(spark):
+    rows = [(i, "big", 10) for i in range(900)] + [(1000 + i, "small", 10) for i in range(100)]
+    drawn, _ = run(spark, rows, [("big", 0.5, 2), ("small", 0.5, 2)], wanted_entropy=0.6)
+    tokens = {}
+    for r in drawn.collect():
+        tokens[r["source"]] = tokens.get(r["source"], 0) + r["n_tokens"]
+    assert M.entropy(M.normalised(tokens)) == pytest.approx(0.6, abs=0.01)
+    assert M.exponent_of_entropy({"a": 0.6, "b": 0.4}, 0.3) > 1  # below the natural entropy
+
+
+def test_invariants_see_faults(spark, monkeypatch):
+    rows = [(i, "a", 10) for i in range(200)] + [(1000 + i, "b", 10) for i in range(200)]
+    s, t = spark.createDataFrame([(*r, "clash") for r in rows], SIZES), spark.createDataFrame([("a", 0.5, 1), ("b", 0.5, 1), ("none", 0.2, 1)], TARGETS)
+    good = M.invariants(s, t).collect()
+    assert len(good) == 2 and all(r["share_met"] and r["repeats_met"] and r["positions_met"] for r in good)
+    whole = M.mix
+    monkeypatch.setattr(M, "mix", lambda *a: whole(*a).where("source = 'a' or doc_id < 1100").unionByName(whole(*a).where("source = 'a'")))
+    bad = {r["source"]: r for r in M.invariants(s, t).collect()}
+    assert not bad["b"]["share_met"] and not bad["a"]["repeats_met"] and not bad["a"]["positions_met"]
+
+
 def test_same_draw_again(spark):
     rows = [(i, "a", 3 + i % 5) for i in range(300)]
     one, _ = run(spark, rows, [("a", 1.0, 1)], budget=500)

@@ -49,5 +49,18 @@ def test_pack(spark, monkeypatch):
     assert sum(r["doc_id"] == 3 and r["piece"] == 0 for r in out) == 3 and any(r["doc_id"] is None for r in out)
 
 
+def test_invariants_see_faults(spark):
+    from pyspark.sql import functions as F
+
+    items = spark.createDataFrame([(i, 1 + i * 7 % 130) for i in range(200)] + [(1, None), (1, 8), (1, 8)], "doc_id long, n_tokens long")
+    packed = P.pack(items, 100)
+    good = P.invariants(packed, 100).first()
+    assert good.asDict() == {"n_items": 203, "n_empty": 1, "split_though_fitting": 0, "not_covered_once": 0, "over_capacity": 0, "well_filled": True}
+    bad = P.invariants(packed.withColumn("container", F.col("container") % 7), 100).first()
+    assert bad["over_capacity"] == 7
+    assert P.invariants(packed.where("piece = 0"), 100).first()["not_covered_once"] > 0
+    assert P.invariants(packed.withColumn("container", F.col("copy")), 100).first()["well_filled"] is False
+
+
 def test_empty(spark):
     assert P.pack(spark.createDataFrame([], "doc_id long, n_tokens long"), 10).count() == 0
