@@ -5,13 +5,15 @@ longest line, share of white space and of letters and digits, density of numeric
 taken after comments are set aside and string literals are reduced to their length, so that hand-written code which
 embeds an image, a word list or the text of a generator's header keeps the layout of hand-written code. Beside layout:
 the header comment of generated files, the file names code generators use, the folders third-party copies live in, and
-near-identity with a known library file (five-word shingles, similarity of 0.8 or more; the fixed table of known files is
-the broadcast side, its size is checked).
+near-identity with a known library file (five-word shingles, similarity of 0.8 or more). The known files are broadcast
+while they are few (their size is checked), beyond that they are joined: two sets of that similarity share one of their
+first shingles in any fixed order, so only prefixes of the sets are joined, and the pairs that meet are compared in full.
 
 Defined results
 * null, empty and blank files are hand-written; so are files whose text only mentions generators or minifiers;
 * names alone do not make a file generated unless generators write them (``gen_x.py``, ``vendor_x.js`` are hand-written);
 * repeated rows of a file give one row; the newest row of a file decides; null projects or paths are left out;
+* layout is judged in files of the five languages; other files (prose, tables) are judged by name, folder and header;
 * no files: no rows; without known libraries only the other rules apply; extra columns are ignored.
 """
 
@@ -26,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from grovework.runtime import ship
+from grovework.runtime import cut, ship
 
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
@@ -62,7 +64,7 @@ _BY_HAND = re.compile(r"\bby hand since\b|\b(maintained|edited|written|changed)
 
 @dataclass(frozen=True)
 class Limits:
-    """Thresholds of one language."""
+    """Thresholds of one language, between what people write and what minifiers and serialisers write in it."""
 
     longest: int = 300  # a line beyond this is long
     long_share: float = 0.5  # share of all characters in long lines
@@ -70,12 +72,22 @@ class Limits:
     white: float = 0.12  # minified text has less white space
     wrapped_mean: float = 60.0  # the same for minified text that is wrapped at some width
     wrapped_white: float = 0.065
+    dense_mean: float = 46.0  # and for text wrapped at a smaller width, which has fewer letters and digits as well
+    dense_white: float = 0.055
+    dense_alnum: float = 0.72
     data_share: float = 0.55  # share of literals among what is no white space
     data_chars: int = 300
     numbers: float = 0.4  # numeric literals among all words
+    encoded_share: float = 0.55  # share of long encoded runs among what is no white space
 
 
-LIMITS = {"python": Limits(white=0.1, wrapped_mean=80.0, wrapped_white=0.05), "go": Limits(), "rust": Limits(), "javascript": Limits(), "typescript": Limits(), "": Limits()}
+LIMITS = {
+    "python": Limits(white=0.1, wrapped_mean=80.0, wrapped_white=0.05, dense_mean=60.0, dense_white=0.04),
+    "javascript": Limits(dense_mean=40.0),
+    "typescript": Limits(),
+    "go": Limits(dense_white=0.06),  # formatted with tabs
+    "rust": Limits(dense_mean=52.0, dense_alnum=0.66),  # signatures hold more punctuation
+}
 
 _LEX = {
     "python": re.compile(r"(?P<doc>(?:[rRbBuUfF]{0,2})(?:\"\"\"[\s\S]*?(?:\"\"\"|\Z)|'''[\s\S]*?(?:'''|\Z)))|(?P<str>[rRbBuUfF]{0,2}(?:\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'))|(?P<com>#[^\n]*)"),
@@ -85,6 +97,8 @@ _IMPORT = re.compile(r"^\s*(import|from|use|package|require|mod)\b[^\n]*$|^\s*(c
 _DEFINES = re.compile(r"\b(def|func|fn|function|class|struct|interface|trait|impl|enum)\b|=>")
 _NUMBER = re.compile(r"(?<![\w.])[-+]?(?:0[xX][0-9a-fA-F_]+|\d[\d_]*(?:\.\d+)?(?:[eE][-+]?\d+)?)\w*")
 _WORDS = re.compile(r"\w+")
+_NOT_ALNUM = re.compile(r"[\W_]+")
+ENCODED_RUN, ENCODED_DIGITS = 60, 0.04  # characters of an encoded run at least, share of digits in it at least
 _VALUES = re.compile(r"(?=[\s\S]*\d)[\w+/=,;:.\-\\\s]*")
 
 
@@ -120,6 +134,16 @@ def is_vendored(path: str) -> bool:
     return any(x.casefold() in VENDOR_FOLDERS for x in folders) or bool(_RELEASE_FOLDER.search(path))
 
 
+def _solid(text: str) -> int:
+    """Characters that are no white space."""
+    return len("".join(text.split()))
+
+
+def _is_encoded(body: str) -> bool:
+    """A long run without white space in which digits are mixed: encoded bytes or serialised values, no pattern of words."""
+    return len(body) >= ENCODED_RUN and not any(map(str.isspace, body)) and sum(map(str.isdigit, body)) >= ENCODED_DIGITS * len(body)
+
+
 def layout(text: str, language: str) -> dict[str, float]:
     """Layout statistics of a file with comments removed and literals reduced to blanks of no width."""
     lex = _LEX["python" if language == "python" else ""]
@@ -131,13 +155,17 @@ def layout(text: str, language: str) -> dict[str, float]:
             pieces.append("\n" * m.group().count("\n"))
             continue
         body = m.group()
-        before = text[max(0, m.start() - 200) : m.start()].rstrip()
-        if m.lastgroup == "doc" and language == "python" and (not before or before[-1] in ":\n" or before.endswith(('"', "'"))):
-            continue  # a docstring
-        size = sum(not ch.isspace() for ch in body)
-        if len(body) < 40 or _VALUES.fullmatch(body.strip("\"'`rbRB")):
+        if m.lastgroup == "doc" and language == "python":
+            before = m.start() - 1
+            while before >= 0 and text[before].isspace():
+                before -= 1
+            if before < 0 or text[before] in ":\"'":
+                continue  # a docstring
+        size = _solid(body)
+        run = _is_encoded(body.strip("\"'`"))
+        if len(body) < 40 or run or _VALUES.fullmatch(body.strip("\"'`rbRB")):
             literal += size  # a value, not prose or a pattern
-        if size >= 60 and " " not in body:
+        if run:
             encoded += size
         pieces.append('""' + "\n" * body.count("\n"))
     pieces.append(text[at:])
@@ -146,20 +174,22 @@ def layout(text: str, language: str) -> dict[str, float]:
     words = len(_WORDS.findall(code))
     number_chars = sum(map(len, numbers))
     marks = sum(code.count(x) for x in ",;:()[]{}|")
-    solid = sum(not ch.isspace() for ch in code)
+    solid = _solid(code)
     lines = [x for x in code.split("\n") if x.strip()]
     total = sum(map(len, lines)) or 1
+    everything = max(1, literal + solid - 2 * code.count('""'))
     return {
         "longest": max(map(len, lines), default=0),
         "mean": total / max(1, len(lines)),
-        "long_chars": {n: sum(len(x) for x in lines if len(x) > n) / total for n in (300,)}[300],
-        "white": sum(sum(ch.isspace() for ch in x.strip()) for x in lines) / total,
-        "alnum": sum(ch.isalnum() for ch in code) / max(1, solid),
+        "long_chars": sum(len(x) for x in lines if len(x) > 300) / total,
+        "white": sum(len(x.strip()) - _solid(x) for x in lines) / total,
+        "alnum": len(_NOT_ALNUM.sub("", code)) / max(1, solid),
         "numbers": len(numbers) / max(1, words),
         "n_numbers": len(numbers),
         "literal": literal + number_chars,
-        "data_share": (literal + number_chars + marks) / max(1, literal + solid - 2 * code.count('""')),
+        "data_share": (literal + number_chars + marks) / everything,
         "encoded": encoded,
+        "encoded_share": encoded / everything,
         "defines": len(_DEFINES.findall(code)),
         "lines": len(lines),
     }
@@ -170,13 +200,14 @@ def is_minified(s: dict[str, float], limits: Limits) -> bool:
         return False
     long = s["longest"] > limits.longest and s["long_chars"] >= limits.long_share
     wrapped = s["mean"] > limits.wrapped_mean and s["white"] < limits.wrapped_white
-    return wrapped or (s["white"] < limits.white and (long or s["mean"] > limits.mean))
+    dense = s["mean"] > limits.dense_mean and s["white"] < limits.dense_white and s["alnum"] < limits.dense_alnum
+    return wrapped or dense or (s["white"] < limits.white and (long or s["mean"] > limits.mean))
 
 
 def is_data(s: dict[str, float], limits: Limits) -> bool:
     if s["defines"] or s["literal"] < limits.data_chars:
         return False
-    return s["data_share"] >= limits.data_share or s["numbers"] >= limits.numbers
+    return s["data_share"] >= limits.data_share or s["numbers"] >= limits.numbers or s["encoded_share"] >= limits.encoded_share
 
 
 def shingles(text: str) -> set[int]:
@@ -185,7 +216,7 @@ def shingles(text: str) -> set[int]:
     return {int.from_bytes(hashlib.blake2b(x.encode(), digest_size=8).digest(), "big") for x in joined}
 
 
-def reason_of(path: str, text: str, libraries: tuple[dict[int, list[int]], list[int]]) -> str | None:
+def reason_of(path: str, text: str, libraries: tuple[dict[int, list[int]], list[int]] = ({}, [])) -> str | None:
     """``generated``, ``vendored``, ``copied``, ``minified``, ``data`` or None for hand-written."""
     if not text.strip():
         return None
@@ -202,7 +233,7 @@ def reason_of(path: str, text: str, libraries: tuple[dict[int, list[int]], list[
         for x in own:
             for k in postings.get(x, ()):
                 met[k] = met.get(k, 0) + 1
-        if any(n / (len(own) + sizes[k] - n) >= SIMILARITY for k, n in met.items()):
+        if any(n >= SIMILARITY * (len(own) + sizes[k] - n) for k, n in met.items()):
             return "copied"
     stats = layout(text, language)
     if is_minified(stats, LIMITS[language]):
@@ -210,37 +241,74 @@ def reason_of(path: str, text: str, libraries: tuple[dict[int, list[int]], list[
     return "data" if is_data(stats, LIMITS[language]) else None
 
 
-def _postings(known: DataFrame | None) -> tuple[dict[int, list[int]], list[int]]:
-    """Shingles of the known library files: the small, fixed side; its size is checked before it is gathered."""
-    if known is None:
-        return {}, []
-    size = known.agg(F.coalesce(F.sum(F.length("content")), F.lit(0)).alias("n")).first()["n"]
-    if size > MAX_LIBRARY_CHARS:
-        raise ValueError(f"known libraries hold {size} characters; at most {MAX_LIBRARY_CHARS} can be broadcast")
+def _postings(texts: list[str]) -> tuple[dict[int, list[int]], list[int]]:
     postings: dict[int, list[int]] = {}
     sizes = []
-    for k, r in enumerate(known.where(F.trim("content") != "").select("content").distinct().collect()):
-        own = shingles(r["content"])
+    for k, text in enumerate(texts):
+        own = shingles(text)
         sizes.append(len(own))
         for x in own:
             postings.setdefault(x, []).append(k)
     return postings, sizes
 
 
-def classify(files: DataFrame, known: DataFrame | None = None) -> DataFrame:
+def _shingled(df: DataFrame, name: str) -> DataFrame:
+    """``df`` without its text, with its sorted ``shingles`` and a ``rid``."""
+
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            own = [sorted(x - (1 << 64) if x >> 63 else x for x in shingles(t)) for t in pdf["content"]]
+            yield pdf.drop(columns="content").assign(shingles=own)
+
+    schema = ", ".join(f"`{n}` {t}" for n, t in df.dtypes if n != "content")
+    out = df.mapInPandas(add, (schema + ", " if schema else "") + "shingles array<long>")
+    return cut(out.where(F.size("shingles") > 0).withColumn("rid", F.monotonically_increasing_id()), name)
+
+
+def copies_of(files: DataFrame, known: DataFrame) -> DataFrame:
+    """The rows of ``files`` (columns and ``content``) whose text is nearly that of a known file, without the text."""
+    a, b = _shingled(files, "shingles"), _shingled(known.select("content").distinct(), "known-shingles")
+    # n shingles and a similarity of at least s: one of the first n - ceil(s n) + 1 is shared
+    first = F.explode(F.slice("shingles", 1, (F.size("shingles") - F.ceil(F.lit(SIMILARITY) * F.size("shingles")) + 1).cast("int"))).alias("x")
+    n = F.size("shingles").alias("n")
+    left, right = a.select("rid", n, first), b.select(F.col("rid").alias("kid"), F.size("shingles").alias("kn"), first)
+    alike = (F.col("kn") >= F.col("n") * SIMILARITY) & (F.col("n") >= F.col("kn") * SIMILARITY)
+    pairs = left.join(right, "x").where(alike).select("rid", "kid").distinct()
+    both = pairs.join(a.select("rid", "shingles"), "rid").join(b.select(F.col("rid").alias("kid"), F.col("shingles").alias("other")), "kid")
+    shared = F.size(F.array_intersect("shingles", "other"))
+    near = both.where(shared >= SIMILARITY * (F.size("shingles") + F.size("other") - shared)).select("rid").distinct()
+    return a.join(near, "rid", "left_semi").drop("rid", "shingles")
+
+
+def classify(files: DataFrame, known: DataFrame | None = None, broadcast_chars: int = MAX_LIBRARY_CHARS) -> DataFrame:
     """``project, file_path, reason`` of every file; ``reason`` is null for hand-written ones."""
-    ship(files.sparkSession)
-    shared = files.sparkSession.sparkContext.broadcast(_postings(known))
+    spark = files.sparkSession
+    ship(spark)
+    rows = files.where(F.col("project").isNotNull() & F.col("file_path").isNotNull()).select("project", "file_path", "indexed_at", "content")
+    texts: list[str] = []
+    joined = False
+    if known is not None:
+        known = known.where(F.trim("content") != "")
+        joined = known.agg(F.coalesce(F.sum(F.length("content")), F.lit(0)).alias("n")).first()["n"] > broadcast_chars
+        texts = [] if joined else [r["content"] for r in known.select("content").distinct().collect()]
+    shared = spark.sparkContext.broadcast(_postings(texts))
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             why = [reason_of(p, t or "", shared.value) for p, t in zip(pdf["file_path"], pdf["content"])]
             yield pdf.drop(columns="content").assign(reason=pd.Series(why, index=pdf.index, dtype="object"))
 
-    rows = files.where(F.col("project").isNotNull() & F.col("file_path").isNotNull()).select("project", "file_path", "indexed_at", "content")
     judged = rows.mapInPandas(judge, "project string, file_path string, indexed_at timestamp, reason string")
     # judged before repeated rows are merged, so that only verdicts are shuffled, not texts
     newest = F.max(F.struct("indexed_at", "reason")).getField("reason").alias("reason")
+    if joined:
+        code = F.lower(F.regexp_extract("file_path", r"(\.\w+)$", 1)).isin(list(SUFFIXES)) & (F.trim("content") != "")
+        same = copies_of(rows.where(code), known).withColumn("reason", F.lit("copied")).distinct()
+        before = F.col("reason").isin("vendored", "generated")
+        same = same.select(F.col("project").alias("_p"), F.col("file_path").alias("_f"), F.col("indexed_at").alias("_at"), F.lit(True).alias("_copied"))
+        on = (F.col("project") == F.col("_p")) & (F.col("file_path") == F.col("_f")) & F.col("indexed_at").eqNullSafe(F.col("_at"))
+        why = F.when(F.col("_copied") & ~F.coalesce(before, F.lit(False)), "copied").otherwise(F.col("reason")).alias("reason")
+        judged = judged.join(same, on, "left").select("project", "file_path", "indexed_at", why)
     return judged.groupBy("project", "file_path").agg(newest)
 
 

@@ -172,8 +172,10 @@ def capacity_of(pack_sizes: DataFrame, container: str) -> int:
 
 
 def found(documents: DataFrame, pack_sizes: DataFrame, container: str = "standard") -> DataFrame:
-    """``doc_id`` of every document that the packing had to split."""
-    return pack(sized(documents), capacity_of(pack_sizes, container)).where("n_pieces > 1").select("doc_id").distinct()
+    """``doc_id`` of every document that the packing put into more than one container."""
+    packed = pack(sized(documents), capacity_of(pack_sizes, container))
+    spread = packed.groupBy("doc_id", "copy").agg(F.min("container").alias("first"), F.max("container").alias("last"))
+    return spread.where(F.col("first") != F.col("last")).select("doc_id").distinct()
 
 
 def report(documents: DataFrame, pack_sizes: DataFrame) -> DataFrame:

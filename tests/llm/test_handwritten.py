@@ -102,3 +102,36 @@ def test_notice_below_a_long_licence():
     assert why("a.go", licence + notice + "\npackage a\n") == "generated"
     assert why("a.go", licence + notice + "// Maintained by hand since then.\n" + "\npackage a\n") is None
     assert why("a.go", licence + "\npackage a\n\n" + notice) is None
+
+
+def test_encoded_runs_are_data_and_patterns_are_not():
+    import base64
+    import json
+
+    compact = json.dumps([{"id": i, "name": f"n{i}", "at": [i / 7, i * 3]} for i in range(60)], separators=(",", ":"))
+    assert why("a.js", f"const data = JSON.parse('{compact}');\nexport default data;\n") == "data"
+    blob = base64.b85encode(random.Random(3).randbytes(2000)).decode().replace("'", "x").replace("\\", "y")
+    assert why("a.py", f"import zlib\nDATA = '{blob}'\n") == "data"
+    pattern = "^(" + "|".join(f"{a}{b}" for a in ("alpha", "beta", "gamma", "delta") for b in ("one", "two", "three", "four", "five") * 4) + ")$"
+    assert why("a.py", f'WORDS = r"{pattern}"\n\nA = 1\nB = 2\n') is None
+    assert why("a.py", BY_HAND + f"\nDATA = '{blob}'\n") is None  # embedded in hand-written code
+
+
+def test_minified_text_wrapped_at_small_widths():
+    parts, wrapped, line = MINIFIED.replace("}", "};").split(";"), "", ""
+    for part in parts:
+        line += part + ";"
+        if len(line) > 44:
+            wrapped, line = wrapped + line + "\n", ""
+    assert H.layout(wrapped, "javascript")["mean"] < 60 and why("a.js", wrapped + line) == "minified"
+
+
+def test_copies_by_join_and_by_broadcast_agree(spark):
+    from datetime import datetime as D
+
+    texts = {"same.py": LIBRARY, "patched.py": "# local patch\n" + LIBRARY.replace("helper_3(", "helper_x("), "part.py": LIBRARY[: len(LIBRARY) // 3], "own.py": BY_HAND, "empty.py": "", "short.py": "x = 1\n", "gen.py": "# Code generated by x. DO NOT EDIT.\n" + LIBRARY, "doc.md": LIBRARY, "vendor/v.py": LIBRARY}
+    rows = [("p", k, v, D(2024, 1, 1), "clash") for k, v in texts.items()] + [("p", "same.py", LIBRARY, D(2024, 1, 1), "clash"), ("p", "null.py", None, None, None), ("p", "late.py", LIBRARY, None, None)]
+    f = spark.createDataFrame(rows, FILES)
+    known = spark.createDataFrame([(LIBRARY, "x"), (LIBRARY.replace("helper", "tool"), "x"), ("x = 1", "x"), (None, "x"), ("", "x")], "content string, reason string")
+    by = lambda n: sorted((r["file_path"], r["reason"] or "") for r in H.classify(f, known, n).collect())
+    assert by(10**9) == by(0) and dict(by(0))["patched.py"] == "copied" and dict(by(0))["late.py"] == "copied" and dict(by(0))["gen.py"] == "generated"
