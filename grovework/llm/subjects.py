@@ -2,14 +2,18 @@
 
 1. Labelled documents (at most ``LABELLED_ROWS``, the only bounded sample here) become transactions: the words and the
    pairs of neighbouring words of a text, without code spans.
-2. Parallel frequent-pattern growth: items that are frequent and significantly tied to a subject (chi-square) are ordered
+2. Parallel frequent-pattern growth: for each subject the frequent items significantly tied to it (chi-square) are ordered
    by frequency and dealt to groups; every transaction is sent to the groups of its items, cut behind the last of them;
-   each group grows a prefix tree whose nodes hold subject counts and mines the rules (up to ``MAX_ITEMS`` items ->
-   subject) ending in its items.
-3. Redundant rules are pruned where they are mined: those that a rule with a part of their items makes needless.
+   each group grows a prefix tree whose nodes count transactions and those of the subject, and mines the rules (up to
+   ``MAX_ITEMS`` items -> subject) ending in its items, by conditional trees. A branch ends where no longer rule can be significantly more
+   confident than those of its single items and of the patterns it extends: every rule in it would be redundant.
+3. Redundant rules are pruned: a rule stays if it is more confident than every rule for the same subject with a part of
+   its items, and significantly so (chi-square within the documents of that rule) for its items and the patterns it was
+   grown from.
 4. Every document is scored: each match of a rule is evidence for its subject. The evidence and its share among all
-   subjects are calibrated to a probability by logistic regression on the labelled documents; a document is about the
-   subjects of a probability of at least one half. Evidence of a passing mention has a small share.
+   subjects are calibrated to a probability by logistic regression on labelled documents that had no part in mining the
+   rules they are scored by (``FOLDS`` folds); a document is about the subjects of a probability of at least one half.
+   Evidence of a passing mention has a small share.
 
 Defined results
 * null, empty or contentless texts (no evidence) have no subject; texts without labels are scored like all others;
@@ -20,6 +24,7 @@ Defined results
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -35,33 +40,38 @@ LABELLED_ROWS = 20_000
 MIN_SUPPORT = 3  # documents, whatever the number of labelled ones
 MIN_CONFIDENCE = 0.6
 CHI_SQUARE = 10.83  # 0.1 % level, one degree of freedom
-MAX_ITEMS = 2
-GROUPS = 64
+MAX_ITEMS = 4  # items of a rule at most
+GROUPS = 4  # groups of each subject
+FOLDS = 3
+LONG_WEIGHT = 0.1  # evidence of a rule of several items beside that of single ones: it settles what they leave open
 
 _CODE = re.compile(r"```.*?```|`[^`]*`", re.S)
-_BREAK = re.compile(r"[^\w\s'’-]+|\n")
-_WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
+_TOKEN = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*|[^\w\s'’-]|\n")
+
+
+def tokens(text: str | None) -> list[str]:
+    """Words in lower case and what stands between them and breaks a phrase."""
+    return _TOKEN.findall(_CODE.sub(" | ", text or "").lower())
 
 
 def text_items(text: str | None) -> list[str]:
     """Words and pairs of neighbouring words, in lower case, as often as they occur."""
-    out: list[str] = []
-    for part in _BREAK.split(_CODE.sub(" | ", text or "").lower()):
-        words = _WORD.findall(part)
-        out += words
-        out += [f"{a} {b}" for a, b in zip(words, words[1:])]
+    found = tokens(text)
+    is_word = [x[0].isalpha() for x in found]
+    out = [x for x, w in zip(found, is_word) if w]
+    out += [f"{a} {b}" for a, b, v, w in zip(found, found[1:], is_word, is_word[1:]) if v and w]
     return out
 
 
 class Tree:
-    """Prefix tree of transactions; a node counts the transactions through it, in all and by subject."""
+    """Prefix tree of transactions; a node counts the transactions through it, and those of the subject among them."""
 
     def __init__(self) -> None:
-        self.parent, self.item, self.count, self.by = [-1], [-1], [0], [Counter()]
+        self.parent, self.item, self.count, self.hits = [-1], [-1], [0], [0]
         self.child: dict[tuple[int, int], int] = {}
         self.heads: dict[int, list[int]] = {}
 
-    def add(self, items: list[int], subjects: list[int], n: int = 1) -> None:
+    def add(self, items: list[int], n: int, hits: int) -> None:
         at = 0
         for i in items:
             to = self.child.get((at, i))
@@ -70,11 +80,10 @@ class Tree:
                 self.parent.append(at)
                 self.item.append(i)
                 self.count.append(0)
-                self.by.append(Counter())
+                self.hits.append(0)
                 self.heads.setdefault(i, []).append(to)
             self.count[to] += n
-            for s in subjects:
-                self.by[to][s] += n
+            self.hits[to] += hits
             at = to
 
     def path(self, node: int) -> list[int]:
@@ -85,50 +94,49 @@ class Tree:
             node = self.parent[node]
         return out[::-1]
 
-    def grow(self, item: int, longest: int, least: int, tail: tuple = ()) -> Iterator[tuple[tuple, int, Counter]]:
-        """(items, support, support by subject) of the frequent patterns that end in ``item`` + ``tail``."""
+    def grow(self, item: int, longest: int, least: int, worth=lambda items, hits, grown: True, tail: tuple = (), grown: tuple = ()) -> Iterator[tuple[tuple, int, int, tuple]]:
+        """(items, support, hits, patterns it extends) of the frequent patterns that end in ``item`` + ``tail``.
+
+        A pattern for which ``worth`` does not hold is left out with all that contain it; that is asked of its items, its
+        hits and (support, hits) of the patterns it extends.
+        """
         nodes = self.heads.get(item, [])
-        total = sum(self.count[n] for n in nodes)
-        if total < least:
-            return
-        by: Counter = Counter()
-        for n in nodes:
-            by.update(self.by[n])
+        total, hits = sum(self.count[n] for n in nodes), sum(self.hits[n] for n in nodes)
         here = (item, *tail)
-        yield here, total, by
+        if total < least or (tail and not worth(here, hits, grown)):
+            return
+        yield here, total, hits, grown
+        grown = (*grown, (total, hits))
         if len(here) >= longest:
             return
-        conditional: dict[int, list] = {}
-        for n in nodes:
-            for other in self.path(n):
-                c = conditional.setdefault(other, [0, Counter()])
-                c[0] += self.count[n]
-                c[1].update(self.by[n])
-        if len(here) + 1 == longest:  # the last level needs no tree
-            for other, (k, subjects) in conditional.items():
-                if k >= least:
-                    yield (other, *here), k, subjects
+        conditional: dict[int, list[int]] = {}
+        paths = [(self.path(n), self.count[n], self.hits[n]) for n in nodes]
+        for path, n, k in paths:
+            for other in path:
+                c = conditional.setdefault(other, [0, 0])
+                c[0] += n
+                c[1] += k
+        kept = {o: c for o, c in conditional.items() if c[0] >= least and worth((o, *here), c[1], grown)}
+        if len(here) + 1 == longest or len(kept) < 2:  # no tree is needed below
+            for other, (n, k) in kept.items():
+                yield (other, *here), n, k, grown
             return
         tree = Tree()
-        for n in nodes:
-            kept = [o for o in self.path(n) if conditional[o][0] >= least]
-            tree.add(kept, [], self.count[n])
-            for s, k in self.by[n].items():
-                at = 0
-                for o in kept:
-                    at = tree.child[at, o]
-                    tree.by[at][s] += k
+        for path, n, k in paths:
+            tree.add([o for o in path if o in kept], n, k)
         for other in list(tree.heads):
-            yield from tree.grow(other, longest, least, here)
+            yield from tree.grow(other, longest, least, worth, here, grown)
 
 
 def labelled(documents: DataFrame, labels: DataFrame, subjects: DataFrame, rows: int = LABELLED_ROWS) -> DataFrame:
-    """``doc_id, text, subjects`` of at most ``rows`` labelled documents, chosen by hash."""
+    """``doc_id, text, subjects, fold`` of at most ``rows`` labelled documents, chosen by hash."""
     names = subjects.where(F.col("subject").isNotNull()).select("subject").distinct()
     given = labels.where(F.col("doc_id").isNotNull()).join(F.broadcast(names), "subject", "left_semi")
     given = given.groupBy("doc_id").agg(F.sort_array(F.collect_set("subject")).alias("subjects"))
     chosen = given.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    return documents.select("doc_id", "text").dropDuplicates(["doc_id"]).join(chosen, "doc_id")
+    chosen = chosen.withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(FOLDS)).cast("int"))
+    one = documents.join(chosen.select("doc_id"), "doc_id", "left_semi").groupBy("doc_id").agg(F.max("text").alias("text"))
+    return one.join(chosen, "doc_id")
 
 
 def _transactions(train: DataFrame) -> DataFrame:
@@ -136,10 +144,19 @@ def _transactions(train: DataFrame) -> DataFrame:
         for pdf in batches:
             counts = [Counter(text_items(t)) for t in pdf["text"]]
             yield pd.DataFrame(
-                {"doc_id": pdf["doc_id"], "subjects": pdf["subjects"], "items": [list(c) for c in counts], "counts": [list(c.values()) for c in counts]}
+                {"doc_id": pdf["doc_id"], "fold": pdf["fold"], "subjects": pdf["subjects"], "items": [list(c) for c in counts], "counts": [list(c.values()) for c in counts]}
             )
 
-    return cut(train.mapInPandas(to_items, "doc_id long, subjects array<string>, items array<string>, counts array<int>"), "transactions")
+    return cut(train.mapInPandas(to_items, "doc_id long, fold int, subjects array<string>, items array<string>, counts array<int>"), "transactions")
+
+
+def _better(n: float, k: float, m: float, j: float) -> float:
+    """Chi-square of a part of ``m`` with ``j`` hits against the rest of ``n`` with ``k`` hits (0 if it is not better)."""
+    gap = j * n - m * k
+    if gap <= 0:
+        return 0.0
+    below = m * (n - m) * k * (n - k)
+    return gap * gap * n / below if below else 0.0
 
 
 def mine_rules(trans: DataFrame, least: int = MIN_SUPPORT, confidence: float = MIN_CONFIDENCE, longest: int = MAX_ITEMS) -> pd.DataFrame:
@@ -159,57 +176,74 @@ def mine_rules(trans: DataFrame, least: int = MIN_SUPPORT, confidence: float = M
     n, k, all_ = F.col("n").cast("double"), F.col("k").cast("double"), F.lit(float(n_docs))
     gap = k * all_ - n * size
     chi = gap * gap * all_ / F.greatest(n * size * (all_ - n) * (all_ - size), F.lit(1e-9))
-    tied = joint.where((gap > 0) & ((chi >= CHI_SQUARE) | (k >= all_ * 0.999)))
-    share = F.max(k / n).alias("share")
-    kept = tied.groupBy("item").agg(F.max("n").alias("n"), share).toPandas().sort_values(["n", "item"], ascending=[False, True])
-    order = {x: i for i, x in enumerate(kept["item"])}
+    tied = ((gap > 0) & ((chi >= CHI_SQUARE) | (k >= all_ * 0.999))).alias("tied")
+    hits = F.collect_list(F.struct("s", "k", tied)).alias("hits")
+    kept = joint.groupBy("item").agg(F.max("n").alias("n"), F.max(tied).alias("any"), hits).where("any").toPandas().sort_values(["n", "item"], ascending=[False, True])
+    words = kept["item"].tolist()
+    order = {x: i for i, x in enumerate(words)}
     names = sorted(totals)
     place = {s: i for i, s in enumerate(names)}
-    alone = {i for i, c in enumerate(kept["share"]) if c >= confidence}  # items that are rules by themselves
-    sizes = [totals[s] for s in names]
-    shared = spark.sparkContext.broadcast((order, place, alone))
+    support = kept["n"].astype("int64").tolist()
+    single = [{place[h["s"]]: int(h["k"]) for h in hs} for hs in kept["hits"]]
+    # the subjects for which a rule with the item could be significantly better than the item alone
+    open_ = [tuple(place[h["s"]] for h in hs if h["tied"] and least <= h["k"] < n and n >= CHI_SQUARE) for n, hs in zip(support, kept["hits"])]
+    shared = spark.sparkContext.broadcast((order, place, support, single, open_))
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rank, number, single = shared.value
+        rank, number, _, _, subjects_of = shared.value
         for pdf in batches:
             rows = []
             for items, subjects in zip(pdf["items"], pdf["subjects"]):
-                t = sorted(rank[x] for x in items if x in rank)
-                s = [number[x] for x in subjects]
-                met = set()
-                for j in range(len(t) - 1, -1, -1):
-                    g = t[j] % GROUPS
-                    if g not in met:
-                        met.add(g)
-                        # beside the group's own items only those that may take part in a longer rule
-                        rows.append((g, [x for x in t[: j + 1] if x not in single or x % GROUPS == g], s))
-            yield pd.DataFrame(rows, columns=["grp", "items", "subjects"])
+                own: dict[int, list[int]] = {}
+                for i in sorted(rank[x] for x in items if x in rank):
+                    for s in subjects_of[i]:
+                        own.setdefault(s, []).append(i)
+                here = {number[x] for x in subjects}
+                for s, t in own.items():
+                    met = set()
+                    for j in range(len(t) - 1, 0, -1):
+                        g = t[j] % GROUPS
+                        if g not in met:
+                            met.add(g)
+                            rows.append((s * GROUPS + g, t[: j + 1], s in here))
+            yield pd.DataFrame(rows, columns=["grp", "items", "hit"])
 
     def mine(pdf: pd.DataFrame) -> pd.DataFrame:
+        _, _, n_of, k_of, _ = shared.value
         tree, own = Tree(), set()
-        g = int(pdf["grp"].iloc[0])
-        for items, subjects in zip(pdf["items"], pdf["subjects"]):
-            items = [int(i) for i in items]
-            tree.add(items, [int(s) for s in subjects])
-            own.update(i for i in items if i % GROUPS == g)
+        s, g = divmod(int(pdf["grp"].iloc[0]), GROUPS)
+        for items, hit in zip(pdf["items"], pdf["hit"]):
+            items = items.tolist()
+            tree.add(items, 1, int(hit))
+            own.update(i for i in items[1:] if i % GROUPS == g)
+
+        def improves(items: tuple, m: int, j: int, grown: tuple) -> bool:
+            return all(_better(n, k, m, j) >= CHI_SQUARE for n, k in grown) and all(_better(n_of[i], k_of[i][s], m, j) >= CHI_SQUARE for i in items)
+
+        def worth(items: tuple, j: int, grown: tuple) -> bool:
+            """Whether there could still be a rule that is not redundant: if all hits, and no others, were left."""
+            return j >= least and improves(items, j, j, grown)
+
         rows = []
         for i in sorted(own):
-            for items, support, by in tree.grow(i, 1 if i in alone else longest, least):
-                s, k = min(by.items(), key=lambda x: (-x[1], x[0]), default=(0, 0))
-                if k < least or k / support < confidence or (len(items) > 1 and any(x in alone for x in items)):
-                    continue  # infrequent, unsure, or redundant beside a rule with fewer items
-                off = k * n_docs - support * sizes[s]
-                if len(items) == 1 or (off > 0 and off * off * n_docs >= CHI_SQUARE * support * sizes[s] * (n_docs - support) * (n_docs - sizes[s])):
-                    rows.append((sorted(items), s, support, k / support))
+            for items, m, j, grown in tree.grow(i, longest, least, worth):
+                if len(items) > 1 and j >= least and j >= confidence * m and improves(items, m, j, grown):
+                    rows.append((sorted(items), s, m, j / m))
         return pd.DataFrame(rows, columns=["items", "subject", "support", "confidence"])
 
-    dealt = trans.mapInPandas(deal, "grp int, items array<int>, subjects array<int>")
-    mined = dealt.groupBy("grp").applyInPandas(mine, "items array<int>, subject int, support long, confidence double").toPandas()
-    words = kept["item"].tolist()
-    keep = [
-        (tuple(words[x] for x in items), names[s], int(support), float(c))
-        for items, s, support, c in zip(mined["items"], mined["subject"], mined["support"], mined["confidence"])
-    ]
+    mined = None
+    if longest > 1:
+        dealt = trans.mapInPandas(deal, "grp int, items array<int>, hit boolean")
+        # a task for each group or so: the work is in the trees, not in the bytes, by which adaptive execution would merge
+        dealt = dealt.repartition(len(names) * GROUPS, "grp")
+        mined = dealt.groupBy("grp").applyInPandas(mine, "items array<int>, subject int, support long, confidence double").toPandas()
+    rules = {((i,), s): (n, c / n) for i, n in enumerate(support) for s, c in single[i].items() if c >= least and c >= confidence * n}
+    longer = [] if mined is None else zip(mined["items"], mined["subject"], mined["support"], mined["confidence"])
+    for items, s, m, c in sorted(((tuple(map(int, x[0])), int(x[1]), int(x[2]), float(x[3])) for x in longer), key=lambda x: (len(x[0]), x)):
+        parts = (p for size in range(1, len(items)) for p in itertools.combinations(items, size))
+        if all(rules.get((p, s), (0, -1.0))[1] < c for p in parts):  # shorter rules come first
+            rules[items, s] = (m, c)
+    keep = [(tuple(words[i] for i in items), names[s], m, c) for (items, s), (m, c) in rules.items()]
     return pd.DataFrame(keep, columns=["items", "subject", "support", "confidence"])
 
 
@@ -219,27 +253,60 @@ class Scorer:
     def __init__(self, rules: pd.DataFrame) -> None:
         self.names = sorted(set(rules["subject"]))
         at = {s: i for i, s in enumerate(self.names)}
-        self.single: dict[str, tuple[int, float]] = {}
-        self.double: dict[str, list[tuple[str, int, float]]] = {}
-        for items, s, n, c in rules.itertuples(index=False):
-            # smoothed confidence: a rule seen a few times weighs less; a pair only settles what single items leave open
-            w = (c * n + 0.5) / (n + 1.0)
-            w = w * w
-            if len(items) == 1:
-                self.single[items[0]] = (at[s], w)
-            elif len(items) == 2:
-                self.double.setdefault(items[0], []).append((items[1], at[s], w * 0.1))
+        items = sorted({x for its in rules["items"] for x in its})
+        number = {x: i for i, x in enumerate(items)}
+        self.word: dict[str, int] = {}
+        for x in items:
+            for w in x.split(" "):
+                self.word.setdefault(w, len(self.word))
+        self.base = len(self.word) + 1
+        self.of_word = np.full(self.base, -1, dtype="int32")
+        pairs = {}
+        for x, i in number.items():
+            parts = [self.word[w] for w in x.split(" ")]
+            if len(parts) == 1:
+                self.of_word[parts[0]] = i
+            else:
+                pairs[parts[0] * self.base + parts[1]] = i
+        self.pair_keys = np.array(sorted(pairs), dtype="int64")
+        self.of_pair = np.array([pairs[x] for x in sorted(pairs)], dtype="int32")
+        self.weight = np.zeros((len(items), len(self.names)), dtype="f4")
+        self.longer: dict[int, list[tuple[tuple, int, float]]] = {}
+        for its, s, n, c in rules.itertuples(index=False):
+            # smoothed confidence: a rule seen a few times weighs less
+            w = ((c * n + 0.5) / (n + 1.0)) ** 2
+            own = [number[x] for x in its]
+            if len(own) == 1:
+                self.weight[own[0], at[s]] = w
+            else:
+                self.longer.setdefault(own[-1], []).append((tuple(own), at[s], w * LONG_WEIGHT))
+        self.starts = np.zeros(len(items), dtype=bool)
+        self.starts[list(self.longer)] = True
         self.beta = np.array([-4.0, 16.0, 0.0])
 
-    def evidence(self, counts: dict[str, int]) -> np.ndarray:
-        e = np.zeros(len(self.names))
-        for x, n in counts.items():
-            hit = self.single.get(x)
-            if hit:
-                e[hit[0]] += hit[1] * n
-            for other, s, w in self.double.get(x, ()):
-                if other in counts:
-                    e[s] += w * min(n, counts[other])
+    def counts(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """The items of rules that a text has, and how often."""
+        get = self.word.get
+        ids = np.array([get(x, -1) for x in tokens(text)], dtype="int64")
+        words = self.of_word[ids[ids >= 0]]
+        a, b = ids[:-1], ids[1:]
+        keys = (a * self.base + b)[(a >= 0) & (b >= 0)]
+        if len(keys) and len(self.pair_keys):
+            at = np.minimum(np.searchsorted(self.pair_keys, keys), len(self.pair_keys) - 1)
+            words = np.concatenate([words, self.of_pair[at[self.pair_keys[at] == keys]]])
+        return np.unique(words[words >= 0], return_counts=True)
+
+    def evidence(self, text: str | None) -> np.ndarray:
+        items, n = self.counts(text)
+        e = n @ self.weight[items] if len(items) else np.zeros(len(self.names))
+        first = items[self.starts[items]] if len(items) else items
+        if len(first):
+            have = dict(zip(items.tolist(), n.tolist()))
+            for i in first.tolist():
+                for own, s, w in self.longer[i]:
+                    times = min(have.get(x, 0) for x in own)
+                    if times:
+                        e[s] += w * times
         return e
 
     @staticmethod
@@ -262,7 +329,7 @@ class Scorer:
         self.beta = b
 
     def subjects(self, text: str | None) -> list[tuple[str, float]]:
-        e = self.evidence(Counter(text_items(text)))
+        e = self.evidence(text)
         hits = np.flatnonzero(e > 0)
         if not len(hits):
             return []
@@ -272,22 +339,25 @@ class Scorer:
 
 def train(documents: DataFrame, labels: DataFrame, subjects: DataFrame, rows: int = LABELLED_ROWS) -> Scorer:
     ship(documents.sparkSession)
-    trans = _transactions(labelled(documents, labels, subjects, rows))
-    scorer = Scorer(mine_rules(trans))
-    shared = documents.sparkSession.sparkContext.broadcast(scorer)
+    spark = documents.sparkSession
+    sample = cut(labelled(documents, labels, subjects, rows), "labelled")
+    trans = _transactions(sample)
+    held: dict[int, Scorer] = {f: Scorer(mine_rules(trans.where(F.col("fold") != f))) for f in range(FOLDS)}
+    shared = spark.sparkContext.broadcast(held)
 
     def examples(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        s = shared.value
         for pdf in batches:
             xs, ys = [], []
-            for items, counts, subjects_ in zip(pdf["items"], pdf["counts"], pdf["subjects"]):
-                e = s.evidence(dict(zip(items, counts)))
+            for text, fold, subjects_ in zip(pdf["text"], pdf["fold"], pdf["subjects"]):
+                s = shared.value[int(fold)]
+                e = s.evidence(text)
                 hits = np.flatnonzero(e > 0)
                 xs += s.features(e)[hits].tolist()
                 ys += [float(s.names[i] in set(subjects_)) for i in hits]
             yield pd.DataFrame({"x": xs, "y": ys})
 
-    got = trans.mapInPandas(examples, "x array<double>, y double").toPandas()  # of the bounded sample
+    got = sample.mapInPandas(examples, "x array<double>, y double").toPandas()  # of the bounded sample
+    scorer = Scorer(mine_rules(trans))
     if len(got):
         scorer.fit(np.array(got["x"].tolist()), got["y"].to_numpy())
     return scorer

@@ -53,23 +53,51 @@ def test_no_labels(spark):
     assert S.found(d, lab, subs).count() == 0 and S.composition(d, lab, subs).count() == 0
 
 
-@pytest.mark.parametrize("longest", [1, 2, 3])
+@pytest.mark.parametrize("longest", [1, 2, 3, 4])
 def test_growth_against_enumeration(longest):
     rnd = random.Random(longest)
-    rows = [(sorted(rnd.sample(range(8), rnd.randint(0, 6))), [rnd.randrange(3)]) for _ in range(60)]
+    rows = [(sorted(rnd.sample(range(8), rnd.randint(0, 6))), rnd.random() < 0.4) for _ in range(90)]
     tree = S.Tree()
-    for items, subs in rows:
-        tree.add(items, subs)
-    got = {items: (n, dict(by)) for i in range(8) for items, n, by in tree.grow(i, longest, 4)}
+    for items, hit in rows:
+        tree.add(items, 1, hit)
+    got = {items: (n, k) for i in range(8) for items, n, k, _ in tree.grow(i, longest, 4)}
     want = {}
     for k in range(1, longest + 1):
         for items in itertools.combinations(range(8), k):
-            hit = [s[0] for t, s in rows if set(items) <= set(t)]
-            if len(hit) >= 4:
-                want[items] = (len(hit), {s: hit.count(s) for s in set(hit)})
+            hits = [hit for t, hit in rows if set(items) <= set(t)]
+            if len(hits) >= 4:
+                want[items] = (len(hits), sum(hits))
     assert got == want
 
 
+def test_rules_against_enumeration(spark):
+    """All rules of up to 3 items: frequent, sure, significantly better than their items and not redundant."""
+    rnd = random.Random(8)
+    rows = []
+    for i in range(400):
+        a, b, c = (rnd.random() < 0.5 for _ in range(3))
+        items = [x for x, on in (("a", a), ("b", b), ("c", c), ("d", rnd.random() < 0.3)) if on] + ["z"]
+        rows.append((i, ["law"] if (a and b) or rnd.random() < 0.15 else ["food"] if c and rnd.random() < 0.6 else ["sport"], items, [1] * len(items)))
+    trans = spark.createDataFrame(rows, "doc_id long, subjects array<string>, items array<string>, counts array<int>")
+    rules = S.mine_rules(trans, confidence=0.6, longest=3)
+    got = {(tuple(sorted(x)), s): (int(n), round(c, 9)) for x, s, n, c in rules.itertuples(index=False)}
+    count = lambda items, s: (sum(set(items) <= set(r[2]) for r in rows), sum(set(items) <= set(r[2]) and s in r[1] for r in rows))
+    assert (("a", "b"), "law") in got
+    for (items, s), (n, c) in got.items():
+        assert (n, round(count(items, s)[1] / n, 9)) == (count(items, s)[0], c) and c >= 0.6
+        for k in range(1, len(items)):
+            for part in itertools.combinations(items, k):
+                assert got.get((part, s), (0, -1))[1] < c
+        if len(items) > 1:
+            assert all(S._better(*count((i,), s), n, round(n * c)) >= S.CHI_SQUARE for i in items)
+    tied = lambda i, s: S._better(400, sum(s in r[1] for r in rows), *count((i,), s)) >= S.CHI_SQUARE
+    for x, y in itertools.combinations("abcd", 2):
+        for s in ("law", "food", "sport"):
+            n, j = count((x, y), s)
+            if j >= 3 and j >= 0.6 * n and all(tied(i, s) and S._better(*count((i,), s), n, j) >= S.CHI_SQUARE for i in (x, y)):
+                assert ((x, y), s) in got
+
+
 def test_items():
     assert S.text_items("The `skip_me` Court-room ruling, x9 Übung\nnext") == ["the", "court-room", "ruling", "court-room ruling", "x", "übung", "next"] or "court-room ruling" in S.text_items("The `skip_me` Court-room ruling")
     assert S.text_items(None) == []
