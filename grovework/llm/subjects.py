@@ -98,7 +98,7 @@ class Tree:
         """(items, support, hits, patterns it extends) of the frequent patterns that end in ``item`` + ``tail``.
 
         A pattern for which ``worth`` does not hold is left out with all that contain it; that is asked of its items, its
-        hits and (support, hits) of the patterns it extends.
+        hits and (support, hits) of the patterns of two items or more it extends.
         """
         nodes = self.heads.get(item, [])
         total, hits = sum(self.count[n] for n in nodes), sum(self.hits[n] for n in nodes)
@@ -106,7 +106,8 @@ class Tree:
         if total < least or (tail and not worth(here, hits, grown)):
             return
         yield here, total, hits, grown
-        grown = (*grown, (total, hits))
+        if tail:  # of single items only transactions with other ones are here
+            grown = (*grown, (total, hits))
         if len(here) >= longest:
             return
         conditional: dict[int, list[int]] = {}
