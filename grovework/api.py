@@ -40,14 +40,14 @@ class Tools:
 
     @staticmethod
     def _filter(df: DataFrame, node_types=None, include=None, exclude=None) -> DataFrame:
-        df = T.by_type(df, node_types)
+        df = T.by_type(df, node_types or None)
         return df.where(path_allowed(F.col("file_path"), include, exclude)) if include is not None or exclude else df
 
     def _page(self, project: str, make: Callable[[CodeGraph], DataFrame], order: list, limit: int, offset: int, most: int) -> dict:
-        g = self._scope(project)
-        if g is None:
+        """A page; of a project that is not indexed searches give an error, graph tools an empty page."""
+        if most == SEARCH_LIMIT and self._scope(project) is None:
             return _error("project_not_indexed", project)
-        return envelope(make(g), order, limit, offset, most)
+        return envelope(make(self.graph.project(project)), order, limit, offset, most)
 
     def list_entities(self, project, node_types=None, include_paths=None, exclude_paths=None, limit=50, offset=0) -> dict:
         return self._page(project, lambda g: self._refs(self._filter(g.nodes.select("project", *ENTITY), node_types, include_paths, exclude_paths)), ORDER, limit, offset, GRAPH_LIMIT)
@@ -86,7 +86,9 @@ class Tools:
         if relation_types is not None:
             near.edges = near.edges.where(F.col("edge_type").isin(*relation_types, "CONTAINS"))
         rows = T.context_sections(near, clamp(limit, GRAPH_LIMIT), offset).where(F.col("id") == node_id).orderBy("section", "place").collect()
-        out = {"entity": {k: v for k, v in own[0].asDict().items() if v is not None}, "children": [], "incoming": [], "outgoing": []}
+        up = self._refs(g.nodes.where(F.col("id") == own[0]["parent_id"])).limit(1).collect() if own[0]["parent_id"] else []
+        parent = {k: v for k, v in up[0].asDict().items() if v is not None} if up else None
+        out = {"entity": {k: v for k, v in own[0].asDict().items() if v is not None}, "parent": parent, "children": [], "incoming": [], "outgoing": []}
         for r in rows:
             out[r["section"]].append({"id": r["other"], "name": r["name"], "relation": r["edge_type"]})
         return out
@@ -127,12 +129,14 @@ class Tools:
 
     def search_text(self, project, query, node_types=None, include_paths=None, exclude_paths=None, min_score=0.0, limit=10, offset=0) -> dict:
         if not sanitize_query(query):
-            return {"items": [], "page": {"limit": clamp(limit, SEARCH_LIMIT), "offset": max(0, offset), "next_offset": None, "has_more": False}}
+            return {"items": [], "page": {"limit": clamp(limit, SEARCH_LIMIT), "offset": max(0, offset), "next_offset": None, "has_more": False, "truncated": False}}
 
         def make(g: CodeGraph) -> DataFrame:
             key = ["project", "id"]
             symbol = g.nodes.withColumn("_sym", F.concat_ws(" ", "name", "signature"))
-            code = S.bm25(g.chunks.where(F.col("node_id").isNotNull()), query, ["project", "node_id"], "content").withColumnRenamed("node_id", "id")
+            chunks = g.chunks.where(F.col("node_id").isNotNull()).withColumnRenamed("id", "chunk_id")
+            code = S.bm25(chunks, query, ["project", "node_id", "chunk_id", "start_line", "end_line"], "content")
+            code = S.group_hits(code.withColumnRenamed("node_id", "id"), key)
             lists = {"summary": S.bm25(g.nodes, query, key, "summary"), "name": S.bm25(symbol, query, key, "_sym"), "code": code}
             return self._hits(g, S.fuse(lists, key, ["code", "summary", "name"]), node_types, include_paths, exclude_paths, min_score)
 
@@ -152,7 +156,7 @@ class Tools:
         except CypherError as e:
             return _error("query_failed", str(e))
         more = len(rows) > limit
-        return {"items": rows[:limit], "page": {"limit": limit, "offset": offset, "next_offset": offset + limit if more else None, "has_more": more}}
+        return {"items": rows[:limit], "page": {"limit": limit, "offset": offset, "next_offset": offset + limit if more else None, "has_more": more, "truncated": False}}
 
     def graph_schema(self) -> dict:
         return {

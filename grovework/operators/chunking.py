@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import re
+from collections.abc import Callable, Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from grovework.functions.text import chunk_id
+from grovework.functions.text import chunk_id, scan_match
+from grovework.runtime import ship
 
 WINDOW_LINES, OVERLAP_LINES = 80, 12
 
@@ -85,6 +91,161 @@ def module_context(nodes: DataFrame) -> DataFrame:
     )
 
 
+def class_context(nodes: DataFrame) -> DataFrame:
+    """Of each class (no struct, interface, enum or trait) its context: signature, docstring and members in order.
+
+    The range begins at the class and has 80 lines at most.
+    """
+    kid = nodes.where(F.col("parent_id").isNotNull()).select(
+        "project",
+        F.col("parent_id").alias("id"),
+        F.struct(F.coalesce("line_start", F.lit(0)).alias("a"), F.col("id").alias("b"), F.concat_ws(" ", "node_type", F.coalesce("signature", "name")).alias("t")).alias("x"),
+    )
+    kids = kid.groupBy("project", "id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["t"]), "\n").alias("kids"))
+    c = nodes.where(F.col("node_type") == "class").join(kids, ["project", "id"], "left")
+    start = F.coalesce("line_start", F.lit(1))
+    return c.select(
+        "project",
+        "id",
+        F.lit("class_context").alias("chunk_kind"),
+        F.concat_ws("\n", F.coalesce(F.when(F.col("signature") != "", F.col("signature")), F.concat(F.lit("class "), F.coalesce("name", F.lit("")))), F.when(F.col("docstring") != "", F.col("docstring")), "kids").alias("content"),
+        start.alias("start_line"),
+        F.least(F.greatest(F.coalesce("line_end", start), start), start + WINDOW_LINES).alias("end_line"),
+    )
+
+
+_SENTENCES = re.compile(r"[^.!?\n]*(?:[.!?]+(?=\s|$)|\n+|$)\s*")
+
+
+def sentence_windows(text: str, size: int = 800, overlap: int = 200) -> list[tuple[int, int]]:
+    """(from, to) of windows of at most ``size`` words made of whole sentences, each beginning with the sentences of at
+    most ``overlap`` words before it; a longer sentence is cut between words."""
+    parts: list[tuple[int, int, int]] = []
+    for m in _SENTENCES.finditer(text):
+        words = [w.span() for w in re.finditer(r"\S+", m.group())]
+        for k in range(0, len(words), size):
+            own = words[k : k + size]
+            end = m.end() if k + size >= len(words) else m.start() + words[k + size][0]
+            parts.append((m.start() + own[0][0], end, len(own)))
+    out, i = [], 0
+    while i < len(parts):
+        j, n = i, 0
+        while j < len(parts) and n + parts[j][2] <= size:
+            n += parts[j][2]
+            j += 1
+        out.append((parts[i][0], parts[j - 1][1]))
+        if j == len(parts):
+            break
+        back, n = j, 0
+        while back - 1 > i and n + parts[back - 1][2] <= overlap and n + parts[back - 1][2] + parts[j][2] <= size:
+            back -= 1
+            n += parts[back][2]
+        i = back
+    return out
+
+
+def document_windows(docs: DataFrame, keys: list[str], text: str, size: int = 800, overlap: int = 200) -> DataFrame:
+    """``keys, window, content, start_line, end_line`` of sentence windows over whole texts; blank texts have none."""
+    ship(docs.sparkSession)
+
+    def cut_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for own in pdf.itertuples(index=False, name=None):
+                t = own[-1] or ""
+                for k, (a, b) in enumerate(sentence_windows(t, size, overlap)):
+                    piece = t[a:b].rstrip()
+                    first = t.count("\n", 0, a) + 1
+                    rows.append((*own[:-1], k, piece, first, first + piece.count("\n")))
+            yield pd.DataFrame(rows, columns=[*keys, "window", "content", "start_line", "end_line"])
+
+    schema = T.StructType([docs.schema[k] for k in keys] + [T.StructField("window", T.IntegerType()), T.StructField("content", T.StringType()), T.StructField("start_line", T.IntegerType()), T.StructField("end_line", T.IntegerType())])
+    return docs.where(F.col(text).isNotNull()).select(*keys, F.regexp_replace(text, "\r\n?", "\n").alias(text)).mapInPandas(cut_up, schema)
+
+
+def repository_chunks(nodes: DataFrame, files: DataFrame) -> DataFrame:
+    """All chunks of a code graph: ``project, node_id, file_path, chunk_kind, content, start_line, end_line, id``.
+
+    Documents in sentence windows; of code the contexts of modules and classes and the bodies of functions and methods.
+    Blank chunks are dropped.
+    """
+    cols = ["project", "node_id", "file_path", "chunk_kind", "content", "start_line", "end_line"]
+    docs = nodes.where(F.col("node_type") == "document").select("project", F.col("id").alias("node_id"), "file_path").join(files.select("project", "file_path", "content"), ["project", "file_path"])
+    windows = document_windows(docs, ["project", "node_id", "file_path"], "content").withColumn("chunk_kind", F.lit("document"))
+    bodies = body_windows(node_bodies(nodes, files)).withColumn("chunk_kind", F.lit("function_body")).withColumnRenamed("id", "node_id")
+    path = nodes.select("project", F.col("id").alias("node_id"), "file_path")
+    contexts = module_context(nodes).unionByName(class_context(nodes)).withColumnRenamed("id", "node_id").join(path, ["project", "node_id"])
+    every = windows.select(cols).unionByName(bodies.select(cols)).unionByName(contexts.select(cols)).where(F.col("content").rlike(r"\S"))
+    c = F.col
+    return every.withColumn("id", chunk_id(c("node_id"), c("file_path"), c("start_line"), c("end_line"), c("chunk_kind"), c("content")))
+
+
+def line_of(text: Column, piece: Column) -> Column:
+    """The line (from 1) on which the first 200 characters of a piece are found in a text; 1 if they are not."""
+    at = F.instr(text, F.substring(piece, 1, 200))
+    return F.when(at > 0, F.length(F.regexp_replace(F.substr(text, F.lit(1), at - 1), "[^\n]", "")) + 1).otherwise(1)
+
+
+def upsert_chunks(stored: DataFrame, incoming: DataFrame) -> DataFrame:
+    """Merge by id: incoming chunks win, but keep the stored vector where they have none."""
+    key = ["project", "id"]
+    old = stored.select(*key, F.col("embedding").alias("_v"))
+    new = incoming.join(old, key, "left").withColumn("embedding", F.coalesce("embedding", "_v")).drop("_v")
+    return stored.join(incoming.select(*key), key, "left_anti").unionByName(new.select(*stored.columns))
+
+
+def embed(df: DataFrame, text: str, function: Callable[[list[str]], list[list[float]]], most_texts: int = 50, most_chars: int = 80_000, tries: int = 5) -> DataFrame:
+    """``df`` with ``vector``: texts in order, in batches of at most ``most_texts`` and ``most_chars`` characters.
+
+    Blank and null texts are embedded as one space. A batch that fails ``tries`` times, or gives another number of
+    vectors than texts, has null vectors; other batches are not affected.
+    """
+    ship(df.sparkSession)
+
+    def batches_of(texts: list[str]) -> Iterator[tuple[int, int]]:
+        at = 0
+        while at < len(texts):
+            end, chars = at, 0
+            while end < len(texts) and end - at < most_texts and (end == at or chars + len(texts[end]) <= most_chars):
+                chars += len(texts[end])
+                end += 1
+            yield at, end
+            at = end
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            texts = [t if t and t.strip() else " " for t in pdf[text]]
+            vectors: list = [None] * len(texts)
+            for a, b in batches_of(texts):
+                for _ in range(tries):
+                    try:
+                        got = function(texts[a:b])
+                    except Exception:  # whatever the model's client raises
+                        continue
+                    if len(got) == b - a:
+                        vectors[a:b] = [list(map(float, v)) for v in got]
+                        break
+            yield pdf.assign(vector=vectors)
+
+    return df.mapInPandas(run, T.StructType([*df.schema.fields, T.StructField("vector", T.ArrayType(T.FloatType()))]))
+
+
+def covered_files(chunks: DataFrame) -> DataFrame:
+    """``project, file_path`` of the files all of whose chunks have a vector (only these are stamped as covered)."""
+    missing = F.max(F.col("embedding").isNull()).alias("_m")
+    return chunks.where(F.col("file_path").isNotNull()).groupBy("project", "file_path").agg(missing).where(~F.col("_m")).drop("_m")
+
+
+def cost_of_paths(files: DataFrame, patterns: list[str]) -> DataFrame:
+    """``cost`` of the files that match any of the patterns."""
+    return cost(files.where(scan_match(F.col("file_path"), patterns)))
+
+
+def over_budget(costs: DataFrame, budget: float) -> DataFrame:
+    """Projects whose estimated cost exceeds ``budget``: these need a confirmation first."""
+    return costs.where(F.col("cost") > budget).select("project", "cost")
+
+
 def cost(files: DataFrame, in_price: float = 0.25, out_price: float = 1.5, embed_price: float = 0.02) -> DataFrame:
     """Estimated cost of indexing per project: tokens are bytes // 4, nodes are lines // 10, prices per million tokens."""
     f = files.select("project", F.octet_length("content").alias("bytes"), (F.length(F.regexp_replace("content", "[^\n]", "")) + 1).alias("lines")).where(F.col("bytes").isNotNull())

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from grovework.runtime import current_rows, table
 
+#: Types of nodes and edges, and the fields of a node.
 NODE_TYPES = ["module", "class", "function", "method", "directory", "interface", "enum", "struct", "trait", "document"]
 EDGE_TYPES = ["IMPORTS", "CALLS", "INHERITS", "CONTAINS", "IMPLEMENTS"]
 #: How a call was resolved, in decreasing confidence.

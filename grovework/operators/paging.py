@@ -19,12 +19,12 @@ def page(df: DataFrame, order: list, limit: int, offset: int = 0, most: int = GR
 
 
 def envelope(df: DataFrame, order: list, limit: int, offset: int = 0, most: int = GRAPH_LIMIT) -> dict:
-    """``items`` and ``page`` {limit, offset, next_offset, has_more}: one row more than asked tells whether more follow."""
+    """``items`` and ``page`` {limit, offset, next_offset, has_more, truncated}: one row more than asked tells whether more follow."""
     limit, offset = clamp(limit, most), max(0, int(offset or 0))
     rows = [r.asDict(recursive=True) for r in df.orderBy(*order).offset(offset).limit(limit + 1).collect()]
     more = len(rows) > limit
     items = [{k: v for k, v in r.items() if v is not None} for r in rows[:limit]]
-    return {"items": items, "page": {"limit": limit, "offset": offset, "next_offset": offset + limit if more else None, "has_more": more}}
+    return {"items": items, "page": {"limit": limit, "offset": offset, "next_offset": offset + limit if more else None, "has_more": more, "truncated": False}}  # filters come before limits
 
 
 def page_per_group(df: DataFrame, group: list[str], order: list[Column | str], limit: int, offset: int = 0) -> DataFrame:

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from grovework.operators.hierarchy import hierarchy
 from grovework.operators.model import EDGE_KEY, resolution_rank
+from grovework.runtime import cut, ship
 
 FILE_KEY = ["project", "file_path"]
 
@@ -110,3 +116,94 @@ def summarise(nodes: DataFrame, hashes: DataFrame, stored: DataFrame) -> DataFra
         F.when(same | (first != ""), F.col("input_hash")).otherwise(F.lit("")).alias("summary_input_hash"),
         F.when(same, "reused").when(first != "", "generated").otherwise("failed").alias("outcome"),
     )
+
+
+def stale_summary_vectors(nodes: DataFrame, stored: DataFrame) -> DataFrame:
+    """Nodes to embed again: no stored vector, or one made from another input hash (a null stored hash is taken as fresh).
+
+    ``nodes``: project, id, summary, summary_input_hash; ``stored``: project, id, vector_hash, summary_embedding.
+    """
+    old = stored.select("project", "id", "vector_hash", F.col("summary_embedding").isNotNull().alias("_has"))
+    j = nodes.where(F.coalesce("summary", F.lit("")) != "").join(old, ["project", "id"], "left")
+    fresh = F.coalesce("_has", F.lit(False)) & (F.col("vector_hash").isNull() | F.coalesce(F.col("vector_hash") == F.col("summary_input_hash"), F.lit(False)))
+    return j.where(~fresh).select("project", "id")
+
+
+def split_long(text: str, most: int) -> list[str]:
+    """Parts of at most ``most`` characters that overlap by a fifth."""
+    step = max(1, most - most // 5)
+    return [text[i : i + most] for i in range(0, max(1, len(text) - most // 5), step)]
+
+
+def pack_lines(lines: list[str], most: int) -> list[str]:
+    """Lines in order, joined greedily to texts of at most ``most`` characters (a longer line stands alone)."""
+    out: list[str] = []
+    for x in lines:
+        if out and len(out[-1]) + 1 + len(x) <= most:
+            out[-1] += "\n" + x
+        else:
+            out.append(x)
+    return out
+
+
+def map_reduce(parts: list[str], summarise_text: Callable[[str], str], most: int) -> str:
+    """The summary of the summaries of parts, until they fit into ``most`` characters at once."""
+    while len(parts) > 1:
+        made = [summarise_text(p) for p in parts]
+        packed = pack_lines(made, most)
+        parts = packed if len(packed) < len(parts) else ["\n".join(made)[:most]]
+    return summarise_text(parts[0]) if parts else ""
+
+
+def first_sentence(text: str) -> str:
+    """The bundled text generator: the first sentence, or the first line."""
+    m = re.search(r"^(.+?[.!?])(\s|$)", text.strip(), re.S)
+    return m.group(1) if m else text.strip().split("\n")[0]
+
+
+def drain_summaries(nodes: DataFrame, stored: DataFrame, summarise_text: Callable[[str], str] = first_sentence, most: int = 12_000) -> DataFrame:
+    """``project, id, summary, summary_input_hash, outcome`` bottom up: leaves first, a container once all its children were
+    tried; an unchanged input hash reuses the stored summary, a failure keeps it and blanks its hash.
+
+    ``nodes``: project, id, parent_id, name, node_type, file_path, line_start, source, signature, docstring. One round per
+    level of the tree; each round is cut, so that a lost executor repeats no earlier one.
+    """
+    ship(nodes.sparkSession)
+    spark = nodes.sparkSession
+    h = cut(hierarchy(nodes.select("project", "id", "parent_id", F.lit(None).cast("timestamp").alias("indexed_at"))).select("project", "id", "depth", "n_descendants"), "levels")
+    rows = nodes.join(h, ["project", "id"])
+    kids = F.coalesce("file_path", F.lit("")), F.coalesce("line_start", F.lit(0)), F.col("id")
+    schema = "project string, id string, summary string, summary_input_hash string, outcome string"
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for r in pdf.itertuples(index=False):
+                if r.same:
+                    out.append((r.project, r.id, r.old, r.input_hash, "reused"))
+                    continue
+                parts = split_long(r.text, most) if r.leaf else pack_lines(r.text.split("\n"), most)
+                try:
+                    made = map_reduce([p for p in parts if p.strip()], summarise_text, most)
+                except Exception:  # whatever the generator raises
+                    made = ""
+                out.append((r.project, r.id, made, r.input_hash, "generated") if made else (r.project, r.id, r.old, "", "failed"))
+            yield pd.DataFrame(out, columns=["project", "id", "summary", "summary_input_hash", "outcome"])
+
+    old = stored.select("project", "id", F.col("summary").alias("old"), F.col("summary_input_hash").alias("_h"))
+    done = spark.createDataFrame([], schema)
+    deepest = rows.agg(F.max("depth").alias("d")).first()["d"]
+    for d in range(-1 if deepest is None else deepest, -1, -1):
+        here = rows.where(F.col("depth") == d)
+        leaf = F.col("n_descendants") == 0
+        text = F.concat_ws("\0", *[F.coalesce(c, F.lit("")) for c in ("source", "signature", "docstring")])
+        leaves = here.where(leaf).select("project", "id", F.lit(True).alias("leaf"), F.coalesce(F.nullif("docstring", F.lit("")), F.nullif("source", F.lit("")), "signature", F.lit("")).alias("text"), F.sha2(text, 256).alias("input_hash"))
+        line = F.concat_ws(" ", "node_type", F.concat(F.coalesce("name", F.lit("")), F.lit(":")), F.coalesce("summary", F.lit("")))
+        below = rows.where(F.col("depth") == d + 1).join(done.select("project", "id", "summary"), ["project", "id"], "left")
+        listed = below.groupBy("project", F.col("parent_id").alias("id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*[k.alias(f"k{i}") for i, k in enumerate(kids)], line.alias("t")))), lambda x: x["t"]), "\n").alias("text"))
+        inner = here.where(~leaf).select("project", "id").join(listed, ["project", "id"]).select("project", "id", F.lit(False).alias("leaf"), "text", F.sha2("text", 256).alias("input_hash"))
+        todo = leaves.unionByName(inner).join(old, ["project", "id"], "left")
+        same = F.coalesce(F.col("_h") == F.col("input_hash"), F.lit(False)) & (F.coalesce("old", F.lit("")) != "")
+        level = todo.select("project", "id", "leaf", "text", "input_hash", "old", same.alias("same")).mapInPandas(work, schema)
+        done = cut(done.unionByName(level), "summaries")
+    return done

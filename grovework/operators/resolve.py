@@ -8,18 +8,33 @@ only when exactly one candidate exists; what no rung binds is external, skipped
 
 from __future__ import annotations
 
+import builtins
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from grovework.functions.text import external_root, language_of
+from grovework.operators.imports import go_folder_of, python_module
+from grovework.runtime import cut
 
 #: Names that are part of a language and never bound to the project.
 BUILTINS = {
-    "python": "abs all any bool bytes callable chr dict dir divmod enumerate filter float format frozenset getattr hasattr hash id input int isinstance issubclass iter len list map max min next object open ord pow print property range repr reversed round set setattr slice sorted staticmethod str sum super tuple type vars zip".split(),
-    "go": "append cap clear close complex copy delete imag len make max min new panic print println real recover".split(),
-    "javascript": "Array Boolean Date Error JSON Map Math Number Object Promise RegExp Set String Symbol clearInterval clearTimeout console fetch isNaN parseFloat parseInt require setInterval setTimeout".split(),
+    "python": sorted(n for n in dir(builtins) if not n.startswith("__")),
+    "go": (
+        "any append bool byte cap clear close comparable complex complex128 complex64 copy delete error float32 float64 imag int int16 int32 int64 int8 len make max "
+        "min new panic print println real recover rune string uint uint16 uint32 uint64 uint8 uintptr"
+    ).split(),
+    "javascript": (
+        "AbortController AggregateError Array ArrayBuffer Atomics BigInt Blob Boolean Buffer DataView Date Error EvalError Event File FinalizationRegistry Float32Array Float64Array FormData "
+        "Function Headers Infinity Int16Array Int32Array Int8Array Intl JSON Map Math NaN Number Object Promise Proxy RangeError ReferenceError Reflect RegExp Request Response Set "
+        "SharedArrayBuffer String Symbol SyntaxError TextDecoder TextEncoder TypeError URIError URL URLSearchParams Uint16Array Uint32Array Uint8Array WeakMap WeakRef WeakSet WebSocket Worker "
+        "alert atob btoa clearImmediate clearInterval clearTimeout confirm console decodeURI decodeURIComponent document encodeURI encodeURIComponent escape eval exports fetch global globalThis "
+        "isFinite isNaN localStorage module navigator parseFloat parseInt performance process prompt queueMicrotask requestAnimationFrame require sessionStorage setImmediate setInterval "
+        "setTimeout structuredClone undefined unescape window"
+    ).split(),
 }
 BUILTINS["typescript"] = BUILTINS["javascript"]
+MAX_BASES = 8
 MAX_LIST, MAX_TEXT = 100, 200
 CALLABLE = ("function", "method", "class", "struct")
 
@@ -38,10 +53,27 @@ def _single(candidates: DataFrame, keys: list[str], rung: str) -> DataFrame:
     return one.where(F.col("_n") == 1).select(*keys, "target", F.lit(rung).alias("resolution"))
 
 
-def resolve_calls(nodes: DataFrame, calls: DataFrame, facts: DataFrame | None = None) -> DataFrame:
+def ancestors(bases: DataFrame) -> DataFrame:
+    """``project, owner, base, depth`` of classes and those they inherit from, the nearest depth of each, at most
+    ``MAX_BASES`` steps. ``bases``: project, source, target (class ids)."""
+    step = bases.where(F.col("target").isNotNull()).select("project", F.col("source").alias("base"), F.col("target").alias("_next")).distinct()
+    level = cut(step.select("project", F.col("base").alias("owner"), F.col("_next").alias("base"), F.lit(1).alias("depth")), "bases")
+    whole = level
+    for d in range(2, MAX_BASES + 1):
+        nxt = level.join(step, ["project", "base"]).select("project", "owner", F.col("_next").alias("base"), F.lit(d).alias("depth"))
+        level = cut(nxt.join(whole.select("project", "owner", "base"), ["project", "owner", "base"], "left_anti").where("owner <> base").distinct(), "bases")
+        if level.isEmpty():
+            break
+        whole = whole.unionByName(level)
+    return whole.groupBy("project", "owner", "base").agg(F.min("depth").alias("depth"))
+
+
+def resolve_calls(nodes: DataFrame, calls: DataFrame, facts: DataFrame | None = None, bases: DataFrame | None = None, go: DataFrame | None = None) -> DataFrame:
     """``project, source, callee, target, resolution, outcome`` of every distinct (source, callee), the first kept.
 
     Outcomes: bound (with the rung), external (``target`` is the imported name), skipped (builtin) or unresolved.
+    ``bases`` (project, source, target) lets methods be found in the classes a class inherits from; ``go`` (project,
+    file_path, go_module, go_folder) lets Go imports be found in the folders of the project.
     """
     key = ["project", "source", "callee"]
     calls = calls.groupBy(*key).agg(F.min("ordinal").alias("ordinal"))
@@ -73,6 +105,10 @@ def resolve_calls(nodes: DataFrame, calls: DataFrame, facts: DataFrame | None =
     self_calls = ok.where((F.col("n") == 2) & (F.col("head").isin("self", "cls", "this") | (F.col("head") == F.col("receiver"))))
     own = named.select("project", F.col("t_owner").alias("owner"), F.col("name").alias("last"), "target")
     self_ = _single(self_calls.join(own, ["project", "owner", "last"]), key, "self")
+    if bases is not None:  # the nearest class of those inherited from that has the method, if it is the only one
+        up = self_calls.join(self_, key, "left_anti").join(ancestors(bases), ["project", "owner"])
+        met = up.join(own.withColumnRenamed("owner", "base"), ["project", "base", "last"]).withColumn("_near", F.min("depth").over(Window.partitionBy(*key)))
+        self_ = self_.unionByName(_single(met.where(F.col("depth") == F.col("_near")), key, "self"))
     # field type: receiver.field.m
     typed = named.where(F.col("t_owner").isNotNull()).withColumn("_type", F.element_at(F.split(F.element_at(F.split("t_owner", "::"), -1), r"\."), -1))
     fields = ok.where((F.col("n") == 3) & F.col("field_type").isNotNull())
@@ -83,21 +119,41 @@ def resolve_calls(nodes: DataFrame, calls: DataFrame, facts: DataFrame | None =
     spec = F.regexp_replace(F.regexp_replace("imported", r"^\.+/?", ""), "/", ".")
     wanted = by_import.withColumn("want", F.when(F.col("n") == 1, F.regexp_replace(spec, r"[.:][^.:]*$", "")).otherwise(spec)).withColumn("name", F.when(F.col("n") == 1, F.element_at(F.split(spec, "[.:]"), -1)).otherwise(F.col("last")))
     import_ = _single(wanted.join(named.withColumn("want", module).select("project", "want", "name", "target"), ["project", "want", "name"]), key, "import")
+    if go is not None:  # package.F and package.T.M in the folder that the import path names
+        at = by_import.where((F.col("language") == "go") & F.col("n").isin(2, 3)).join(go.withColumnRenamed("file_path", "file"), ["project", "file"])
+        at = at.withColumn("t_folder", go_folder_of(F.col("imported"), F.col("go_module"), F.col("go_folder"))).where(F.col("t_folder").isNotNull())
+        of_type = F.regexp_extract(F.col("target"), r"::(?:(\w+)\.)?\w+$", 1)
+        there = named.select("project", "t_folder", F.col("name").alias("last"), of_type.alias("_owner"), "target", F.col("t_file").rlike(r"\.go$").alias("_go")).where("_go")
+        at = at.withColumn("_owner", F.when(F.col("n") == 3, F.get(parts, F.lit(1))).otherwise(F.lit("")))
+        import_ = import_.unionByName(_single(at.join(there, ["project", "t_folder", "last", "_owner"]), key, "import"))
+    # Class.method of the same file
+    in_class = ok.where((F.col("n") == 2) & (F.col("language") == "python") & ~F.col("shadowed"))
+    classes = named.where(F.col("node_type") == "method").withColumn("head", F.element_at(F.split(F.element_at(F.split("t_owner", "::"), -1), r"\."), -1))
+    of_class = _single(in_class.join(classes.select("project", F.col("t_file").alias("file"), "head", F.col("name").alias("last"), "target"), ["project", "file", "head", "last"]), key, "same-module")
     # bare names: same module, then (Go) the same package
     bare = ok.where((F.col("n") == 1) & ~F.col("shadowed"))
     top = named.where(F.col("node_type") != "method")
     same = _single(bare.join(top.select("project", F.col("t_file").alias("file"), F.col("name").alias("callee"), "target"), ["project", "file", "callee"]), key, "same-module")
     package = bare.where(F.col("language") == "go").join(top.select("project", F.col("t_folder").alias("folder"), F.col("name").alias("callee"), "target"), ["project", "folder", "callee"])
     package = _single(package, key, "same-package")
-    rungs = [exact, import_, field_, self_, same, package]
+    rungs = [exact, import_, field_, self_, same, package, of_class]
     found = None
     for i, r in enumerate(rungs):
         r = r.withColumn("_rank", F.lit(i))
         found = r if found is None else found.unionByName(r)
     best = found.groupBy(*key).agg(F.min(F.struct("_rank", "target", "resolution")).alias("b"))
     whole = c.join(best, key, "left")
+    # an import of the project itself that no rung could bind is unresolved, not external
+    top = F.regexp_extract("imported", r"^([^.:/]*)", 1)
+    packages = nodes.where(F.col("node_type").isin("module") & F.col("file_path").rlike(r"\.py$")).select("project", F.regexp_extract(python_module(F.col("file_path")), r"^([^.]+)", 1).alias("_top")).distinct()
+    whole = whole.withColumn("_top", top).join(packages.withColumn("_own", F.lit(True)), ["project", "_top"], "left")
+    inside = F.when(F.col("language") == "python", F.col("_own").isNotNull() | F.col("imported").startswith(".")).when(F.col("language").isin("javascript", "typescript"), F.col("imported").startswith("."))
+    if go is not None:
+        whole = whole.join(go.withColumnRenamed("file_path", "file"), ["project", "file"], "left")
+        inside = inside.when(F.col("language") == "go", go_folder_of(F.col("imported"), F.col("go_module"), F.col("go_folder")).isNotNull())
+    inside = F.coalesce(inside, F.lit(False))
     outcome = (
-        F.when(F.col("b").isNotNull(), "bound").when(F.col("plain") & F.col("imported").isNotNull() & ~F.col("shadowed"), "external").when(F.col("plain") & (F.col("n") == 1) & ~F.col("shadowed") & _flat("callee", F.col("language")), "skipped").otherwise("unresolved")
+        F.when(F.col("b").isNotNull(), "bound").when(F.col("plain") & F.col("imported").isNotNull() & ~F.col("shadowed") & ~inside, "external").when(F.col("plain") & (F.col("n") == 1) & ~F.col("shadowed") & _flat("callee", F.col("language")), "skipped").otherwise("unresolved")
     )
     return whole.select(*key, "ordinal", F.coalesce("b.target", F.when(outcome == "external", F.col("imported"))).alias("target"), F.col("b.resolution").alias("resolution"), outcome.alias("outcome"))
 
@@ -109,6 +165,19 @@ def call_edges(resolved: DataFrame) -> DataFrame:
     return bound.select("project", "source", F.lit("CALLS").alias("edge_type"), "target", "resolution", F.col("callee").alias("callee_text"))
 
 
+def with_provenance(nodes: DataFrame, covered: DataFrame | None = None, tool: str = "scip") -> DataFrame:
+    """Modules with ``calls_provenance``: ``heuristic``, or the index tool's name for files (project, file_path) it covers.
+
+    Other nodes keep what they have.
+    """
+    mark = F.lit("heuristic")
+    if covered is not None:
+        nodes = nodes.join(covered.select("project", "file_path", F.lit(tool).alias("_tool")).distinct(), ["project", "file_path"], "left")
+        mark = F.coalesce("_tool", mark)
+    kept = F.col("calls_provenance") if "calls_provenance" in nodes.columns else F.lit(None).cast("string")
+    return nodes.withColumn("calls_provenance", F.when(F.col("node_type") == "module", mark).otherwise(kept)).drop("_tool")
+
+
 def honest_lists(resolved: DataFrame) -> DataFrame:
     """Of each source the sorted distinct external and unresolved callees, at most 100 of at most 200 characters."""
     pick = lambda o: F.slice(F.sort_array(F.collect_set(F.when(F.col("outcome") == o, F.substring("callee", 1, MAX_TEXT)))), 1, MAX_LIST)

@@ -8,43 +8,60 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from grovework.functions.text import sanitize_query
+from grovework.runtime import cut
 
 K1, B = 1.2, 0.75
 
 
 def tokens(text: Column) -> Column:
-    """Lower-case runs of letters, digits and underscore."""
-    return F.filter(F.split(F.lower(text), r"[^a-z0-9_]+"), lambda t: t != "")
+    """Lower-case runs of letters, digits (of any script) and underscore."""
+    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}_]+"), lambda t: t != "")
 
 
 def _equals(term: str):
     return lambda x: x == term
 
 
-def bm25(docs: DataFrame, query: str, keys: list[str], text: str, scope: str = "project") -> DataFrame:
-    """``keys, score`` of the documents that have a term of the query; statistics per ``scope`` column.
+def query_terms(query: str) -> list[str]:
+    return sorted(set(sanitize_query(query).lower().split()))
+
+
+def counted(docs: DataFrame, query: str, text: str) -> DataFrame:
+    """``docs`` without the text, with its length in words ``_dl`` and how often each query term occurs ``_f``.
 
-    Only the query's terms are exploded, so what is shuffled grows with the matches, not with the texts; lengths and
-    counts of documents are partial aggregates. Scores add up per term: idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / avgdl)).
+    Numbers instead of texts: what comes after (deduplication, corpus figures, hits) shuffles no text.
     """
-    terms = sorted(set(sanitize_query(query).lower().split()))
-    if not terms:
-        return docs.limit(0).select(*keys, F.lit(0.0).alias("score"))
-    base = docs.where(F.col(text).isNotNull()).select(*keys, tokens(F.col(text)).alias("_t")).select(
-        *keys,
-        F.size("_t").alias("_dl"),
-        F.array(*[F.struct(F.lit(t).alias("term"), F.size(F.filter("_t", _equals(t))).alias("tf")) for t in terms]).alias("_f"),
-    )
-    corpus = base.groupBy(scope).agg(F.count(F.lit(1)).alias("_n"), F.avg("_dl").alias("_avg"), *[F.sum(F.when(F.col("_f")[i]["tf"] > 0, 1).otherwise(0)).alias(f"_df{i}") for i in range(len(terms))])
-    hit = base.where(F.exists("_f", lambda x: x["tf"] > 0)).join(corpus, scope)
+    found = F.array(*[F.size(F.filter("_t", _equals(t))) for t in query_terms(query)])
+    rest = [c for c in docs.columns if c != text]
+    words = docs.select(*rest, tokens(F.col(text)).alias("_t"))
+    there = F.col("_t").isNotNull()
+    return words.select(*rest, F.when(there, F.size("_t")).alias("_dl"), F.when(there, found).alias("_f"))
+
+
+def score_counted(base: DataFrame, query: str, keys: list[str], scope: str = "project") -> DataFrame:
+    """``keys, score`` of the counted documents that have a term of the query; statistics per ``scope`` column.
+
+    Scores add up per term: idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / avgdl)).
+    """
+    n = len(query_terms(query))
+    base = cut(base.where(F.col("_dl").isNotNull()).select(*keys, "_dl", "_f"), "counted")
+    corpus = base.groupBy(scope).agg(F.count(F.lit(1)).alias("_n"), F.avg("_dl").alias("_avg"), *[F.sum(F.when(F.col("_f")[i] > 0, 1).otherwise(0)).alias(f"_df{i}") for i in range(n)])
+    hit = base.where(F.exists("_f", lambda x: x > 0)).join(corpus, scope)
     score = F.lit(0.0)
-    for i in range(len(terms)):
-        df, tf = F.col(f"_df{i}"), F.col("_f")[i]["tf"].cast("double")
+    for i in range(n):
+        df, tf = F.col(f"_df{i}"), F.col("_f")[i].cast("double")
         idf = F.log(1 + (F.col("_n") - df + 0.5) / (df + 0.5))
         score = score + F.when(tf > 0, idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("_dl") / F.col("_avg")))).otherwise(0.0)
     return hit.select(*keys, F.round(score, 6).alias("score"))
 
 
+def bm25(docs: DataFrame, query: str, keys: list[str], text: str, scope: str = "project") -> DataFrame:
+    """``keys, score`` of the documents that have a term of the query."""
+    if not query_terms(query):
+        return docs.limit(0).select(*keys, F.lit(0.0).alias("score"))
+    return score_counted(counted(docs.select(*dict.fromkeys([*keys, scope]), text), query, text), query, keys, scope)
+
+
 def cosine(vector: Column, query: list[float]) -> Column:
     """Cosine of a vector column with a literal query, accumulated in doubles; null for unusable vectors."""
     norm = math.sqrt(sum(x * x for x in query)) or 1.0
@@ -67,21 +84,37 @@ def group_hits(rows: DataFrame, entity: list[str]) -> DataFrame:
     return hits.withColumn("matches", F.transform("m", lambda x: x.dropFields("_k"))).drop("m")
 
 
+def _with_matches(df: DataFrame) -> Column:
+    return F.col("matches") if "matches" in df.columns else F.lit(None)
+
+
 def fuse(lists: dict[str, DataFrame], entity: list[str], order: list[str]) -> DataFrame:
-    """Union of scored lists by entity: greatest score; ``source_type`` is the list, or ``text`` when several have it."""
-    whole = None
-    for i, name in enumerate(order):
-        part = lists[name].select(*entity, "score", F.lit(name).alias("src"))
+    """Union of scored lists by entity: greatest score; ``source_type`` is the list, or ``text`` when several have it.
+
+    ``matches`` of a list that has them are kept.
+    """
+    whole, matched = None, any("matches" in df.columns for df in lists.values())
+    kind = next((df.schema["matches"].dataType for df in lists.values() if "matches" in df.columns), None)
+    for name in order:
+        extra = [_with_matches(lists[name]).cast(kind).alias("matches")] if matched else []
+        part = lists[name].select(*entity, "score", F.lit(name).alias("src"), *extra)
         whole = part if whole is None else whole.unionByName(part)
-    fused = whole.groupBy(*entity).agg(F.max("score").alias("score"), F.array_sort(F.collect_set("src")).alias("srcs"))
+    more = [F.flatten(F.collect_list("matches")).alias("matches")] if matched else []
+    fused = whole.groupBy(*entity).agg(F.max("score").alias("score"), F.array_sort(F.collect_set("src")).alias("srcs"), *more)
     return fused.withColumn("source_type", F.when(F.size("srcs") > 1, "text").otherwise(F.get("srcs", F.lit(0)))).drop("srcs")
 
 
 def hybrid(code: DataFrame, summary: DataFrame, entity: list[str], min_score: float = 0.0) -> DataFrame:
-    """Code and summary hits fused by the greatest score; a hit with code is ``hybrid``, else ``summary``."""
-    both = code.select(*entity, "score", F.lit(1).alias("c")).unionByName(summary.select(*entity, "score", F.lit(0).alias("c")))
+    """Code and summary hits fused by the greatest score; a hit with code is ``hybrid``, else ``summary``.
+
+    ``matches`` of the code hits are kept if they have them.
+    """
+    extra = ["matches"] if "matches" in code.columns else []
+    other = [F.lit(None).cast(code.schema["matches"].dataType).alias("matches")] if extra else []
+    both = code.select(*entity, "score", F.lit(1).alias("c"), *extra).unionByName(summary.select(*entity, "score", F.lit(0).alias("c"), *other))
     both = both.where(F.coalesce("score", F.lit(0.0)) >= min_score)
-    return both.groupBy(*entity).agg(F.max("score").alias("score"), F.when(F.max("c") == 1, "hybrid").otherwise("summary").alias("source_type"))
+    more = [F.flatten(F.collect_list("matches")).alias("matches")] if extra else []
+    return both.groupBy(*entity).agg(F.max("score").alias("score"), F.when(F.max("c") == 1, "hybrid").otherwise("summary").alias("source_type"), *more)
 
 
 def first_list_wins(lists: list[DataFrame], entity: list[str]) -> DataFrame:
@@ -92,3 +125,30 @@ def first_list_wins(lists: list[DataFrame], entity: list[str]) -> DataFrame:
         whole = part if whole is None else whole.unionByName(part)
     w = Window.partitionBy(*entity).orderBy("_src", F.desc("score"))
     return whole.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n", "_src")
+
+
+def quick_search(names: DataFrame, symbols: DataFrame, summaries: DataFrame, semantic: DataFrame | None = None, entity: tuple = ("project", "id")) -> DataFrame:
+    """Per project the 15 best name hits, then of symbol and of summary hits 10 each that the names do not have, then
+    semantic hits the others do not have: ``entity, score (3 decimals), section, place``. Lists have ``score``.
+    """
+    key, whole = list(entity), None
+    for k, (section, df, most) in enumerate((("name", names, 15), ("text", symbols, 10), ("text", summaries, 10), ("semantic", semantic, 15))):
+        if df is None:
+            continue
+        w = Window.partitionBy("project").orderBy(F.desc("score"), "id")
+        part = df.select(*key, "score").withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= most)
+        part = part.withColumn("score", F.round("score", 3)).withColumn("section", F.lit(section)).withColumn("_src", F.lit(k))
+        whole = part if whole is None else whole.unionByName(part)
+    first = whole.withColumn("_f", F.row_number().over(Window.partitionBy(*key).orderBy("_src", "_n"))).where("_f = 1")
+    place = F.row_number().over(Window.partitionBy("project").orderBy("_src", "_n"))
+    return first.select(*key, "score", "section", place.alias("place"))
+
+
+def semantic_panel(summary: DataFrame, chunks: DataFrame, entity: tuple = ("project", "id"), most: int = 15) -> DataFrame:
+    """The ten best summary and the ten best chunk hits of each project; an entity keeps its first row (not the greatest
+    score); the best ``most`` by score, rounded to three decimals."""
+    key = list(entity)
+    ten = lambda df: df.withColumn("_n", F.row_number().over(Window.partitionBy("project").orderBy(F.desc("score"), "id"))).where("_n <= 10").select(*key, "score")
+    one = first_list_wins([ten(summary), ten(chunks)], key).withColumn("score", F.round("score", 3))
+    w = Window.partitionBy("project").orderBy(F.desc("score"), "id")
+    return one.withColumn("place", F.row_number().over(w)).where(F.col("place") <= most)

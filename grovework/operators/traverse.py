@@ -187,3 +187,29 @@ def innermost(spans: DataFrame, points: DataFrame) -> DataFrame:
     hit = points.join(s, ["project", "file_path"]).where(F.col("line").between(F.col("line_start"), F.col("line_end")))
     best = F.min(F.struct((-F.col("line_start")).alias("k"), F.col("span"))).getField("span").alias("span")
     return hit.groupBy("project", "file_path", "line").agg(best)
+
+
+def graph_cap_edges(g: CodeGraph, max_nodes: int, max_edges: int) -> DataFrame:
+    """Per project the edges between the nodes ``graph_cap`` keeps, at most ``max_edges``, in order of their keys."""
+    kept = graph_cap(g, max_nodes).select("project", "id")
+    e = g.edges.join(kept.withColumnRenamed("id", "source"), ["project", "source"], "left_semi").join(kept.withColumnRenamed("id", "target"), ["project", "target"], "left_semi")
+    w = Window.partitionBy("project").orderBy("source", "edge_type", "target")
+    return e.withColumn("place", F.row_number().over(w)).where(F.col("place") <= max_edges).select("project", "source", "edge_type", "target", "place")
+
+
+def relations_list(g: CodeGraph, limit: int = 200) -> DataFrame:
+    """Of every node and direction its relations but CONTAINS, by relation, file, line and id, at most ``limit``."""
+    rows = related(g).where(F.col("edge_type") != "CONTAINS")
+    w = Window.partitionBy("project", "id", "direction").orderBy("edge_type", "file_path", "line_start", "other")
+    return rows.withColumn("place", F.row_number().over(w)).where(F.col("place") <= limit).select("project", "id", "direction", "edge_type", "other", "place")
+
+
+def entity_detail(g: CodeGraph) -> DataFrame:
+    """``project, id, name, children, outgoing, incoming, chunks``: what the detail page of each live node counts."""
+    rel = related(g)
+    kind = F.when((F.col("direction") == "outgoing") & (F.col("edge_type") == "CONTAINS"), "children").when(F.col("edge_type") == "CONTAINS", None).otherwise(F.col("direction"))
+    count = lambda k: F.sum(F.when(kind == k, 1).otherwise(0)).alias(k)
+    ends = rel.groupBy("project", "id").agg(count("children"), count("outgoing"), count("incoming"))
+    chunks = g.chunks.where(F.col("node_id").isNotNull()).groupBy("project", F.col("node_id").alias("id")).agg(F.count(F.lit(1)).alias("chunks"))
+    j = g.nodes.select("project", "id", "name").join(ends, ["project", "id"], "left").join(chunks, ["project", "id"], "left")
+    return j.select("project", "id", "name", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("children", "outgoing", "incoming", "chunks")])

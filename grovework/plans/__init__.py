@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("structure", "graph", "pipeline")
+MODULES = ("structure", "graph", "pipeline", "reads")
 
 
 def all_queries() -> dict:

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from grovework.operators.model import CodeGraph
 from grovework.plans.guard import refusal
+from grovework.runtime import cut
 
 _TOKEN = re.compile(
     r"\s*(?:(?P<str>'(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\")|(?P<num>\d+(?:\.(?!\.)\d+)?)|(?P<par>\$\w+)|(?P<name>`[^`]+`|\w+)|(?P<op><>|<=|>=|=~|\.\.|->|<-|[-+*/%=<>()\[\]{},.:|;]))"
@@ -417,8 +418,10 @@ class Compiler:
             if k >= max(1, rel.low):
                 here = walk.withColumn("_end", F.col("_at"))
                 reached = here if reached is None else reached.unionByName(here)
-            if k > 3 and walk.isEmpty():
-                break
+            if k >= 3 and k < rel.high:  # long walks are cut, so that no hop is walked again to see whether it is the last
+                walk = cut(walk, "walk")
+                if walk.isEmpty():
+                    break
         reached = reached.drop("_at")
         if node.var in df.columns:
             return reached.where(F.col("_end") == F.col(f"{node.var}.id")).drop("_end", "_proj")
@@ -434,11 +437,7 @@ class Compiler:
             if known is not None:  # walk the pattern from its bound end
                 flip = {"out": "in", "in": "out", "both": "both"}
                 return self.bind(df, [x if isinstance(x, Node) else Rel(x.var, x.types, flip[x.direction], x.low, x.high) for x in reversed(path)])
-            other = self.node_table(first)
-            own = [c for c in df.columns if dict(df.dtypes)[c].startswith("struct<project")]
-            if not own:
-                raise CypherError("patterns without a common variable or project are not supported")
-            df = df.join(other, F.col(f"{own[0]}.project") == F.col(f"{first.var}.project"))
+            raise CypherError("patterns without a common variable would be a cross join and are not supported")
         df = self.props(df, first)
         for k in range(1, len(path), 2):
             df = self.props(self.step(df, path[k - 1].var, path[k], path[k + 1]), path[k + 1])

@@ -490,12 +490,18 @@ def chk09_chunk_ids(spark, d):
 
 
 _BODY = """
-src AS (SELECT project, file_path, any_value(content) AS content FROM source_files WHERE content IS NOT NULL GROUP BY ALL),
+src AS (SELECT project, file_path, r.content FROM (SELECT project, file_path, max(struct_pack(indexed_at, content)) AS r FROM source_files WHERE content IS NOT NULL GROUP BY ALL)),
 body AS (SELECT l.project, l.id, l.line_start, l.line_end, string_split(replace(regexp_replace(s.content, '\\r\\n?', chr(10), 'g'), chr(13), chr(10)), chr(10))[l.line_start:l.line_end] AS lines
   FROM live l JOIN src s ON s.project = l.project AND s.file_path = l.file_path
   WHERE l.node_type IN ('function', 'method') AND l.line_start IS NOT NULL AND l.line_end >= l.line_start)"""
 
 
+def newest_files(spark, d):
+    """The newest text of each file."""
+    f = table(spark, d, "source_files").where(F.col("content").isNotNull() & F.col("project").isNotNull() & F.col("file_path").isNotNull())
+    return f.groupBy("project", "file_path").agg(F.max(F.struct("indexed_at", "content")).getField("content").alias("content"))
+
+
 @query(
     cte(
         LIVE, _BODY,
@@ -506,7 +512,7 @@ body AS (SELECT l.project, l.id, l.line_start, l.line_end, string_split(replace(
 )
 def chk02_body_windows(spark, d):
     n = g(spark, d, "node_type", "file_path", "line_start", "line_end").nodes
-    files = table(spark, d, "source_files").where(F.col("content").isNotNull()).dropDuplicates(["project", "file_path"])
+    files = newest_files(spark, d)
     w = K.body_windows(K.node_bodies(n, files), 20, 5)
     return w.select("project", "id", "window", F.sha2("content", 256).alias("hash"), "start_line", "end_line")
 
@@ -520,23 +526,11 @@ FROM body b JOIN live l ON l.project = b.project AND l.id = b.id""",
 )
 def sum01_leaf_hash(spark, d):
     n = g(spark, d, "node_type", "file_path", "line_start", "line_end", "signature", "docstring").nodes
-    files = table(spark, d, "source_files").where(F.col("content").isNotNull()).dropDuplicates(["project", "file_path"])
+    files = newest_files(spark, d)
     b = K.node_bodies(n, files).join(n.select("project", "id", "signature", "docstring"), ["project", "id"])
     return b.select("project", "id", X.source_hash(F.array_join("lines", "\n"), F.col("signature"), F.col("docstring")).alias("input_hash"))
 
 
-@query()
-def gr10_stitched_source(spark, d):
-    c = M.merged_chunks(table(spark, d, "chunks"), ["node_id", "content", "start_line", "chunk_kind"])
-    c = c.where((F.col("chunk_kind") == "function_body") & F.col("node_id").isNotNull() & F.col("content").isNotNull() & F.col("start_line").isNotNull())
-    return K.stitch(c, ["project", "node_id"])
-
-
-@query()
-def chk03_module_context(spark, d):
-    return K.module_context(g(spark, d, "name", "node_type", "file_path", "line_start", "line_end", "signature", "docstring", "parent_id").nodes)
-
-
 @query(
     """SELECT project, count(*) AS files, sum(b)::BIGINT AS bytes, sum(floor(l / 10))::BIGINT AS nodes, sum(floor(b / 4))::BIGINT AS tokens,
 round(((sum(floor(b / 4)) + 250 * sum(floor(l / 10))) * 0.25 + 90 * sum(floor(l / 10)) * 1.5 + (sum(floor(b / 4)) + 90 * sum(floor(l / 10))) * 0.02) / 1e6, 4) AS cost
@@ -549,7 +543,7 @@ def cst01_index_cost(spark, d):
 # ---- 2.10 search ----
 
 _BM = """
-tok AS (SELECT {keys}, list_filter(regexp_split_to_array(lower({text}), '[^a-z0-9_]+'), lambda x: x <> '') AS t FROM {src} WHERE {text} IS NOT NULL),
+tok AS (SELECT {keys}, list_filter(regexp_split_to_array(lower({text}), '[^\\p{{L}}\\p{{N}}_]+'), lambda x: x <> '') AS t FROM {src} WHERE {text} IS NOT NULL),
 b AS (SELECT *, len(t) AS dl, [{tfs}] AS tf FROM tok),
 c AS (SELECT {scope}, count(*) AS n, avg(dl) AS av, {dfs} FROM b GROUP BY {scope})"""
 
@@ -584,7 +578,9 @@ def txt02_symbol_bm25(spark, d):
 
 @query(cte(CHUNKS, _TXT3[0], body=_TXT3[1]))
 def txt03_code_bm25(spark, d):
-    return S.bm25(M.merged_chunks(table(spark, d, "chunks"), ["node_id", "content"]), "error: restore(ledger)", ["project", "id", "node_id"], "content")
+    query = "error: restore(ledger)"
+    chunks = S.counted(table(spark, d, "chunks").select("project", "id", "indexed_at", "node_id", "content"), query, "content")
+    return S.score_counted(M.merged_chunks(chunks, ["node_id", "_dl", "_f"]), query, ["project", "id", "node_id"])
 
 
 @query("WITH " + _DOC[0] + _DOC[1])

@@ -23,6 +23,7 @@ def _own_folder() -> str:
 
 
 _shipped: set[str] = set()
+_folders: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
@@ -60,10 +61,23 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+def _app_folder(spark: SparkSession) -> str:
+    """The application's folder for cuts; it is deleted when the application ends."""
+    sc = spark.sparkContext
+    folder = f"{shared_dir(spark)}/grovework/{sc.applicationId}"
+    if folder not in _folders:
+        p = sc._jvm.org.apache.hadoop.fs.Path(folder)
+        fs = p.getFileSystem(sc._jsc.hadoopConfiguration())
+        fs.mkdirs(p)
+        fs.deleteOnExit(p)
+        _folders.add(folder)
+    return folder
+
+
 def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     """Write ``df`` to the shared folder as Parquet and read it back: a lineage cut any executor can re-read."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/grovework/{name}-{uuid.uuid4().hex}"
+    path = f"{_app_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back._grovework_path = path
@@ -82,8 +96,9 @@ def release(*cuts: DataFrame) -> None:
 
 
 def current_rows(df: DataFrame, keys: list[str], columns: list[str], order: str = "indexed_at") -> DataFrame:
-    """Of each key the row with the greatest ``order``; a map-side combined aggregate, no sort of whole groups.
+    """Of each key the row with the greatest ``order``; an aggregate combined before the shuffle.
 
+    Only fixed-width columns are hashed in place; texts and arrays make it a sort by key on both sides of the shuffle.
     Rows with a null key are dropped. A null ``order`` is older than any value. Among rows equal in ``order``
     the greatest by ``columns`` wins (nulls are smallest), so the result does not depend on row order.
     """

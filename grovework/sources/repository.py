@@ -85,7 +85,7 @@ def looks_generated(path: Column, head: Column) -> Column:
 
 
 def looks_binary(path: Column, data: Column) -> Column:
-    return suffix(path).isin(BINARY_SUFFIXES) | F.coalesce(F.instr(F.hex(F.substring(data, 1, 8192)), "00") % 2 == 1, F.lit(False))
+    return suffix(path).isin(BINARY_SUFFIXES) | F.coalesce(F.contains(F.substring(data, 1, 8192), F.lit(bytearray(b"\0"))), F.lit(False))
 
 
 def scan(tree: DataFrame, include: list[str] | None = None, exclude: list[str] | None = None, rules: list[tuple[str, str]] | None = None, max_bytes: int = MAX_BYTES) -> DataFrame:

@@ -173,3 +173,77 @@ def test_stream(spark, tmp_path):
     q.awaitTermination()
     assert {(r["file_path"], r["change"]) for r in seen} == {("b.py", "modified"), ("c.py", "added")}
     assert json.dumps(sorted(r["kind"] for r in C.latest_changes(events.union(events)).collect())) == '["added", "added", "added", "modified"]'
+
+
+N = "project string, id string, name string, node_type string, file_path string, parent_id string"
+C3 = "project string, source string, callee string, ordinal int"
+
+
+def test_methods_through_bases_and_classes(spark):
+    f = "m.py"
+    names = [("A", None), ("B", None), ("C", None), ("D", None)]
+    nodes = [("p", f, "m", "module", f, None)] + [("p", f"{f}::{c}", c, "class", f, f) for c, _ in names]
+    for c, m in (("A", "top"), ("B", "mid"), ("A", "mid"), ("C", "own"), ("D", "x"), ("B", "x")):
+        nodes.append(("p", f"{f}::{c}.{m}", m, "method", f, f"{f}::{c}"))
+    bases = [("p", f"{f}::C", f"{f}::B"), ("p", f"{f}::B", f"{f}::A"), ("p", f"{f}::A", f"{f}::C"), ("p", f"{f}::C", f"{f}::D"), ("p", f"{f}::C", None)]
+    calls = [("p", f"{f}::C.own", c, i) for i, c in enumerate(["self.top", "self.mid", "self.own", "self.none", "self.x", "A.top", "E.top", "ValueError", "A.top()"])]
+    n, b = spark.createDataFrame(nodes, N), spark.createDataFrame(bases, "project string, source string, target string")
+    got = {r["callee"]: (r["outcome"], r["target"]) for r in R.resolve_calls(n, spark.createDataFrame(calls, C3), None, b).collect()}
+    assert got["self.top"] == ("bound", f"{f}::A.top") and got["self.mid"] == ("bound", f"{f}::B.mid") and got["self.own"] == ("bound", f"{f}::C.own")
+    assert got["self.none"][0] == "unresolved" and got["self.x"][0] == "unresolved"  # two bases at the same distance
+    assert got["A.top"] == ("bound", f"{f}::A.top") and got["E.top"][0] == "unresolved" and got["ValueError"][0] == "skipped" and got["A.top()"][0] == "unresolved"
+
+
+def test_go_imports_and_project_packages(spark):
+    nodes = [("p", "cmd/m.go", "m", "module", "cmd/m.go", None), ("p", "cmd/m.go::main", "main", "function", "cmd/m.go", "cmd/m.go"), ("p", "lib/a.go::F", "F", "function", "lib/a.go", "lib/a.go"), ("p", "lib/b.go::T.M", "M", "method", "lib/b.go", "lib/b.go"),
+             ("p", "app/x.py", "x", "module", "app/x.py", None), ("p", "app/x.py::f", "f", "function", "app/x.py", "app/x.py")]
+    facts = spark.createDataFrame([("p", "cmd/m.go", {"lib": "ex.org/app/lib", "fmt": "fmt"}, None, None, None), ("p", "app/x.py", {"y": "app.y", "json": "json"}, None, None, None)],
+        "project string, file_path string, imports map<string,string>, local_names map<string,array<string>>, receiver_names map<string,string>, struct_fields map<string,map<string,string>>")
+    go = spark.createDataFrame([("p", "cmd/m.go", "ex.org/app", "")], "project string, file_path string, go_module string, go_folder string")
+    calls = [("p", "cmd/m.go::main", c, i) for i, c in enumerate(["lib.F", "lib.T.M", "lib.Gone", "fmt.Println", "lib.M"])] + [("p", "app/x.py::f", c, i) for i, c in enumerate(["y.g", "json.dumps"])]
+    got = {r["callee"]: (r["outcome"], r["target"]) for r in R.resolve_calls(spark.createDataFrame(nodes, N), spark.createDataFrame(calls, C3), facts, None, go).collect()}
+    assert got["lib.F"] == ("bound", "lib/a.go::F") and got["lib.T.M"] == ("bound", "lib/b.go::T.M")
+    assert got["lib.Gone"][0] == "unresolved" and got["fmt.Println"] == ("external", "fmt") and got["lib.M"][0] == "unresolved"
+    assert got["y.g"][0] == "unresolved" and got["json.dumps"][0] == "external"
+
+
+def test_provenance(spark):
+    n = spark.createDataFrame([("p", "a", "a", "module", "a.py", None), ("p", "b", "b", "module", "b.py", None), ("p", "f", "f", "function", "a.py", "a")], N)
+    got = {r["id"]: r["calls_provenance"] for r in R.with_provenance(n, spark.createDataFrame([("p", "a.py"), ("p", "a.py")], "project string, file_path string"), "scip-go").collect()}
+    assert got == {"a": "scip-go", "b": "heuristic", "f": None}
+
+
+def test_binary_bytes_at_any_offset(spark):
+    from pyspark.sql import functions as F
+
+    rows = [("a.py", bytearray([0x10, 0x01, 0x00])), ("b.py", bytearray([0x10, 0x02])), ("c.py", None), ("d.png", bytearray(b"x")), ("e.py", bytearray(b"x" * 9000 + b"\0"))]
+    df = spark.createDataFrame(rows, "p string, b binary").select("p", repository.looks_binary(F.col("p"), F.col("b")).alias("x"))
+    assert {r["p"]: r["x"] for r in df.collect()} == {"a.py": True, "b.py": False, "c.py": False, "d.png": True, "e.py": False}
+
+
+def test_words_of_other_scripts_are_found(spark):
+    from pyspark.sql import functions as F
+
+    from grovework.operators import search as S
+
+    docs = spark.createDataFrame([("p", "a", "Die Größe der Datei"), ("p", "b", "размер файла"), ("p", "c", "gr e"), ("p", "d", None), ("p", "e", "")], "project string, id string, text string")
+    find = lambda q: {r["id"] for r in S.bm25(docs, q, ["project", "id"], "text").collect()}
+    assert find("größe") == {"a"} and find("размер") == {"b"} and find("???") == set()
+    assert S.tokens(F.lit("x")) is not None
+
+
+def test_two_writers_of_a_store(spark, tmp_path):
+    a, b = GraphStore(spark, str(tmp_path / "g")), GraphStore(spark, str(tmp_path / "g"))
+    df = spark.createDataFrame([("p", 1)], "project string, x int")
+    number, now = a._latest("current")
+    b.commit(other=df)
+    assert not a._put("current", {"lost": {}}, number) and a.tables().keys() == {"other"}
+    a.commit(mine=df)
+    assert b.tables().keys() == {"other", "mine"}
+    (tmp_path / "g" / "current" / "000000000099.json").write_text('{"cut off')  # a writer was lost
+    assert b.tables().keys() == {"other", "mine"}
+    b.commit(third=df)
+    assert a.tables().keys() == {"other", "mine", "third"}
+    assert a.acquire("p", "one") and not b.acquire("p", "two") and b.acquire("q", "two") and not b.acquire_within("p", "two", 0.2, 0.1)
+    a.release("p", "one")
+    assert b.acquire_within("p", "two", 1)

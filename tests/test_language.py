@@ -55,8 +55,8 @@ def test_tools(graph):
     t = api.Tools(graph, lambda q: [1.0, 0.0])
     page = t.list_entities("p", ["class", "module"], limit=3)
     assert [x["id"] for x in page["items"]] == ["hub", "mod", "s2"] and page["page"]["next_offset"] == 3 and page["page"]["has_more"]
-    assert t.list_entities("p", ["class", "module"], limit=3, offset=3)["page"] == {"limit": 3, "offset": 3, "next_offset": None, "has_more": False}
-    assert t.list_entities("none")["error"]["code"] == "project_not_indexed" and t.list_entities("p", include_paths=[])["items"] == []
+    assert t.list_entities("p", ["class", "module"], limit=3, offset=3)["page"] == {"limit": 3, "offset": 3, "next_offset": None, "has_more": False, "truncated": False}
+    assert t.list_entities("none")["items"] == [] and t.search_text("none", "x y")["error"]["code"] == "project_not_indexed" and t.list_entities("p", include_paths=[])["items"] == []
     assert {x["id"] for x in t.get_entity_structure("p", "mod", depth=2)["items"]} == {"hub", "c1", "c2", "c3"} and t.get_entity_structure("p", "nope")["error"]["code"] == "not_found"
     c = t.get_entity_context("p", "hub")
     assert [x["id"] for x in c["children"]] == ["c1", "c2", "c3"] and {x["relation"] for x in c["incoming"]} == {"CALLS", "IMPORTS", "CONTAINS"} and {x["id"] for x in c["outgoing"]} == {"t1", "t2"}

@@ -1,4 +1,4 @@
-"""Every registered core query against its SQL; those without SQL must run."""
+"""Every registered core query against its SQL; those without SQL must give rows of the same kind every time."""
 
 import pytest
 
@@ -13,7 +13,8 @@ def test_query(name, same, spark, sf):
     if sql:
         same(all_queries()[name], sql)
     else:
-        assert all_queries()[name](spark, sf).limit(1).count() >= 0
+        one, two = (sorted(map(str, all_queries()[name](spark, sf).collect())) for _ in range(2))
+        assert one and one == two
 
 
 def test_every_sql_has_a_query():
