@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from grovework.functions.text import external_root, language_of
-from grovework.operators.imports import go_folder_of, python_module
+from grovework.operators.imports import absolute_python, go_folder_of, python_module, resolve_imports
 from grovework.runtime import cut
 
 #: Names that are part of a language and never bound to the project.
@@ -68,6 +68,12 @@ def ancestors(bases: DataFrame) -> DataFrame:
     return whole.groupBy("project", "owner", "base").agg(F.min("depth").alias("depth"))
 
 
+def _owner(id_: Column, path: Column, parent: Column) -> Column:
+    """What a method belongs to: its parent, in Go the type named in its id, within its folder."""
+    go_type = F.regexp_extract(id_, r"::(\w+)\.\w+$", 1)
+    return F.when(path.rlike(r"\.go$") & (go_type != ""), F.concat(F.regexp_replace(path, r"/?[^/]*$", ""), F.lit("::"), go_type)).otherwise(parent)
+
+
 def resolve_calls(nodes: DataFrame, calls: DataFrame, facts: DataFrame | None = None, bases: DataFrame | None = None, go: DataFrame | None = None) -> DataFrame:
     """``project, source, callee, target, resolution, outcome`` of every distinct (source, callee), the first kept.
 
@@ -78,7 +84,7 @@ def resolve_calls(nodes: DataFrame, calls: DataFrame, facts: DataFrame | None =
     key = ["project", "source", "callee"]
     calls = calls.groupBy(*key).agg(F.min("ordinal").alias("ordinal"))
     owner = nodes.select(
-        "project", F.col("id").alias("source"), F.col("file_path").alias("file"), F.col("parent_id").alias("owner"), language_of(F.col("file_path")).alias("language")
+        "project", F.col("id").alias("source"), F.col("file_path").alias("file"), _owner(F.col("id"), F.col("file_path"), F.col("parent_id")).alias("owner"), language_of(F.col("file_path")).alias("language")
     )
     c = calls.join(owner, ["project", "source"], "left")
     parts = F.split("callee", r"\.")
@@ -95,8 +101,9 @@ def resolve_calls(nodes: DataFrame, calls: DataFrame, facts: DataFrame | None =
         owner_name = F.element_at(F.split(F.element_at(F.split("owner", "::"), -1), r"\."), -1)
         field = F.try_element_at(F.try_element_at("struct_fields", owner_name), F.get(parts, F.lit(1)))
         c = c.withColumn("field_type", F.regexp_replace(field, r"^[*\[\]]+|\[.*$", "")).drop("_imports", "local_names", "receiver_names", "struct_fields")
+    c = cut(c, "calls")  # every rung reads it
     named = nodes.where(F.col("node_type").isin(*CALLABLE)).select(
-        "project", F.col("id").alias("target"), "name", "node_type", F.col("file_path").alias("t_file"), F.col("parent_id").alias("t_owner"), F.regexp_replace("file_path", r"/?[^/]*$", "").alias("t_folder")
+        "project", F.col("id").alias("target"), "name", "node_type", F.col("file_path").alias("t_file"), _owner(F.col("id"), F.col("file_path"), F.col("parent_id")).alias("t_owner"), F.regexp_replace("file_path", r"/?[^/]*$", "").alias("t_folder")
     )
     ok = c.where("plain")
     # exact: the callee is an id
@@ -112,13 +119,24 @@ def resolve_calls(nodes: DataFrame, calls: DataFrame, facts: DataFrame | None =
     # field type: receiver.field.m
     typed = named.where(F.col("t_owner").isNotNull()).withColumn("_type", F.element_at(F.split(F.element_at(F.split("t_owner", "::"), -1), r"\."), -1))
     fields = ok.where((F.col("n") == 3) & F.col("field_type").isNotNull())
-    field_ = _single(fields.join(typed.select("project", F.col("_type").alias("field_type"), F.col("name").alias("last"), "target"), ["project", "field_type", "last"]), key, "field-type")
+    typed = fields.join(typed.select("project", F.col("_type").alias("field_type"), F.col("name").alias("last"), "target", "t_folder"), ["project", "field_type", "last"])
+    field_ = _single(typed.where((F.col("language") != "go") | (F.col("t_folder") == F.col("folder"))), key, "field-type")
     # import: the head is bound by an import to a module of the project
     module = F.regexp_replace(F.regexp_replace(F.regexp_replace("t_file", r"\.[^./]+$", ""), r"(^|/)__init__$|/index$", ""), "/", ".")
     by_import = ok.where(F.col("imported").isNotNull() & ~F.col("shadowed"))
-    spec = F.regexp_replace(F.regexp_replace("imported", r"^\.+/?", ""), "/", ".")
+    python = F.col("language") == "python"
+    spec = F.when(python, absolute_python(F.col("imported"), F.col("file"))).otherwise(F.regexp_replace(F.regexp_replace("imported", r"^\.+/?", ""), "/", "."))
+    module = F.when(F.col("t_file").rlike(r"\.pyi?$"), python_module(F.col("t_file"))).otherwise(module)
     wanted = by_import.withColumn("want", F.when(F.col("n") == 1, F.regexp_replace(spec, r"[.:][^.:]*$", "")).otherwise(spec)).withColumn("name", F.when(F.col("n") == 1, F.element_at(F.split(spec, "[.:]"), -1)).otherwise(F.col("last")))
     import_ = _single(wanted.join(named.withColumn("want", module).select("project", "want", "name", "target"), ["project", "want", "name"]), key, "import")
+    # JavaScript and TypeScript: a relative specification names a file; name and module are divided by a colon
+    ecma = by_import.where(F.col("language").isin("javascript", "typescript") & F.col("imported").startswith("."))
+    ecma = ecma.withColumn("spec", F.regexp_replace("imported", r":[^:]*$", "")).withColumn("_orig", F.regexp_extract("imported", r":([^:]*)$", 1))
+    ecma = ecma.withColumn("name", F.when(F.col("n") == 1, F.col("_orig")).when((F.col("n") == 2) & (F.col("_orig") == "*"), F.col("last")))
+    files = nodes.where(F.col("file_path").isNotNull()).select("project", "file_path").distinct()
+    meant = resolve_imports(ecma.select("project", F.col("file").alias("file_path"), "spec"), files).where(F.col("target").isNotNull()).select("project", F.col("file_path").alias("file"), "spec", F.col("target").alias("t_file"))
+    top_level = named.where(F.col("node_type") != "method").select("project", "t_file", "name", "target")
+    import_ = import_.unionByName(_single(ecma.join(meant, ["project", "file", "spec"]).join(top_level, ["project", "t_file", "name"]), key, "import"))
     if go is not None:  # package.F and package.T.M in the folder that the import path names
         at = by_import.where((F.col("language") == "go") & F.col("n").isin(2, 3)).join(go.withColumnRenamed("file_path", "file"), ["project", "file"])
         at = at.withColumn("t_folder", go_folder_of(F.col("imported"), F.col("go_module"), F.col("go_folder"))).where(F.col("t_folder").isNotNull())

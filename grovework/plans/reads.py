@@ -307,3 +307,66 @@ SELECT project, language, CASE WHEN key = 'crate::' THEN 'crate' ELSE key END AS
 )
 def res14_module_index(spark, d):
     return I.module_index(table(spark, d, "source_files"))
+
+# ---- parsers ----
+
+#: Small files of three languages and what a reader finds in them.
+_SOURCES = {
+    'web/app.ts': 'import def, { save as keep, type T } from \'./lib\';\nimport * as ns from "./ns";\nconst { a, b: c } = require(\'m\');\nexport { z } from \'./z\';\n/** Runs it. */\nexport class App<T> extends ns.Base<T> implements One, Two<T> {\n  private x = new Map<string, number>();\n  run(x: number, {p, q: r}: any): void {\n    this.stop(); keep(1); a.b().c(); ns.f<string>(x); new Foo(2);\n    const inner = () => { def(x) };\n  }\n  stop() {}\n}\ninterface Shape { area(): number }\nenum E { A }\nconst go = async (v) => { run(v); let w = 1; };\nfunction plain(): void { plain() }\ntop.level(1);\n',
+    'srv/main.go': 'package main\nimport (\n  "fmt"\n  u "app/util"\n)\ntype (\n  A struct { *Base; pkg.Other; log, out *Logger; m map[string]int `json:"x"` }\n  I interface { Do(x int) error }\n)\n// Save keeps it.\nfunc (s *A) Save(x int, ys ...string) error { s.log.Print(x); v, err := helper(x); for i := range ys { u.Go(i, v) }; return err }\nfunc helper(x int) (int, error) { fmt.Println(x); return func(z int) int { return z }(x), nil }\n',
+    'rs/lib.rs': 'use std::{io, fmt::Display};\npub struct S<T> { a: u8 }\npub trait Tr { fn m(&self) -> u8; }\nimpl<T> Tr for S<T> {\n    /// Doc.\n    #[inline]\n    pub fn m(&self) -> u8 { self.help(1); Self::make(2); println!("{}", x(1)); vec.iter().map(f).collect::<Vec<_>>() }\n}\nmod inner { pub enum E { A(u8) } fn deep() { crate::top::go(); } }\n',
+}
+_OUTLINE = [
+    ('rs/lib.rs', 'IMPORTS', 'std::{io, fmt::Display}', None, None), ('rs/lib.rs', 'module', '', 1, 10), ('rs/lib.rs::E', 'enum', 'rs/lib.rs', 9, 9),
+    ('rs/lib.rs::S', 'IMPLEMENTS', 'Tr', None, None), ('rs/lib.rs::S', 'struct', 'rs/lib.rs', 2, 2), ('rs/lib.rs::S.m', 'CALLS', 'Self.make', None, None),
+    ('rs/lib.rs::S.m', 'CALLS', 'self.help', None, None), ('rs/lib.rs::S.m', 'CALLS', 'vec.iter', None, None), ('rs/lib.rs::S.m', 'CALLS', 'x', None, None),
+    ('rs/lib.rs::S.m', 'method', 'rs/lib.rs::S', 7, 7), ('rs/lib.rs::Tr', 'trait', 'rs/lib.rs', 3, 3), ('rs/lib.rs::Tr.m', 'method', 'rs/lib.rs::Tr', 3, 3),
+    ('rs/lib.rs::deep', 'CALLS', 'crate.top.go', None, None), ('rs/lib.rs::deep', 'function', 'rs/lib.rs', 9, 9), ('srv/main.go', 'IMPORTS', 'app/util', None, None),
+    ('srv/main.go', 'IMPORTS', 'fmt', None, None), ('srv/main.go', 'module', '', 1, 13), ('srv/main.go::A', 'INHERITS', 'Base', None, None),
+    ('srv/main.go::A', 'INHERITS', 'pkg.Other', None, None), ('srv/main.go::A', 'struct', 'srv/main.go', 7, 7), ('srv/main.go::A.Save', 'CALLS', 'helper', None, None),
+    ('srv/main.go::A.Save', 'CALLS', 's.log.Print', None, None), ('srv/main.go::A.Save', 'CALLS', 'u.Go', None, None), ('srv/main.go::A.Save', 'method', 'srv/main.go', 11, 11),
+    ('srv/main.go::I', 'interface', 'srv/main.go', 8, 8), ('srv/main.go::helper', 'CALLS', 'fmt.Println', None, None), ('srv/main.go::helper', 'function', 'srv/main.go', 12, 12),
+    ('web/app.ts', 'CALLS', 'require', None, None), ('web/app.ts', 'CALLS', 'top.level', None, None), ('web/app.ts', 'IMPORTS', './lib', None, None),
+    ('web/app.ts', 'IMPORTS', './ns', None, None), ('web/app.ts', 'IMPORTS', './z', None, None), ('web/app.ts', 'IMPORTS', 'm', None, None),
+    ('web/app.ts', 'module', '', 1, 19), ('web/app.ts::App', 'IMPLEMENTS', 'One', None, None), ('web/app.ts::App', 'IMPLEMENTS', 'Two', None, None),
+    ('web/app.ts::App', 'INHERITS', 'ns.Base', None, None), ('web/app.ts::App', 'class', 'web/app.ts', 6, 13), ('web/app.ts::App.run', 'CALLS', 'Foo', None, None),
+    ('web/app.ts::App.run', 'CALLS', 'a.b', None, None), ('web/app.ts::App.run', 'CALLS', 'def', None, None), ('web/app.ts::App.run', 'CALLS', 'keep', None, None),
+    ('web/app.ts::App.run', 'CALLS', 'ns.f', None, None), ('web/app.ts::App.run', 'CALLS', 'this.stop', None, None), ('web/app.ts::App.run', 'method', 'web/app.ts::App', 8, 11),
+    ('web/app.ts::App.stop', 'method', 'web/app.ts::App', 12, 12), ('web/app.ts::E', 'enum', 'web/app.ts', 15, 15), ('web/app.ts::Shape', 'interface', 'web/app.ts', 14, 14),
+    ('web/app.ts::go', 'CALLS', 'run', None, None), ('web/app.ts::go', 'function', 'web/app.ts', 16, 16), ('web/app.ts::plain', 'CALLS', 'plain', None, None),
+    ('web/app.ts::plain', 'function', 'web/app.ts', 17, 17),
+]
+
+
+@query(values(_OUTLINE, "id, kind, other, line_start, line_end"))
+def par02_outlines(spark, d):
+    """Nodes and edges (CONTAINS aside) of the sample files."""
+    rows = parsers.parse(spark.createDataFrame(list(_SOURCES.items()), "file_path string, content string").select(F.lit("p").alias("project"), "file_path", "content"))
+    found = rows.where("record in ('node', 'edge') and coalesce(edge_type, '') <> 'CONTAINS'")
+    kind, other = F.coalesce("node_type", "edge_type"), F.when(F.col("record") == "node", F.coalesce("parent_id", F.lit(""))).otherwise(F.col("target"))
+    return found.select("id", kind.alias("kind"), other.alias("other"), "line_start", "line_end").distinct()
+
+
+_BOUND = [
+    ("web/app.ts::App.run", "this.stop", "bound", "web/app.ts::App.stop"), ("web/app.ts::App.run", "keep", "bound", "web/lib/index.ts::save"), ("web/app.ts::App.run", "ns.f", "bound", "web/ns.ts::f"), ("web/app.ts::App.run", "a.b", "external", "m:a"), ("web/app.ts::App.run", "Foo", "unresolved", None),
+    ("web/app.ts::App.run", "def", "unresolved", None), ("web/app.ts::go", "run", "unresolved", None), ("web/app.ts::plain", "plain", "bound", "web/app.ts::plain"), ("web/app.ts", "top.level", "unresolved", None), ("web/app.ts", "require", "skipped", None),
+    ("srv/main.go::A.Save", "s.log.Print", "bound", "srv/log.go::Logger.Print"), ("srv/main.go::A.Save", "helper", "bound", "srv/main.go::helper"), ("srv/main.go::A.Save", "u.Go", "bound", "util/go.go::Go"), ("srv/main.go::helper", "fmt.Println", "external", "fmt"),
+    ("rs/lib.rs::S.m", "self.help", "unresolved", None), ("rs/lib.rs::S.m", "Self.make", "unresolved", None), ("rs/lib.rs::S.m", "x", "unresolved", None), ("rs/lib.rs::S.m", "vec.iter", "unresolved", None), ("rs/lib.rs::deep", "crate.top.go", "unresolved", None),
+]
+_OTHERS = {
+    "web/lib/index.ts": "export function save(x) {}\n", "web/ns.ts": "export function f(x) {}\n", "go.mod": "module app\n", "util/go.go": "package util\nfunc Go(i, v int) {}\n",
+    "srv/log.go": "package main\ntype Logger struct{}\nfunc (l Logger) Print(x int) {}\n",
+}
+
+
+@query(values(_BOUND, "source, callee, outcome, target"))
+def res00_rungs(spark, d):
+    """Calls of the sample files: parsed, then bound, external, skipped or unresolved."""
+    files = spark.createDataFrame(list((_SOURCES | _OTHERS).items()), "file_path string, content string").select(F.lit("p").alias("project"), "file_path", "content")
+    rows = parsers.parse(files)
+    n, e = parsers.parsed_nodes(rows), parsers.parsed_edges(rows)
+    calls = e.where("edge_type = 'CALLS'").select("project", "source", F.col("target").alias("callee"), "ordinal")
+    go = I.go_owner(files, I.go_modules(files))
+    bases = R.resolve_bases(n, e.where("edge_type = 'INHERITS'").select("project", "source", "edge_type", F.col("target").alias("base")))
+    found = R.resolve_calls(n, calls, parsers.parsed_facts(rows), bases.where("bound"), go)
+    return found.where(F.col("source").rlike("^(web/app|srv/main|rs/lib)")).select("source", "callee", "outcome", "target")

@@ -1,7 +1,7 @@
 """Parsers: source text to nodes, edges and resolver facts, in Arrow batches.
 
-Python is read by its standard syntax tree. The brace languages are read by a scan of their lines that tracks brackets,
-strings and comments; it finds modules, types, functions, methods, imports, bases and dotted calls. Parsers are looked up
+Python is read by its standard syntax tree. The brace languages are read into a tree of brackets and definitions
+(``trees``, ``outline``): modules, types, functions, methods, imports, bases, fields, local names and dotted calls. Parsers are looked up
 by suffix in a registry that users may extend. A file that fails gives no rows: its stored nodes are kept (a failure is
 no deletion), and it is listed by ``failures``.
 """
@@ -9,6 +9,7 @@ no deletion), and it is listed by ``failures``.
 from __future__ import annotations
 
 import ast
+import bisect
 import json
 import re
 from collections.abc import Callable, Iterator
@@ -18,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from grovework.runtime import ship
+from grovework.sources import outline, trees
 
 ROWS = (
     "project string, record string, id string, name string, node_type string, file_path string, line_start int, line_end int, signature string, "
@@ -108,143 +110,86 @@ def python_file(text: str, path: str) -> list[dict]:
     return out
 
 
-#: Per language: patterns of imports, types and functions on a line without strings and comments.
-_BRACE = {
-    "go": {
-        "import": re.compile(r'^\s*(?:import\s+)?(?:([\w.]+)\s+)?"([^"]+)"\s*$'),
-        "type": re.compile(r"^\s*type\s+(\w+)\s+(struct|interface)\b"),
-        "function": re.compile(r"^\s*func\s*(?:\(\s*(?P<recv>\w+)?\s*\*?\s*(?P<type>\w+)[^)]*\)\s*)?(?P<name>\w+)\s*[\[(]"),
-    },
-    "rust": {
-        "import": re.compile(r"^\s*(?:pub\s+)?use\s+([^;]+);"),
-        "type": re.compile(r"^\s*(?:pub(?:\([^)]*\))?\s+)?(struct|enum|trait)\s+(\w+)"),
-        "impl": re.compile(r"^\s*impl(?:<[^>]*>)?\s+(?:([\w:]+)(?:<[^>]*>)?\s+for\s+)?([\w:]+)"),
-        "function": re.compile(r"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:(?:const|async|unsafe)\s+)*fn\s+(?P<name>\w+)"),
-    },
-    "js": {
-        "import": re.compile(r"""^\s*(?:import|export)\b[^'"]*\bfrom\s*['"]([^'"]+)['"]|^\s*import\s*['"]([^'"]+)['"]|\brequire\(\s*['"]([^'"]+)['"]"""),
-        "type": re.compile(r"^\s*(?:export\s+)?(?:default\s+)?(?:declare\s+)?(?:abstract\s+)?(class|interface|enum)\s+(\w+)(?:\s*<[^>]*>)?(?:\s+extends\s+([\w.]+))?(?:[^{]*?\bimplements\s+([\w., ]+))?"),
-        "function": re.compile(r"^\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s*\*?\s*(?P<name>\w+)|^\s*(?:export\s+)?(?:const|let|var)\s+(?P<arrow>\w+)\s*=\s*(?:async\s*)?(?:\([^)]*\)|\w+)\s*(?::[^=]+)?=>"),
-        "method": re.compile(r"^\s*(?:(?:public|private|protected|static|readonly|override|async|get|set)\s+)*\*?(?P<name>[\w$#]+)\s*(?:<[^>]*>)?\(.*\{\s*$"),
-    },
-}
-_BLANK = re.compile(r"//[^\n]*|/\*[\s\S]*?\*/|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\]|\\.)*`")
-_CALL = re.compile(r"(?<![\w.$])((?:[A-Za-z_$][\w$]*\s*(?:\.|::)\s*)*[A-Za-z_$][\w$]*)\s*(?:::<[^>]*>)?\(")
-_NOT_CALLS = set("if for while switch catch return function func fn match loop new typeof await go defer select case else do throw in of and or not super constructor".split())
-
-_CONTROL = {"if", "for", "while", "switch", "catch", "return", "function", "with", "do", "else"}
-
-
-def _strip(text: str) -> str:
-    """Comments and strings replaced by blanks, line breaks kept."""
-    return _BLANK.sub(lambda m: re.sub(r"[^\n]", " ", m.group()), text)
-
-
-def _comment_before(lines: list[str], i: int) -> str:
-    j = i - 1
+def _comment_before(text: str, at: int) -> str:
+    """The comment that ends on the line before offset ``at``, without its marks."""
+    lines = text[: text.rfind("\n", 0, at) + 1].split("\n")[:-1]
     out: list[str] = []
-    while j >= 0 and re.match(r"\s*(//|\*|/\*|#\[|@)", lines[j]):
-        if not re.match(r"\s*(#\[|@)", lines[j]):
-            out.append(re.sub(r"^\s*(/\*\*?|\*/|\*|///?!?)\s?|\s*\*/\s*$", "", lines[j]))
+    j = len(lines) - 1
+    while j >= 0 and re.match(r"\s*(//|\*|/\*)", lines[j]):
+        out.append(re.sub(r"^\s*(/\*\*?|\*/|\*|///?!?)\s?|\s*\*/\s*$", "", lines[j]))
         j -= 1
     return "\n".join(x for x in reversed(out) if x.strip()).strip()
 
 
-def brace_file(text: str, path: str, kind: str) -> list[dict]:
-    text = text.replace("\r\n", "\n")
-    raw, clean = text.split("\n"), _strip(text).split("\n")
-    rules = _BRACE[kind]
+def brace_file(text: str, path: str, language: str) -> list[dict]:
+    """Nodes, edges and facts of a JavaScript, TypeScript, Go or Rust file, from its bracket tree.
+
+    Functions within functions are no nodes; their calls belong to the outer one.
+    """
+    text = text.replace("\r\n", "\n").replace("\r", "\n")
+    tree = trees.bracket_tree(text, language)
+    starts = [0, *(m.end() for m in re.finditer("\n", text))]
+    line = lambda at: bisect.bisect_right(starts, at)
     stem = path.rsplit("/", 1)[-1].rsplit(".", 1)[0]
-    out = [node(path, stem, "module", path, 1, max(1, len(raw)), "", "")]
+    out = [node(path, stem, "module", path, 1, max(1, text.count("\n") + 1), "", "")]
+    found = trees.functions_of(text, language, tree)
+    ecma = language in ("javascript", "typescript")
+    functions, reach = [], -1
+    for f in found:  # in the order they begin
+        if f.start >= reach:
+            functions.append(f)
+            reach = f.end
+    bodies = {f.body.at for f in found if isinstance(f.body, trees.Group)}
+    types = outline.ecma_types(tree, bodies) if ecma else outline.go_types(tree) if language == "go" else outline.rust_types(tree)
+    head_of = lambda f: " ".join(text[f.head : f.body.at if isinstance(f.body, trees.Group) else f.end].split()).rstrip("{=> ").rstrip()
     imports: dict[str, str] = {}
+    for spec, bound in outline.imports_of(tree, language, text):
+        out.append(edge(path, "IMPORTS", spec))
+        imports |= bound
+    fields: dict[str, dict[str, str]] = {}
+    known: set[str] = set()
+    for t in types:
+        own = f"{path}::{t.name}"
+        if t.kind != "impl" and own not in known:
+            known.add(own)
+            signature = " ".join(text[t.head : t.body.at if t.body else t.end].split()).rstrip(";")
+            out.append(node(own, t.name, t.kind, path, line(t.head), line(max(t.head, t.end - 1)), signature, _comment_before(text, t.start), path))
+            out.append(edge(path, "CONTAINS", own))
+        out += [edge(own, "INHERITS", b) for b in t.bases] + [edge(own, "IMPLEMENTS", b) for b in t.interfaces]
+        if t.fields:
+            fields[t.name] = t.fields
     receivers: dict[str, str] = {}
-    stack: list[tuple[int, str, str]] = []  # depth at opening, id, node type
-    pending: tuple[str, str] | None = None
-    depth, n, in_import = 0, 0, False
-    byid = {path: out[0]}
-
-    def add(d: dict) -> None:
-        out.append(d)
-        if d["record"] == "node":
-            byid[d["id"]] = d
-
-    for i, line in enumerate(clean):
-        head, called = raw[i].strip().rstrip("{").strip(), line
-        owner = next((s for s in reversed(stack) if s[2] in ("class", "struct", "trait", "enum", "impl", "interface")), None)
-        inside = next((s for s in reversed(stack) if s[2] in ("function", "method")), None)
-        if kind == "go":
-            if re.match(r"\s*import\s*\($", line):
-                in_import = True
-            elif in_import and ")" in line:
-                in_import = False
-            m = rules["import"].match(raw[i]) if in_import or line.lstrip().startswith("import") else None
-            if m:
-                imports[m.group(1) or m.group(2).rsplit("/", 1)[-1]] = m.group(2)
-                add(edge(path, "IMPORTS", m.group(2)))
-        elif depth == 0 or kind == "js":
-            m = rules["import"].search(raw[i]) if not inside else None
-            if m:
-                spec = next(x for x in m.groups() if x)
-                add(edge(path, "IMPORTS", spec))
-                if kind == "js":
-                    imports |= {b.strip().split(" as ")[-1].strip(): f"{spec}:{b.strip().split(' as ')[0].strip()}" for b in re.findall(r"[\w$]+(?:\s+as\s+[\w$]+)?", raw[i].split("from")[0].replace("import", "", 1)) if b.strip() not in ("as", "type")}
-        m = rules["type"].match(line)
-        if m and not inside:
-            name, t = (m.group(1), m.group(2)) if kind == "go" else (m.group(2), m.group(1))
-            own = f"{path}::{name}"
-            add(node(own, name, t, path, i + 1, i + 1, head, _comment_before(raw, i), path))
-            add(edge(path, "CONTAINS", own))
-            if kind == "js":
-                if m.group(3):
-                    add(edge(own, "INHERITS", m.group(3)))
-                for b in (m.group(4) or "").split(","):
-                    if b.strip():
-                        add(edge(own, "IMPLEMENTS", b.strip()))
-            pending = (own, t)
-        elif kind == "rust" and (m := rules["impl"].match(line)) and not inside:
-            own = f"{path}::{m.group(2).split('::')[-1]}"
-            if m.group(1):
-                add(edge(own, "IMPLEMENTS", m.group(1)))
-            pending = (own, "impl")
+    shadows: dict[str, list[str]] = {}
+    spans: list[tuple[int, int, str]] = []
+    for f in functions:
+        owner = next((t for t in types if t.body and t.body.at < f.start < t.end), None)
+        if language == "go" and owner is not None:
+            continue  # methods an interface asks for
+        if f.receiver:
+            own, parent, kind = f"{path}::{f.receiver[1]}.{f.name}", path, "method"
+            receivers[own] = f.receiver[0]
+        elif owner is not None:
+            own, parent, kind = f"{path}::{owner.name}.{f.name}", f"{path}::{owner.name}", "method"
         else:
-            m = rules["function"].match(line)
-            method = False
-            if not m and kind == "js" and owner and not inside:
-                m = rules["method"].match(line)
-                method = bool(m)
-            if m and not inside:
-                name = m.group("name") or m.groupdict().get("arrow")
-                if name and not (method and name in _CONTROL):
-                    if kind == "go" and m.group("type"):
-                        own, parent, t = f"{path}::{m.group('type')}.{name}", path, "method"
-                        receivers[own] = m.group("recv") or ""
-                    elif owner and (method or kind == "rust"):
-                        own, parent, t = f"{owner[1]}.{name}", owner[1], "method"
-                    else:
-                        own, parent, t = f"{path}::{name}", path, "function"
-                    add(node(own, name, t, path, i + 1, i + 1, head, _comment_before(raw, i), parent))
-                    add(edge(parent, "CONTAINS", own))
-                    pending = (own, t)
-                    called = line[m.end() :]
-        source = inside[1] if inside else pending[0] if pending and pending[1] in ("function", "method") and "{" in line else path
-        for c in _CALL.finditer(called):
-            callee = re.sub(r"\s+", "", c.group(1)).replace("::", ".")
-            if callee.split(".")[0] not in _NOT_CALLS and (inside or depth == 0):
-                n += 1
-                add(edge(source, "CALLS", callee, n))
-        for ch in line:
-            if ch == "{":
-                if pending:
-                    stack.append((depth, *pending))
-                    pending = None
-                depth += 1
-            elif ch == "}":
-                depth -= 1
-                if stack and stack[-1][0] == depth:
-                    _, own, t = stack.pop()
-                    if own in byid and t != "impl":
-                        byid[own]["line_end"] = i + 1
-    out.append({"record": "fact", "id": path, "file_path": path, "facts": json.dumps({"imports": imports, "receiver_names": receivers})})
+            own, parent, kind = f"{path}::{f.name}", path, "function"
+        if ecma and owner is not None and owner.kind == "interface":
+            continue
+        out.append(node(own, f.name, kind, path, f.line, f.last, head_of(f), _comment_before(text, f.start), parent))
+        out.append(edge(parent, "CONTAINS", own))
+        spans.append((f.start, f.end, own))
+        if language != "rust":
+            shadows[own] = outline.local_names(f.params, f.body, language)
+    own_lists = {f.params.at for f in found if isinstance(f.params, trees.Group)}
+    inside = [t for t in types if t.kind in ("class", "interface", "impl", "trait", "enum")]
+    begins = [a for a, _, _ in spans]
+    for n, (at, callee) in enumerate(outline.calls_of(tree, own_lists, language), 1):
+        k = bisect.bisect_right(begins, at) - 1
+        if k >= 0 and at < spans[k][1]:
+            out.append(edge(spans[k][2], "CALLS", callee, n))
+        elif not any(t.start <= at < t.end for t in inside):
+            out.append(edge(path, "CALLS", callee, n))
+    facts = {"imports": imports, "receiver_names": receivers, "local_names": shadows, "struct_fields": fields}
+    out.append({"record": "fact", "id": path, "file_path": path, "facts": json.dumps(facts)})
     return out
 
 
@@ -254,7 +199,8 @@ def document_file(text: str, path: str) -> list[dict]:
 
 REGISTRY: dict[str, Parser] = {".py": python_file}
 REGISTRY |= {s: document_file for s in (".md", ".rst", ".txt")}
-REGISTRY |= {s: (lambda t, p: brace_file(t, p, "js")) for s in (".js", ".jsx", ".ts", ".tsx")}
+REGISTRY |= {s: (lambda t, p: brace_file(t, p, "javascript")) for s in (".js", ".jsx")}
+REGISTRY |= {s: (lambda t, p: brace_file(t, p, "typescript")) for s in (".ts", ".tsx")}
 REGISTRY |= {".go": lambda t, p: brace_file(t, p, "go"), ".rs": lambda t, p: brace_file(t, p, "rust")}
 
 
