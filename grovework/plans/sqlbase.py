@@ -21,7 +21,7 @@ ext AS (SELECT project, id, any_value(name) AS name, any_value(root) AS root, an
 CHUNKS = """
 ch AS (
   SELECT project, id, r.node_id, r.file_path, r.content, r.start_line, r.end_line, r.language, coalesce(r.chunk_kind, 'fallback_text') AS chunk_kind, r.chunk_index FROM (
-    SELECT project, id, max(struct_pack(indexed_at, node_id, file_path, content, start_line, end_line, language, chunk_kind, chunk_index)) AS r
+    SELECT project, id, max(struct_pack(indexed_at, owned := node_id IS NOT NULL, node_id, file_path, content, start_line, end_line, language, chunk_kind, chunk_index)) AS r
     FROM chunks WHERE project IS NOT NULL AND id IS NOT NULL GROUP BY project, id)
 )"""
 INNER = """
