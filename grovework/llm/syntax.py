@@ -21,9 +21,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from grovework.llm import grammars, lexers
+from grovework.llm import grammars
 from grovework.llm.derivatives import Grammar
 from grovework.runtime import ship
+from grovework.sources import lexers
 
 SUFFIXES = {"py": "python", "js": "javascript", "ts": "typescript", "go": "go", "rs": "rust"}
 

@@ -1,7 +1,7 @@
 import pytest
 
 from grovework.llm import docpairs as D
-from grovework.llm.trees import functions_of
+from grovework.sources.trees import functions_of
 
 SIG = "def reset_session(items, limit=10)"
 
