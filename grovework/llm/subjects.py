@@ -94,30 +94,40 @@ class Tree:
             node = self.parent[node]
         return out[::-1]
 
-    def grow(self, item: int, longest: int, least: int, worth=lambda items, hits, grown: True, tail: tuple = (), grown: tuple = ()) -> Iterator[tuple[tuple, int, int, tuple]]:
+    def grow(self, item: int, longest: int, least: int, need: list[float] | None = None, tail: tuple = (), grown: tuple = (), floor: float = 0.0) -> Iterator[tuple[tuple, int, int, tuple]]:
         """(items, support, hits, patterns it extends) of the frequent patterns that end in ``item`` + ``tail``.
 
-        A pattern for which ``worth`` does not hold is left out with all that contain it; that is asked of its items, its
-        hits and (support, hits) of the patterns of two items or more it extends.
+        With ``need`` (of each item the hits a pattern with it must have, see ``_need``) patterns of fewer hits are left
+        out with all that contain them, as are those with fewer hits than the patterns they extend call for. The patterns
+        are (support, hits) of those of two items or more.
         """
         nodes = self.heads.get(item, [])
         total, hits = sum(self.count[n] for n in nodes), sum(self.hits[n] for n in nodes)
         here = (item, *tail)
-        if total < least or (tail and not worth(here, hits, grown)):
+        if need is not None:
+            floor = max(floor, need[item])
+        if total < least or (tail and hits < floor):
             return
         yield here, total, hits, grown
+        if len(here) >= longest:
+            return
         if tail:  # of single items only transactions with other ones are here
             grown = (*grown, (total, hits))
-        if len(here) >= longest:
+            if need is not None:
+                floor = max(floor, _need(total, hits))
+        if need is not None and hits < floor:
             return
         conditional: dict[int, list[int]] = {}
         paths = [(self.path(n), self.count[n], self.hits[n]) for n in nodes]
         for path, n, k in paths:
             for other in path:
-                c = conditional.setdefault(other, [0, 0])
-                c[0] += n
-                c[1] += k
-        kept = {o: c for o, c in conditional.items() if c[0] >= least and worth((o, *here), c[1], grown)}
+                c = conditional.get(other)
+                if c is None:
+                    conditional[other] = [n, k]
+                else:
+                    c[0] += n
+                    c[1] += k
+        kept = {o: c for o, c in conditional.items() if c[0] >= least and (need is None or (c[1] >= floor and c[1] >= need[o]))}
         if len(here) + 1 == longest or len(kept) < 2:  # no tree is needed below
             for other, (n, k) in kept.items():
                 yield (other, *here), n, k, grown
@@ -126,7 +136,7 @@ class Tree:
         for path, n, k in paths:
             tree.add([o for o in path if o in kept], n, k)
         for other in list(tree.heads):
-            yield from tree.grow(other, longest, least, worth, here, grown)
+            yield from tree.grow(other, longest, least, need, here, grown, floor)
 
 
 def labelled(documents: DataFrame, labels: DataFrame, subjects: DataFrame, rows: int = LABELLED_ROWS) -> DataFrame:
@@ -143,12 +153,26 @@ def labelled(documents: DataFrame, labels: DataFrame, subjects: DataFrame, rows:
 def _transactions(train: DataFrame) -> DataFrame:
     def to_items(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            counts = [Counter(text_items(t)) for t in pdf["text"]]
-            yield pd.DataFrame(
-                {"doc_id": pdf["doc_id"], "fold": pdf["fold"], "subjects": pdf["subjects"], "items": [list(c) for c in counts], "counts": [list(c.values()) for c in counts]}
-            )
+            yield pdf[["doc_id", "fold", "subjects"]].assign(items=[list(dict.fromkeys(text_items(t))) for t in pdf["text"]])
+
+    return cut(train.mapInPandas(to_items, "doc_id long, fold int, subjects array<string>, items array<string>"), "transactions")
 
-    return cut(train.mapInPandas(to_items, "doc_id long, fold int, subjects array<string>, items array<string>, counts array<int>"), "transactions")
+
+def numbered(trans: DataFrame, least: int = MIN_SUPPORT) -> tuple[DataFrame, list[str]]:
+    """(transactions with the numbers of their frequent items in ascending order, the items by number, the most frequent
+    first): what all minings of the same transactions share."""
+    freq = trans.select(F.explode("items").alias("item")).groupBy("item").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+    words = freq.toPandas().sort_values(["n", "item"], ascending=[False, True])["item"].tolist()
+    shared = trans.sparkSession.sparkContext.broadcast({x: i for i, x in enumerate(words)})
+
+    def number(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rank = shared.value
+        for pdf in batches:
+            yield pdf.assign(items=[sorted(rank[x] for x in items if x in rank) for items in pdf["items"]])
+
+    keep = [c for c in ("doc_id", "fold", "subjects", "items") if c in trans.columns]
+    schema = ", ".join("items array<int>" if c == "items" else f"{c} {dict(trans.dtypes)[c]}" for c in keep)
+    return cut(trans.select(*keep).mapInPandas(number, schema), "numbered"), words
 
 
 def _better(n: float, k: float, m: float, j: float) -> float:
@@ -160,7 +184,17 @@ def _better(n: float, k: float, m: float, j: float) -> float:
     return gap * gap * n / below if below else 0.0
 
 
+def _need(n: float, k: float) -> float:
+    """The hits a part without misses must have to be significantly better than ``k`` of ``n`` (no part is, if all hit)."""
+    return CHI_SQUARE * k * n / (n * (n - k) + CHI_SQUARE * k) if k < n else float("inf")
+
+
 def mine_rules(trans: DataFrame, least: int = MIN_SUPPORT, confidence: float = MIN_CONFIDENCE, longest: int = MAX_ITEMS) -> pd.DataFrame:
+    """The rules of transactions (subjects, items); see ``mine_numbered``."""
+    return mine_numbered(*numbered(trans, least), least, confidence, longest)
+
+
+def mine_numbered(trans: DataFrame, words: list[str], least: int = MIN_SUPPORT, confidence: float = MIN_CONFIDENCE, longest: int = MAX_ITEMS) -> pd.DataFrame:
     """``items`` (tuple), ``subject``, ``support``, ``confidence`` of the rules left after pruning.
 
     Everything here grows with the labelled sample only, which is bounded.
@@ -170,18 +204,21 @@ def mine_rules(trans: DataFrame, least: int = MIN_SUPPORT, confidence: float = M
     totals = {r["s"]: r["n"] for r in trans.select(F.explode("subjects").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not totals:
         return pd.DataFrame({"items": [], "subject": [], "support": [], "confidence": []})
-    pairs = trans.select("doc_id", "subjects", F.explode("items").alias("item"))
-    freq = pairs.groupBy("item").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
-    joint = pairs.join(freq, "item").select("item", "n", F.explode("subjects").alias("s")).groupBy("item", "n", "s").agg(F.count(F.lit(1)).alias("k"))
+    # of each item its documents, in all (no subject) and by subject, in one pass
+    marks = F.explode(F.concat(F.array(F.lit(None).cast("string")), "subjects")).alias("s")
+    counts = trans.select("subjects", F.explode("items").alias("item")).select("item", marks).groupBy("item", "s").agg(F.count(F.lit(1)).alias("k"))
+    whole = counts.where("s is null").select("item", F.col("k").alias("n")).where(F.col("n") >= least)
+    joint = counts.where("s is not null").join(whole, "item")
     size = F.create_map(*[F.lit(x) for s, t in totals.items() for x in (s, float(t))])[F.col("s")]
     n, k, all_ = F.col("n").cast("double"), F.col("k").cast("double"), F.lit(float(n_docs))
     gap = k * all_ - n * size
     chi = gap * gap * all_ / F.greatest(n * size * (all_ - n) * (all_ - size), F.lit(1e-9))
     tied = ((gap > 0) & ((chi >= CHI_SQUARE) | (k >= all_ * 0.999))).alias("tied")
     hits = F.collect_list(F.struct("s", "k", tied)).alias("hits")
-    kept = joint.groupBy("item").agg(F.max("n").alias("n"), F.max(tied).alias("any"), hits).where("any").toPandas().sort_values(["n", "item"], ascending=[False, True])
-    words = kept["item"].tolist()
-    order = {x: i for i, x in enumerate(words)}
+    kept = joint.groupBy("item").agg(F.max("n").alias("n"), F.max(tied).alias("any"), hits).where("any").toPandas().sort_values("item")
+    order = np.full(len(words), -1, dtype="int32")
+    order[kept["item"]] = np.arange(len(kept))
+    words = [words[i] for i in kept["item"]]
     names = sorted(totals)
     place = {s: i for i, s in enumerate(names)}
     support = kept["n"].astype("int64").tolist()
@@ -192,11 +229,13 @@ def mine_rules(trans: DataFrame, least: int = MIN_SUPPORT, confidence: float = M
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rank, number, _, _, subjects_of = shared.value
+        useful = np.array([bool(x) for x in subjects_of] + [False])
         for pdf in batches:
             rows = []
             for items, subjects in zip(pdf["items"], pdf["subjects"]):
                 own: dict[int, list[int]] = {}
-                for i in sorted(rank[x] for x in items if x in rank):
+                t = rank[np.asarray(items, dtype="int64")]
+                for i in t[useful[t]].tolist():
                     for s in subjects_of[i]:
                         own.setdefault(s, []).append(i)
                 here = {number[x] for x in subjects}
@@ -221,14 +260,11 @@ def mine_rules(trans: DataFrame, least: int = MIN_SUPPORT, confidence: float = M
         def improves(items: tuple, m: int, j: int, grown: tuple) -> bool:
             return all(_better(n, k, m, j) >= CHI_SQUARE for n, k in grown) and all(_better(n_of[i], k_of[i][s], m, j) >= CHI_SQUARE for i in items)
 
-        def worth(items: tuple, j: int, grown: tuple) -> bool:
-            """Whether there could still be a rule that is not redundant: if all hits, and no others, were left."""
-            return j >= least and improves(items, j, j, grown)
-
+        need = [max(least, _need(n, k[s])) if s in k else float("inf") for n, k in zip(n_of, k_of)]
         rows = []
         for i in sorted(own):
-            for items, m, j, grown in tree.grow(i, longest, least, worth):
-                if len(items) > 1 and j >= least and j >= confidence * m and improves(items, m, j, grown):
+            for items, m, j, grown in tree.grow(i, longest, least, need):
+                if len(items) > 1 and j >= confidence * m and improves(items, m, j, grown):
                     rows.append((sorted(items), s, m, j / m))
         return pd.DataFrame(rows, columns=["items", "subject", "support", "confidence"])
 
@@ -342,8 +378,8 @@ def train(documents: DataFrame, labels: DataFrame, subjects: DataFrame, rows: in
     ship(documents.sparkSession)
     spark = documents.sparkSession
     sample = cut(labelled(documents, labels, subjects, rows), "labelled")
-    trans = _transactions(sample)
-    held: dict[int, Scorer] = {f: Scorer(mine_rules(trans.where(F.col("fold") != f))) for f in range(FOLDS)}
+    trans, words = numbered(_transactions(sample))
+    held: dict[int, Scorer] = {f: Scorer(mine_numbered(trans.where(F.col("fold") != f), words)) for f in range(FOLDS)}
     shared = spark.sparkContext.broadcast(held)
 
     def examples(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -358,7 +394,7 @@ def train(documents: DataFrame, labels: DataFrame, subjects: DataFrame, rows: in
             yield pd.DataFrame({"x": xs, "y": ys})
 
     got = sample.mapInPandas(examples, "x array<double>, y double").toPandas()  # of the bounded sample
-    scorer = Scorer(mine_rules(trans))
+    scorer = Scorer(mine_numbered(trans, words))
     if len(got):
         scorer.fit(np.array(got["x"].tolist()), got["y"].to_numpy())
     return scorer
