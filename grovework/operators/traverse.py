@@ -117,27 +117,6 @@ def neighbourhood(g: CodeGraph, start: DataFrame, hops: int = 2, relation_types:
     return visited if max_nodes is None else visited.orderBy("hop", "project", "id").limit(max_nodes)
 
 
-def breadcrumbs(g: CodeGraph, depth: int = 25) -> DataFrame:
-    """``project, id, path`` (names from the root down) by following parents upwards, at most ``depth`` steps."""
-    up = g.nodes.select("project", F.col("id").alias("at"), F.col("name").alias("up_name"), F.col("parent_id").alias("up"))
-    state = cut(g.nodes.select("project", "id", F.array("name").alias("path"), F.col("parent_id").alias("at")), "crumbs")
-    done = None
-    for _ in range(depth):
-        moved = state.where(F.col("at").isNotNull()).join(up, ["project", "at"], "left")
-        finished = state.where(F.col("at").isNull()).select("project", "id", "path")
-        ended = moved.where(F.col("up_name").isNull() & F.col("up").isNull()).select("project", "id", "path")
-        done = finished if done is None else done.unionByName(finished)
-        done = done.unionByName(ended)
-        nxt = cut(
-            moved.where(F.col("up_name").isNotNull() | F.col("up").isNotNull()).select("project", "id", F.concat(F.array("up_name"), "path").alias("path"), F.col("up").alias("at")),
-            "crumbs",
-        )
-        state = nxt
-        if state.isEmpty():
-            break
-    return done.unionByName(state.select("project", "id", "path"))
-
-
 def all_breadcrumbs(g: CodeGraph) -> DataFrame:
     """``project, id, path, depth, cycle_id`` of every live node, at any depth (``path``: names from the top down).
 

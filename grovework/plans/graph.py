@@ -218,13 +218,13 @@ def jn11_structure_depth3(spark, d):
 @query(
     cte(
         """up AS (SELECT project, id, id AS at, 0 AS k, name, parent_id FROM live UNION ALL
-SELECT u.project, u.id, p.id, u.k + 1, p.name, p.parent_id FROM up u JOIN live p ON p.project = u.project AND p.id = u.parent_id WHERE u.k < 25)""",
-        body="SELECT project, id, string_agg(coalesce(name, ''), ' / ' ORDER BY k DESC) AS crumbs FROM up GROUP BY project, id HAVING max(k) < 25",
+SELECT u.project, u.id, p.id, u.k + 1, p.name, p.parent_id FROM up u JOIN live p ON p.project = u.project AND p.id = u.parent_id WHERE u.k < 26)""",
+        body="SELECT project, id, string_agg(coalesce(name, ''), ' / ' ORDER BY k DESC) AS crumbs FROM up GROUP BY project, id HAVING max(k) < 26",
     ).replace("WITH ", "WITH RECURSIVE " + LIVE + ",", 1)
 )
 def jn12_breadcrumbs(spark, d):
-    b = T.breadcrumbs(g(spark, d, "name", "parent_id"))
-    return b.where(F.size("path") <= 25).select("project", "id", F.array_join(F.transform("path", lambda x: F.coalesce(x, F.lit(""))), " / ").alias("crumbs"))
+    b = T.all_breadcrumbs(g(spark, d, "name", "parent_id")).where("depth <= 25 and cycle_id is null")
+    return b.select("project", "id", F.array_join("path", " / ").alias("crumbs"))
 
 
 @query()

@@ -234,19 +234,11 @@ def set06_classify_events(spark, d):
 
 @query("SELECT project, path, r.kind FROM (SELECT project, path, max(struct_pack(ts, arrived_at, kind)) AS r FROM file_changes WHERE path IS NOT NULL GROUP BY ALL)")
 def str05_streamed_changes(spark, d):
-    """The whole change table read as a stream, each micro-batch merged into a table of the newest event per path."""
+    """The whole change table read as a stream in micro-batches, each written under its number; then their newest events."""
     source = cut(table(spark, d, "file_changes").select("project", "path", "kind", "ts", "arrived_at"), "changes")._grovework_path
-    state: list = []
-
-    def merge(batch, _):
-        new = C.latest_changes(batch)
-        merged = C.latest_changes(new.unionByName(state[-1])) if state else new
-        state.append(cut(merged, "newest"))
-
-    folder = f"{shared_dir(spark)}/grovework/stream-{uuid.uuid4().hex}"
-    stream = C.read_changes(spark, source, 4).writeStream.foreachBatch(merge).option("checkpointLocation", folder)
-    stream.trigger(availableNow=True).start().awaitTermination()
-    return state[-1].select("project", "path", "kind")
+    folder = f"{shared_dir(spark)}/grovework/{spark.sparkContext.applicationId}/stream-{uuid.uuid4().hex}"
+    C.append_latest(C.read_changes(spark, source, 4), f"{folder}/table", f"{folder}/checkpoint").awaitTermination()
+    return C.appended(spark, f"{folder}/table").select("project", "path", "kind")
 
 
 # ---- ad-hoc language ----

@@ -247,3 +247,37 @@ def test_two_writers_of_a_store(spark, tmp_path):
     assert a.acquire("p", "one") and not b.acquire("p", "two") and b.acquire("q", "two") and not b.acquire_within("p", "two", 0.2, 0.1)
     a.release("p", "one")
     assert b.acquire_within("p", "two", 1)
+
+
+def test_bursts_merged_by_spans(spark):
+    import random
+    from datetime import datetime, timedelta
+
+    rnd, t0 = random.Random(3), datetime(2024, 1, 1)
+    rows = [(p, f"f{rnd.randrange(9)}.py", "modified", t0 + timedelta(seconds=rnd.choice([rnd.randrange(600), rnd.randrange(60) * 10])), None) for p in "pq" for _ in range(60)]
+    rows += [("p", "n.py", "added", None, None)]
+    want = []
+    for p in "pq":
+        own = sorted((r for r in rows if r[0] == p and r[3]), key=lambda r: r[3])
+        burst = []
+        for r in [*own, None]:
+            if burst and (r is None or r[3] - burst[-1][3] > timedelta(seconds=10)):
+                want.append((p, burst[0][3], burst[-1][3], len(burst), sorted({x[1] for x in burst})))
+                burst = []
+            if r:
+                burst.append(r)
+    got = C.debounce(spark.createDataFrame(rows, C.CHANGES), "10 seconds").select("project", "start", "last", "n_events", "paths").collect()
+    assert sorted(tuple(r) for r in got) == sorted(want) and len(want) > 10
+
+
+def test_appended_batches_survive_a_replay(spark, tmp_path):
+    from datetime import datetime as D
+
+    a = spark.createDataFrame([("p", "x", "added", D(2024, 1, 1), D(2024, 1, 1)), ("p", "y", "added", D(2024, 1, 1), D(2024, 1, 1))], C.CHANGES)
+    b = spark.createDataFrame([("p", "x", "deleted", D(2024, 1, 2), D(2024, 1, 2)), ("p", "y", "late", D(2023, 1, 1), D(2024, 1, 3))], C.CHANGES)
+    assert C.appended(spark, str(tmp_path / "none")).count() == 0
+    src, out = str(tmp_path / "in"), str(tmp_path / "out")
+    for df, check in ((a, "c1"), (b, "c2")):
+        df.coalesce(1).write.mode("append").parquet(src)
+        C.append_latest(C.read_changes(spark, src, 1), out, str(tmp_path / check)).awaitTermination()  # the second checkpoint replays the first batch
+    assert {(r["path"], r["kind"]) for r in C.appended(spark, out).collect()} == {("x", "deleted"), ("y", "added")}
