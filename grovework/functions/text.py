@@ -109,6 +109,11 @@ def display_name(project: Column) -> Column:
     return F.regexp_replace(project, r"_[^_]*$", "")
 
 
+def root_matches(project: Column, root_path: Column) -> Column:
+    """Whether a project's id ends in the first eight hex digits of the MD5 of its root path."""
+    return F.element_at(F.split(project, "_"), -1) == F.substring(F.md5(root_path), 1, 8)
+
+
 def external_root(spec: Column, language: Column) -> Column:
     """The package an import belongs to: npm scope and name, Go host/owner/name, else the first dotted segment."""
     parts = F.split(spec, "/")

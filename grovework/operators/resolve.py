@@ -244,11 +244,13 @@ def semantic_calls(occurrences: DataFrame, nodes: DataFrame) -> DataFrame:
 
     occ = occurrences.where(~F.col("symbol").startswith("local ")).withColumn("line", F.col("line") + 1)
     callables = nodes.where(F.col("node_type").isin("function", "method"))
-    defs = occ.where((F.col("roles").bitwiseAND(1) == 1) & (F.col("symbol").endswith("().") | F.col("symbol").endswith("#")))
+    # what a symbol may name follows from its suffix: types only in Python files, where a call of a class is a call
+    of_type, of_call = F.col("symbol").endswith("#") & F.col("file_path").endswith(".py"), F.col("symbol").endswith(".")
+    defs = occ.where((F.col("roles").bitwiseAND(1) == 1) & (of_type | of_call))
     spans = nodes.where(F.col("node_type").isin("function", "method", "class", "struct"))
-    starts = spans.select("project", "file_path", F.col("line_start").alias("line"), F.col("id").alias("node"))
+    starts = spans.select("project", "file_path", F.col("line_start").alias("line"), F.col("id").alias("node"), F.col("node_type").isin("class", "struct").alias("_type"))
     first = F.min(F.struct("file_path", "line", "node")).getField("node").alias("target")
-    symbol = defs.join(starts, ["project", "file_path", "line"]).groupBy("project", "symbol").agg(first)
+    symbol = defs.join(starts, ["project", "file_path", "line"]).where(F.col("_type") == of_type).groupBy("project", "symbol").agg(first)
     refs = occ.where(F.col("roles").bitwiseAND(1) == 0)
     at = innermost(callables, refs.select("project", "file_path", "line").distinct())
     joined = refs.join(at, ["project", "file_path", "line"]).join(symbol, ["project", "symbol"], "left")
@@ -258,6 +260,14 @@ def semantic_calls(occurrences: DataFrame, nodes: DataFrame) -> DataFrame:
     ).distinct()
 
 
+def clear_unresolved(nodes: DataFrame, covered: DataFrame) -> DataFrame:
+    """Nodes with an empty ``unresolved_calls`` where their file (project, file_path) is covered by an index."""
+    c = nodes.join(covered.select("project", "file_path", F.lit(True).alias("_c")).distinct(), ["project", "file_path"], "left")
+    empty = F.array().cast("array<string>")
+    gone = F.col("_c") & F.col("node_type").isin("function", "method")
+    return c.withColumn("unresolved_calls", F.when(gone, empty).otherwise(F.col("unresolved_calls"))).select(*nodes.columns)
+
+
 def merge_semantic(heuristic: DataFrame, semantic: DataFrame, nodes: DataFrame, covered: DataFrame) -> DataFrame:
     """Covered files replace the heuristic calls of their functions and methods by semantic ones; other edges stay."""
     inside = nodes.where(F.col("node_type").isin("function", "method")).join(covered, ["project", "file_path"], "left_semi").select("project", F.col("id").alias("source"))

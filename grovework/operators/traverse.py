@@ -168,6 +168,18 @@ def innermost(spans: DataFrame, points: DataFrame) -> DataFrame:
     return hit.groupBy("project", "file_path", "line").agg(best)
 
 
+def find_files(files: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``project, wanted, file_path``: the file each wanted path (project, wanted) means: the same path, else one that ends
+    in it or that it ends in, else one of the same name; of several the first. Paths that mean none are left out."""
+    name = lambda c: F.element_at(F.split(c, "/"), -1)
+    f = files.where(F.col("file_path").isNotNull()).select("project", "file_path", name(F.col("file_path")).alias("_name")).distinct()
+    w = wanted.where(F.col("wanted").isNotNull()).select("project", "wanted", name(F.col("wanted")).alias("_name")).distinct()
+    a, b = F.col("file_path"), F.col("wanted")
+    near = F.when(a == b, 0).when(a.endswith(F.concat(F.lit("/"), b)) | b.endswith(F.concat(F.lit("/"), a)), 1).otherwise(2)
+    best = F.min(F.struct(near.alias("k"), a.alias("p"))).getField("p").alias("file_path")
+    return w.join(f, ["project", "_name"]).groupBy("project", "wanted").agg(best)
+
+
 def graph_cap_edges(g: CodeGraph, max_nodes: int, max_edges: int) -> DataFrame:
     """Per project the edges between the nodes ``graph_cap`` keeps, at most ``max_edges``, in order of their keys."""
     kept = graph_cap(g, max_nodes).select("project", "id")

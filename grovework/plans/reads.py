@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from grovework.functions import text as X
 from grovework.operators import chunking as K
 from grovework.operators import imports as I
 from grovework.operators import model as M
@@ -279,6 +280,29 @@ def res25_provenance(spark, d):
     return R.with_provenance(n, n.where(F.col("file_path").endswith(".go")), "scip-go").select("project", "id", "calls_provenance")
 
 
+@query("SELECT project, root_path, split_part(project, '_', -1) = substring(md5(root_path), 1, 8) AS ok FROM projects")
+def gr15_root_verify(spark, d):
+    p = table(spark, d, "projects")
+    return p.select("project", "root_path", X.root_matches(F.col("project"), F.col("root_path")).alias("ok"))
+
+
+@query(
+    """WITH f AS (SELECT DISTINCT project, file_path, split_part(file_path, '/', -1) AS name FROM source_files WHERE file_path IS NOT NULL),
+w AS (SELECT DISTINCT project, path AS wanted, split_part(path, '/', -1) AS name FROM file_changes WHERE path IS NOT NULL)
+SELECT project, wanted, p.p AS file_path FROM (SELECT w.project, w.wanted, min(struct_pack(k := CASE WHEN f.file_path = w.wanted THEN 0 WHEN ends_with(f.file_path, '/' || w.wanted) OR ends_with(w.wanted, '/' || f.file_path) THEN 1 ELSE 2 END, p := f.file_path)) AS p
+FROM w JOIN f ON f.project = w.project AND f.name = w.name GROUP BY ALL)"""
+)
+def gr16_find_files(spark, d):
+    return T.find_files(table(spark, d, "source_files"), table(spark, d, "file_changes").select("project", F.col("path").alias("wanted")))
+
+
+@query(cte(LIVE, body="SELECT project, id, CASE WHEN node_type IN ('function', 'method') AND file_path LIKE '%.go' THEN 0 ELSE coalesce(len(unresolved_calls), -1) END AS n FROM live"))
+def res24_cleared_lists(spark, d):
+    n = g(spark, d, "node_type", "file_path", "unresolved_calls").nodes
+    c = R.clear_unresolved(n, n.where(F.col("file_path").endswith(".go")))
+    return c.select("project", "id", F.coalesce(F.size("unresolved_calls"), F.lit(-1)).alias("n"))
+
+
 # ---- imports ----
 
 _TREE = ["src/app/__init__.py", "src/app/core.py", "src/app/sub/mod.py", "web/a.ts", "web/lib/index.tsx", "web/lib/b.js", "go.mod", "cmd/main.go", "pkg/util/z.go", "rs/src/lib.rs", "rs/src/net/tcp.rs"]

@@ -197,6 +197,43 @@ def document_file(text: str, path: str) -> list[dict]:
     return [node(path, path.rsplit("/", 1)[-1], "document", path, 1, max(1, len(text.splitlines())))]
 
 
+def model_file(generate: Callable[[str], str], most: int = 8000) -> Parser:
+    """A parser that asks a text generator for the nodes and edges of a file, as JSON (a fence around it is removed).
+
+    The reply is an object with ``nodes`` (id, name, node_type, line_start, line_end) and ``edges`` (source, edge_type,
+    target); entries that lack these are left out, and anything else is a failure. Only the first ``most`` characters are
+    sent.
+    """
+
+    def parse_file(text: str, path: str) -> list[dict]:
+        reply = re.sub(r"^\s*```\w*\s*|\s*```\s*$", "", generate(text[:most]))
+        found = json.loads(reply)
+        if not isinstance(found, dict):
+            raise ValueError("the reply is no object")
+        out = []
+        for n in found.get("nodes") or []:
+            if isinstance(n, dict) and n.get("id") and n.get("node_type"):
+                out.append(node(str(n["id"]), str(n.get("name") or n["id"]), str(n["node_type"]), path, int(n.get("line_start") or 1), int(n.get("line_end") or n.get("line_start") or 1), str(n.get("signature") or ""), str(n.get("docstring") or ""), n.get("parent_id")))
+        for e in found.get("edges") or []:
+            if isinstance(e, dict) and e.get("source") and e.get("edge_type") and e.get("target"):
+                out.append(edge(str(e["source"]), str(e["edge_type"]), str(e["target"]), len(out)))
+        return out
+
+    return parse_file
+
+
+def with_fallback(first: Parser, second: Parser) -> Parser:
+    """``first``, and for files on which it fails ``second``."""
+
+    def parse_file(text: str, path: str) -> list[dict]:
+        try:
+            return first(text, path)
+        except (SyntaxError, ValueError, RecursionError):
+            return second(text, path)
+
+    return parse_file
+
+
 REGISTRY: dict[str, Parser] = {".py": python_file}
 REGISTRY |= {s: document_file for s in (".md", ".rst", ".txt")}
 REGISTRY |= {s: (lambda t, p: brace_file(t, p, "javascript")) for s in (".js", ".jsx")}

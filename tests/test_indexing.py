@@ -281,3 +281,23 @@ def test_appended_batches_survive_a_replay(spark, tmp_path):
         df.coalesce(1).write.mode("append").parquet(src)
         C.append_latest(C.read_changes(spark, src, 1), out, str(tmp_path / check)).awaitTermination()  # the second checkpoint replays the first batch
     assert {(r["path"], r["kind"]) for r in C.appended(spark, out).collect()} == {("x", "deleted"), ("y", "added")}
+
+
+def test_model_parser_and_fallback():
+    reply = '```json\n{"nodes": [{"id": "a.py::f", "node_type": "function", "line_start": 2}, {"id": "no type"}, 7], "edges": [{"source": "a.py", "edge_type": "CALLS", "target": "f"}, {}]}\n```'
+    seen = []
+    parser = P.with_fallback(P.python_file, P.model_file(lambda t: seen.append(t) or reply))
+    got = parser("def f(:\n" + "x" * 9000, "a.py")
+    assert [r["record"] for r in got] == ["node", "edge"] and got[0]["line_end"] == 2 and len(seen[0]) == 8000
+    assert len(parser("x = 1\n", "a.py")) == 2 and len(seen) == 1
+    for bad in ("[]", "no json", '{"nodes": [{"id": "x", "node_type": "y", "line_start": "z"}]}'):
+        with pytest.raises(ValueError):
+            P.model_file(lambda t, bad=bad: bad)("x", "a.py")
+
+
+def test_files_found_by_path_or_name(spark):
+    from grovework.operators import traverse as T
+
+    f = spark.createDataFrame([("p", x) for x in ("a/b.py", "b.py", "x/c.py", "y/c.py", "z/d.py")] + [("p", None)], "project string, file_path string")
+    w = spark.createDataFrame([("p", x) for x in ("b.py", "root/a/b.py", "c.py", "q/d.py", "none.py", None)] + [("o", "b.py")], "project string, wanted string")
+    assert {r["wanted"]: r["file_path"] for r in T.find_files(f, w).collect()} == {"b.py": "b.py", "root/a/b.py": "a/b.py", "c.py": "x/c.py", "q/d.py": "z/d.py"}
