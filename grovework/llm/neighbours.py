@@ -36,7 +36,8 @@ from grovework.runtime import current_rows, cut, release, ship
 SAMPLE = 20_000  # rows of each field the codebooks are fitted on
 CELL_ROWS = 256  # wanted mean occupancy of a cell
 MAX_CENTROIDS = 1024  # of each half
-CANDIDATES = 1500  # vectors a query meets at least
+CANDIDATES = 1500  # vectors a query for near pairs meets at least
+NEAREST_CANDIDATES = 6000  # and a query for the nearest ones, however far they are
 GROUP_ROWS = 20_000  # rows of a partition of cells; a cell of more is split into blocks
 QUERY_ROWS = 200_000  # queries that meet one block of a cell in one task
 

@@ -49,7 +49,7 @@ def p7_found(spark, d):
 
 
 def p7_nearest(spark, d):
-    near = neighbours.nearest(neighbours.vectors_of(table(spark, d, "chunks"), table(spark, d, "code_nodes")), in_order=True)
+    near = neighbours.nearest(neighbours.vectors_of(table(spark, d, "chunks"), table(spark, d, "code_nodes")), candidates=neighbours.NEAREST_CANDIDATES, in_order=True)
     return near.withColumn("cos", F.round("cos", 6))
 
 
