@@ -258,7 +258,7 @@ def _shingled(df: DataFrame, name: str) -> DataFrame:
     def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             own = [sorted(x - (1 << 64) if x >> 63 else x for x in shingles(t)) for t in pdf["content"]]
-            yield pdf.drop(columns="content").assign(shingles=own)
+            yield pdf.drop(columns="content").assign(shingles=pd.Series(own, index=pdf.index, dtype="object"))
 
     schema = ", ".join(f"`{n}` {t}" for n, t in df.dtypes if n != "content")
     out = df.mapInPandas(add, (schema + ", " if schema else "") + "shingles array<long>")

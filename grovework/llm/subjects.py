@@ -153,7 +153,7 @@ def labelled(documents: DataFrame, labels: DataFrame, subjects: DataFrame, rows:
 def _transactions(train: DataFrame) -> DataFrame:
     def to_items(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pdf[["doc_id", "fold", "subjects"]].assign(items=[list(dict.fromkeys(text_items(t))) for t in pdf["text"]])
+            yield pdf[["doc_id", "fold", "subjects"]].assign(items=pd.Series([list(dict.fromkeys(text_items(t))) for t in pdf["text"]], index=pdf.index, dtype="object"))
 
     return cut(train.mapInPandas(to_items, "doc_id long, fold int, subjects array<string>, items array<string>"), "transactions")
 
@@ -168,7 +168,7 @@ def numbered(trans: DataFrame, least: int = MIN_SUPPORT) -> tuple[DataFrame, lis
     def number(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rank = shared.value
         for pdf in batches:
-            yield pdf.assign(items=[sorted(rank[x] for x in items if x in rank) for items in pdf["items"]])
+            yield pdf.assign(items=pd.Series([sorted(rank[x] for x in items if x in rank) for items in pdf["items"]], index=pdf.index, dtype="object"))
 
     keep = [c for c in ("doc_id", "fold", "subjects", "items") if c in trans.columns]
     schema = ", ".join("items array<int>" if c == "items" else f"{c} {dict(trans.dtypes)[c]}" for c in keep)
@@ -391,7 +391,7 @@ def train(documents: DataFrame, labels: DataFrame, subjects: DataFrame, rows: in
                 hits = np.flatnonzero(e > 0)
                 xs += s.features(e)[hits].tolist()
                 ys += [float(s.names[i] in set(subjects_)) for i in hits]
-            yield pd.DataFrame({"x": xs, "y": ys})
+            yield pd.DataFrame({"x": pd.Series(xs, dtype="object"), "y": pd.Series(ys, dtype="f8")})
 
     got = sample.mapInPandas(examples, "x array<double>, y double").toPandas()  # of the bounded sample
     scorer = Scorer(mine_numbered(trans, words))

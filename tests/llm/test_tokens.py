@@ -26,8 +26,13 @@ def test_queries_against_sql(same):
         same(QUERIES[name], sql)
 
 
+MAY_BE_EMPTY = {"p6_found", "p8_found", "p10_found", "p7_found", "p2_found", "p2_pairs", "p3_found", "p5_found"}  # at this small scale
+
+
 def test_all_queries_run(spark, sf):
     from grovework.llm.queries import QUERIES
 
     for name in QUERIES:
-        assert QUERIES[name](spark, sf).limit(1).count() >= 0
+        df = QUERIES[name](spark, sf)
+        rows = df.collect()
+        assert df.columns and (rows or name in MAY_BE_EMPTY), name
