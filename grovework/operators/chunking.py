@@ -225,7 +225,7 @@ def embed(df: DataFrame, text: str, function: Callable[[list[str]], list[list[fl
                     if len(got) == b - a:
                         vectors[a:b] = [list(map(float, v)) for v in got]
                         break
-            yield pdf.assign(vector=vectors)
+            yield pdf.assign(vector=pd.Series(vectors, index=pdf.index, dtype="object"))
 
     return df.mapInPandas(run, T.StructType([*df.schema.fields, T.StructField("vector", T.ArrayType(T.FloatType()))]))
 
