@@ -63,10 +63,12 @@ def references(edges: DataFrame) -> DataFrame:
 
 def resolve_references(edges: DataFrame, nodes: DataFrame, externals: DataFrame) -> DataFrame:
     """Every reference with ``reason``: missing, deleted, later or null (sound)."""
-    refs = references(edges).alias("r")
-    parents = parent_intervals(nodes, externals).alias("p")
-    on = (F.col("r.project") == F.col("p.project")) & (F.col("r.ref") == F.col("p.id"))
-    merged = refs.join(parents.hint("merge"), on, "left")
+    # One key of both columns: its shuffles are the join's own on both sides, directly below the sorts, which is what
+    # adaptive execution can split where a key is hot (it cannot split the shuffle of an aggregate).
+    key = lambda c: F.struct(F.col("project").alias("a"), F.col(c).alias("b")).alias("k")
+    refs = references(edges).select("*", key("ref")).alias("r")
+    parents = parent_intervals(nodes, externals).select("*", key("id")).alias("p")
+    merged = refs.join(parents.hint("merge"), F.col("r.k") == F.col("p.k"), "left")
     external_ok = (F.col("side") == "target") & F.coalesce(F.col("in_externals"), F.lit(False))
     reason = (
         F.when(external_ok, F.lit(None).cast("string"))

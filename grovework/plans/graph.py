@@ -13,6 +13,7 @@ from grovework.operators import search as S
 from grovework.operators import stats as A
 from grovework.operators import traverse as T
 from grovework.plans.sqlbase import CHUNKS, EDGES, EXT, INNER, LIVE, REL, cte
+from grovework.plans.structure import _WALK
 from grovework.runtime import table
 
 #: The project the single-project tools are shown on.
@@ -227,7 +228,15 @@ def jn12_breadcrumbs(spark, d):
     return b.select("project", "id", F.array_join("path", " / ").alias("crumbs"))
 
 
-@query()
+_CUR = _WALK[_WALK.index("cur AS (") : _WALK.index("), links")]
+
+
+@query(
+    _WALK.replace("WITH RECURSIVE ", "WITH RECURSIVE " + LIVE + ", ", 1).replace(_CUR, "cur AS (SELECT project, id, parent_id FROM live", 1)
+    + """, crumbs AS (SELECT w.project, w.id, string_agg(coalesce(l.name, ''), ' / ' ORDER BY w.steps DESC) AS crumbs, max(w.steps)::INT AS depth
+  FROM walk w JOIN live l ON l.project = w.project AND l.id = w.pos GROUP BY ALL)
+SELECT n.project, n.id, c.crumbs, c.depth, n.cycle_id FROM nodes n JOIN crumbs c USING (project, id)"""
+)
 def jn12_all_breadcrumbs(spark, d):
     b = T.all_breadcrumbs(g(spark, d, "name", "parent_id"))
     return b.select("project", "id", F.array_join("path", " / ").alias("crumbs"), "depth", "cycle_id")

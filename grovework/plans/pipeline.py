@@ -7,10 +7,10 @@ import uuid
 from pyspark.sql import functions as F
 
 from grovework.functions import text as X
+from grovework.operators import chunking as K
 from grovework.operators import model as M
 from grovework.operators import reconcile as RC
 from grovework.operators import resolve as R
-from grovework.operators import stats as A
 from grovework.plans import cypher, guard
 from grovework.plans.graph import PROJECT
 from grovework.plans.sqlbase import CHUNKS, EDGES, EXT, LIVE, cte
@@ -195,12 +195,32 @@ def emb03_reuse_vectors(spark, d):
     return RC.reuse_vectors(M.merged_chunks(table(spark, d, "chunks"), ["node_id"]), stored).select("project", "id", "to_embed")
 
 
-@query()
+_LEAVES = """
+body AS (SELECT l.project, l.id, array_to_string(string_split(replace(regexp_replace(s.content, '\\r\\n?', chr(10), 'g'), chr(13), chr(10)), chr(10))[l.line_start:l.line_end], chr(10)) AS source
+  FROM live l JOIN src s ON s.project = l.project AND s.file_path = l.file_path WHERE l.node_type IN ('function', 'method') AND l.line_start IS NOT NULL AND l.line_end >= l.line_start),
+leaf AS (SELECT l.*, b.source, regexp_replace(coalesce(nullif(l.docstring, ''), nullif(b.source, ''), l.signature, ''), '^\\s+|\\s+$', '', 'g') AS text,
+  sha256(concat_ws(chr(0), coalesce(b.source, ''), coalesce(l.signature, ''), coalesce(l.docstring, ''))) AS h
+  FROM live l LEFT JOIN body b ON b.project = l.project AND b.id = l.id WHERE NOT EXISTS (SELECT 1 FROM live c WHERE c.project = l.project AND c.parent_id = l.id)),
+made AS (SELECT *, coalesce(nullif(regexp_extract(text, '(?s)^(.+?[.!?])(\\s|$)', 1), ''), string_split(text, chr(10))[1]) AS made FROM leaf)"""
+
+
+@query(
+    cte(
+        LIVE, _SRC, _LEAVES,
+        body="""SELECT project, id, CASE WHEN summary_input_hash = h AND coalesce(summary, '') <> '' THEN summary WHEN made <> '' THEN made ELSE summary END AS summary,
+CASE WHEN made = '' AND NOT coalesce(summary_input_hash = h AND summary <> '', false) THEN '' ELSE h END AS summary_input_hash,
+CASE WHEN summary_input_hash = h AND coalesce(summary, '') <> '' THEN 'reused' WHEN made <> '' THEN 'generated' ELSE 'failed' END AS outcome FROM made""",
+    )
+)
 def sum02_summaries(spark, d):
-    n = M.live_nodes(table(spark, d, "code_nodes"), ["name", "node_type", "file_path", "line_start", "docstring", "parent_id", "summary", "summary_input_hash"])
-    g = M.CodeGraph(n, n, n, n)
-    done = RC.summarise(n.select("project", "id", "docstring"), A.child_lines(g).select("project", "id", "input_hash"), n.select("project", "id", "summary", "summary_input_hash"))
-    return done.groupBy("project", "outcome").agg(F.count(F.lit(1)).alias("n"))
+    """The leaves of a bottom-up drain of the whole graph (containers are compared with plain code in the tests)."""
+    n = cut(M.live_nodes(table(spark, d, "code_nodes"), ["name", "node_type", "file_path", "line_start", "line_end", "signature", "docstring", "parent_id", "summary", "summary_input_hash"]), "nodes")
+    bodies = K.node_bodies(n, _files(spark, d)).select("project", "id", F.array_join("lines", "\n").alias("source"))
+    live = n.select("project", F.col("id").alias("parent_id"), F.lit(True).alias("_there"))
+    nodes = n.join(bodies, ["project", "id"], "left").join(live, ["project", "parent_id"], "left").withColumn("parent_id", F.when(F.col("_there"), F.col("parent_id")))
+    cols = ["project", "id", "parent_id", "name", "node_type", "file_path", "line_start", "source", "signature", "docstring"]
+    done = RC.drain_summaries(nodes.select(cols), n.select("project", "id", "summary", "summary_input_hash"))
+    return done.join(n.where(F.col("parent_id").isNotNull()).select("project", F.col("parent_id").alias("id")).distinct(), ["project", "id"], "left_anti")
 
 
 # ---- change streams ----

@@ -44,3 +44,34 @@ def test_hot_key(spark):
     nodes = [("p", f"n{i}", T1, None) for i in range(200)]
     edges = [("p", f"n{i}", "IMPORTS", "hub", None, None, T2) for i in range(200)]
     assert len(run(spark, edges, nodes)) == 200
+
+
+def test_a_third_of_all_references_to_one_key(spark):
+    """A hot key is split over tasks by adaptive execution, with the same result."""
+    from datetime import datetime as D
+
+    from pyspark.sql import functions as F
+
+    from grovework.operators import references as R
+
+    old = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes", "spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.adaptive.skewJoin.skewedPartitionFactor", "spark.sql.shuffle.partitions", "spark.sql.adaptive.forceOptimizeSkewedJoin")}
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # the small test data would end in one task
+    for k, v in zip(old, ("40KB", "20KB", "2", "16", "true")):
+        spark.conf.set(k, v)
+    try:
+        i = F.col("id")
+        target = F.when(i % 3 == 0, "hot").when(i % 3 == 1, F.concat(F.lit("n"), i % 5000)).otherwise(F.concat(F.lit("gone"), i))
+        edges = spark.range(60_000).select(F.lit("p").alias("project"), F.concat(F.lit("n"), i % 5000).alias("source"), F.concat(F.lit("T"), i).alias("edge_type"), target.alias("target"), F.lit(D(2024, 1, 2)).alias("indexed_at"))
+        nodes = spark.range(5000).select(F.lit("p").alias("project"), F.concat(F.lit("n"), i).alias("id"), F.lit(D(2024, 1, 1)).alias("indexed_at"), F.lit(None).cast("timestamp").alias("deleted_at"))
+        none = spark.createDataFrame([], "project string, id string")
+        df = R.orphan_references(edges, nodes, none)
+        rows = df.groupBy("reason").count().collect()
+        assert [(r["reason"], r["count"]) for r in rows] == [("missing", 40_000)]
+        df.write.format("noop").mode("overwrite").save()
+        got = R.orphan_references(edges, nodes, none)
+        got.collect()
+        assert "skew=true" in got._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+        for k, v in old.items():
+            spark.conf.set(k, v)
